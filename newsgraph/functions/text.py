@@ -11,17 +11,22 @@ from newsgraph.constants import FLAG_TOKENS, LOCATION_TYPES, TONE_COLUMNS
 
 def split_list(text: Column, sep: str = ";") -> Column:
     """Array of the non-empty items of a delimited list; null gives ``[]``."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), sep), lambda item: item != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), sep), "")
 
 
-def has_token(items: Column, token: str) -> Column:
-    """True if any item, cut at ``_``, holds exactly ``token``."""
-    return F.exists(items, lambda item: F.array_contains(F.split(item, "_"), token))
+def has_token(text: Column, token: str) -> Column:
+    """True if any item of a ``;`` list, cut at ``_``, holds exactly ``token``.
+
+    Items and their parts end at either mark, so one search of the whole text
+    decides it and the list need not be taken apart.
+    """
+    marked = F.concat(F.lit(";"), F.replace(F.coalesce(text, F.lit("")), F.lit("_"), F.lit(";")), F.lit(";"))
+    return F.contains(marked, F.lit(f";{token};"))
 
 
-def flag_columns(items: Column) -> list[Column]:
-    """The E, S and G flags of an article's theme list."""
-    return [has_token(items, token).alias(flag) for flag, token in FLAG_TOKENS.items()]
+def flag_columns(themes: Column) -> list[Column]:
+    """The E, S and G flags of an article's theme text."""
+    return [has_token(themes, token).alias(flag) for flag, token in FLAG_TOKENS.items()]
 
 
 def tone_columns(text: Column) -> list[Column]:
@@ -69,25 +74,29 @@ def parse_locations(text: Column, fields: list[str]) -> Column:
 GCAM_KINDS = {"c": "word_count", "v": "scored_value"}
 
 
-def parse_gcam(text: Column) -> Column:
-    """Array of ``(kind, dictionary_id, dimension_id, value)`` structs.
+def gcam_entries(text: Column) -> Column:
+    """Array of the dictionary entries of a content-analysis list.
 
-    The first entry of the list is the article's total word count and carries
-    no dictionary, so it is left out.
+    The first entry is the article's total word count and carries no
+    dictionary, so it is left out.
     """
     entries = F.split(text, ",")
-    entries = F.filter(entries, lambda entry, i: (i > 0) & entry.rlike(r"^[cv]\d+\.\d+:"))
-    kinds = F.create_map(*[F.lit(v) for pair in GCAM_KINDS.items() for v in pair])
-
-    def one(entry: Column) -> Column:
-        return F.struct(
-            F.try_element_at(kinds, F.substring(entry, 1, 1)).alias("kind"),
-            F.regexp_extract(entry, r"^.(\d+)\.", 1).try_cast("int").alias("dictionary_id"),
-            F.regexp_extract(entry, r"\.(\d+):", 1).try_cast("int").alias("dimension_id"),
-            F.regexp_extract(entry, r":(.*)$", 1).try_cast("double").alias("value"),
-        )
-
-    return F.transform(entries, one)
+    return F.slice(entries, F.lit(2), F.greatest(F.size(entries) - 1, F.lit(0)))
+
+
+def gcam_columns(entry: Column) -> list[Column]:
+    """Kind, dictionary, dimension and value of one entry, such as ``c2.21:4``."""
+    letter = F.substring(entry, 1, 1)
+    kind = F.lit(None).cast("string")
+    for mark, name in GCAM_KINDS.items():
+        kind = F.when(letter == mark, F.lit(name)).otherwise(kind)
+    key = F.substring_index(entry, ":", 1)
+    return [
+        kind.alias("kind"),
+        F.substring_index(F.substr(key, F.lit(2)), ".", 1).try_cast("int").alias("dictionary_id"),
+        F.substring_index(key, ".", -1).try_cast("int").alias("dimension_id"),
+        F.substring_index(entry, ":", -1).try_cast("double").alias("value"),
+    ]
 
 
 def nested_to_text(dtype: T.DataType, column: Column) -> Column:

@@ -8,25 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgraph.constants import EXPORT_COLUMNS, FEED_COLUMNS
-from newsgraph.functions.text import flag_columns, nested_to_text, split_list, tone_columns
+from newsgraph.functions.text import (
+    flag_columns,
+    gcam_columns,
+    gcam_entries,
+    nested_to_text,
+    split_list,
+    tone_columns,
+)
 from newsgraph.operators.universe import clean_organization
 
 
 def decode_articles(feed: DataFrame) -> DataFrame:
     """One row per article: lists split, flags and tone metrics as columns."""
     kept = feed.select(*FEED_COLUMNS).withColumnRenamed("DocumentIdentifier", "URL")
-    lists = kept.withColumns(
-        {
-            "Themes": split_list(F.col("Themes")),
-            "Organizations": split_list(F.col("Organizations")),
-        }
-    )
-    return lists.select(
+    return kept.select(
         "DATE",
         "SourceCommonName",
         "URL",
-        "Themes",
-        "Organizations",
+        split_list(F.col("Themes")).alias("Themes"),
+        split_list(F.col("Organizations")).alias("Organizations"),
         *flag_columns(F.col("Themes")),
         *tone_columns(F.col("V2Tone")),
     )
@@ -37,6 +38,16 @@ def explode_organizations(articles: DataFrame) -> DataFrame:
     return articles.withColumn("Organization", F.explode("Organizations"))
 
 
+def explode_gcam(df: DataFrame, column: str = "GCAM") -> DataFrame:
+    """One row per content-analysis entry: ``kind, dictionary_id, dimension_id, value``.
+
+    Entries of an unknown kind are left out.
+    """
+    others = [c for c in df.columns if c != column]
+    rows = df.select(*others, F.explode(gcam_entries(F.col(column))).alias("_entry"))
+    return rows.select(*others, *gcam_columns(F.col("_entry"))).filter(F.col("kind").isNotNull())
+
+
 def reformat_articles(feed: DataFrame, aliases: DataFrame) -> DataFrame:
     """The article-by-company table of a raw feed.
 

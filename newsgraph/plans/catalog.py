@@ -26,7 +26,7 @@ from newsgraph.operators import (
     walks,
 )
 from newsgraph.plans import domain
-from newsgraph.session import shared_folder
+from newsgraph.session import shared_folder, stored
 from newsgraph.sources.daystore import missing_days
 from newsgraph.streaming.daily import stream_daily_sums, streamed_sums
 
@@ -81,8 +81,7 @@ def tone_columns(spark, sf_dir):
 
 def theme_flags(spark, sf_dir):
     feed = domain.document_feed(spark, sf_dir)
-    lists = feed.select(F.col("DocumentIdentifier").alias("url"), text.split_list(F.col("Themes")).alias("items"))
-    return lists.select("url", *text.flag_columns(F.col("items")))
+    return feed.select(F.col("DocumentIdentifier").alias("url"), *text.flag_columns(F.col("Themes")))
 
 
 def parse_timestamp(spark, sf_dir):
@@ -172,7 +171,7 @@ def parse_gcam(spark, sf_dir):
         F.lit(",v"), (F.col("l_suppkey") % 9).cast("string"), F.lit("."), F.col("l_linenumber").cast("string"),
         F.lit(":"), F.col("l_discount").cast("string"),
     )
-    return lines.select("l_orderkey", F.inline(text.parse_gcam(entries)))
+    return articles.explode_gcam(lines.select("l_orderkey", entries.alias("GCAM")))
 
 
 # Scores ---------------------------------------------------------------------
@@ -366,23 +365,26 @@ def embedding_labels(spark, sf_dir):
     return neighbors.embedding_labels(points.select(F.col("id").alias("company")), near, VERTEX)
 
 
-def random_walks(spark, sf_dir):
-    paths = _walks(spark, sf_dir, graph.comention_edges(domain.mentions(spark, sf_dir)))
-    return paths.select("start", "walk", F.concat_ws(" ", F.col("path").cast("array<string>")).alias("path"))
+def _stored_edges(spark, sf_dir):
+    return stored(graph.comention_edges(domain.mentions(spark, sf_dir)), "edges")
 
 
-def _walks(spark, sf_dir, edges):
+def _walks(edges):
     return walks.random_walks(edges, WALK_LENGTH, WALKS_PER_VERTEX)
 
 
+def random_walks(spark, sf_dir):
+    paths = _walks(_stored_edges(spark, sf_dir))
+    return paths.select("start", "walk", F.concat_ws(" ", F.col("path").cast("array<string>")).alias("path"))
+
+
 def random_walk_check(spark, sf_dir):
-    edges = graph.comention_edges(domain.mentions(spark, sf_dir))
-    return walks.walk_check(_walks(spark, sf_dir, edges), edges)
+    edges = _stored_edges(spark, sf_dir)
+    return walks.walk_check(_walks(edges), edges)
 
 
 def node_embeddings(spark, sf_dir):
-    edges = graph.comention_edges(domain.mentions(spark, sf_dir))
-    found = embedding.node_embeddings(_walks(spark, sf_dir, edges), dimensions=16)
+    found = embedding.node_embeddings(_walks(_stored_edges(spark, sf_dir)), dimensions=16)
     return found.select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(16)])
 
 
