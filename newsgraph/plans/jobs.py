@@ -138,12 +138,13 @@ def make_products(
     start: str,
     end: str,
     save_csv: bool = True,
+    on_error: str = "fail",
     **graph,
 ) -> Products:
     """Everything of one range; stored days and scores are not built again."""
     spark = landed.sparkSession
     products = Products(base, start, end)
-    articles = build_articles(landed, universe, products, start, end, save_csv)
+    articles = build_articles(landed, universe, products, start, end, save_csv, on_error=on_error)
     if not table_exists(spark, products.averages):
         build_scores(articles, products)
     build_graph(articles, products, **graph)

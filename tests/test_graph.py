@@ -1,0 +1,188 @@
+from collections import Counter
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from newsgraph.operators import embedding, graph, neighbors, walks
+
+SMALL = [("u1", "a"), ("u1", "b"), ("u1", "c"), ("u2", "b"), ("u2", "a"), ("u3", "a"), ("u4", "a"), ("u4", "a"), ("u4", "b")]
+
+
+def mentions(spark, data):
+    return spark.createDataFrame(data, "URL string, Organization string")
+
+
+def brute_edges(data, mode):
+    urls, weights = {}, Counter()
+    for url, org in data:
+        if url is not None and org is not None:
+            urls.setdefault(url, []).append(org)
+    for orgs in urls.values():
+        orgs = orgs if mode == "multiset" else list(set(orgs))
+        for a, b in combinations(orgs, 2):
+            weights[min(a, b), max(a, b)] += 1
+    return sorted((a, b, n) for (a, b), n in weights.items())
+
+
+def test_small_graph(spark, rows):
+    df = mentions(spark, SMALL)
+    multiset = graph.comention_edges(df)
+    assert rows(multiset) == [("a", "a", 1), ("a", "b", 4), ("a", "c", 1), ("b", "c", 1)]
+    assert rows(graph.comention_edges(df, "distinct")) == [("a", "b", 3), ("a", "c", 1), ("b", "c", 1)]
+    assert rows(graph.graph_vertices(multiset)) == [("a",), ("b",), ("c",)]
+    with pytest.raises(ValueError):
+        graph.comention_edges(df, "other")
+
+
+@pytest.fixture(scope="module")
+def skewed():
+    """A third of all rows in one URL and another third of one company."""
+    rng = np.random.default_rng(5)
+    data = [("hot", f"o{rng.integers(0, 60):02d}") for _ in range(400)]
+    data += [(f"u{i}", "o07") for i in range(300)]
+    data += [(f"u{rng.integers(0, 300)}", f"o{rng.integers(0, 80):02d}") for _ in range(400)]
+    return data + [(None, "o01"), ("u1", None), ("alone", "zz")]
+
+
+@pytest.mark.parametrize("mode", ["multiset", "distinct"])
+@pytest.mark.parametrize("block", [512, 7])
+def test_edges_against_brute_force(spark, rows, skewed, mode, block):
+    found = graph.comention_edges(mentions(spark, skewed), mode, block)
+    assert rows(found) == brute_edges(skewed, mode)
+
+
+def test_vertices_and_ego_without_pairs(spark, rows, skewed):
+    df = mentions(spark, skewed)
+    edges = graph.comention_edges(df)
+    assert rows(graph.mention_vertices(df)) == rows(graph.graph_vertices(edges))
+    assert rows(graph.mention_ego_edges(df, "o07")) == rows(graph.ego_edges(edges, "o07"))
+
+
+def random_vectors(n, d=8, seed=2, copies=0):
+    x = np.random.default_rng(seed).normal(size=(n, d))
+    if copies:
+        x[:copies] = x[0]
+    return x
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, features array<double>")
+
+
+def brute_topk(x, k):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cosine = np.round(unit @ unit.T, 9)
+    out = []
+    for i in range(len(x)):
+        order = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-cosine[i, j], j))
+        out += [(i, rank, j, round(cosine[i, j], 6)) for rank, j in enumerate(order[:k])]
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("block_rows", [2048, 16])
+@pytest.mark.parametrize("copies", [0, 30])
+def test_topk_against_brute_force(spark, rows, block_rows, copies):
+    x = random_vectors(90, copies=copies)
+    found = neighbors.connections_topk(frame(spark, x), 6, block_rows)
+    assert rows(found.withColumn("confidence", F.round("confidence", 6))) == brute_topk(x, 6)
+
+
+def test_topk_of_few_and_of_string_ids(spark, rows):
+    df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 0.0])], "id string, features array<double>")
+    found = rows(neighbors.connections_topk(df, 25).withColumn("confidence", F.round("confidence", 4)))
+    assert found == [("a", 0, "b", 0.7071), ("a", 1, "c", 0.0), ("b", 0, "a", 0.7071), ("b", 1, "c", 0.0), ("c", 0, "a", 0.0), ("c", 1, "b", 0.0)]
+    single = spark.createDataFrame([("a", [1.0])], "id string, features array<double>")
+    assert neighbors.connections_topk(single, 3).count() == 0
+
+
+def test_nearest_to_is_one_row_of_topk(spark, rows):
+    df = frame(spark, random_vectors(60, copies=5))
+    whole = neighbors.connections_topk(df, 8).filter("company = 3")
+    near = neighbors.nearest_to(df, 3, 8)
+    assert rows(near.withColumn("confidence", F.round("confidence", 6))) == rows(
+        whole.withColumn("confidence", F.round("confidence", 6))
+    )
+    assert neighbors.nearest_to(df, 999).count() == 0
+
+
+def test_neighbor_list_and_labels(spark, rows):
+    near = spark.createDataFrame(
+        [("acme", 0, "b", 0.9), ("acme", 1, "c", 0.8), ("b", 0, "d", 0.7)],
+        "company string, rank int, neighbor string, confidence double",
+    )
+    assert [tuple(r) for r in neighbors.neighbor_confidence(near, "acme", 1).collect()] == [("b", 0.9)]
+    points = spark.createDataFrame([("acme",), ("b",), ("c",), ("d",)], "company string")
+    assert rows(neighbors.embedding_labels(points, near, "acme", 2)) == [
+        ("acme", "Company: Acme"), ("b", "Connected Company"), ("c", "Connected Company"), ("d", "Other Company"),
+    ]
+
+
+EDGES = [("a", "b", 6), ("a", "c", 3), ("a", "d", 1), ("c", "d", 5), ("e", "e", 2)]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return spark.createDataFrame(EDGES, "src string, dst string, weight long")
+
+
+@pytest.mark.parametrize("hub_edges", [100_000, 1])
+def test_step_table_covers_each_line_once(edges, hub_edges):
+    table = walks.step_table(edges, hub_edges).toPandas()
+    spans = table.drop_duplicates(["vertex", "to"])
+    weights = {(v, t): hi - lo for v, t, lo, hi in spans[["vertex", "to", "lo", "hi"]].itertuples(index=False)}
+    both = {(s, d): w for s, d, w in EDGES} | {(d, s): w for s, d, w in EDGES}
+    assert weights == both
+    for _, own in spans.groupby("vertex"):
+        own = own.sort_values("lo")
+        assert own.lo.tolist() == [0, *own.hi.tolist()[:-1]]
+        total, count = own.hi.max(), len(own)
+        for place in range(total):
+            cell = int(np.floor(place * (count / total)))
+            hit = table[(table.vertex == own.vertex.iloc[0]) & (table.cell == cell) & (table.lo <= place) & (place < table.hi)]
+            assert len(hit) == 1
+
+
+def test_walks_repeat_and_follow_edges(edges, rows):
+    first = walks.random_walks(edges, 13, 40, seed=1)
+    again = rows(walks.random_walks(edges, 13, 40, seed=1))
+    assert rows(first) == again
+    assert rows(walks.random_walks(edges, 13, 40, seed=2)) != again
+    assert len(again) == 5 * 40 and all(len(path) == 13 and path[0] == start for start, _, path in again)
+    assert rows(walks.walk_check(first, edges)) == [(v, 40, 40 * 12, 0) for v in "abcde"]
+
+
+def test_walks_draw_by_weight(edges):
+    paths = walks.random_walks(edges, 2, 4000, seed=3).filter("start = 'a'").toPandas().path
+    shares = pd.Series([p[1] for p in paths]).value_counts(normalize=True)
+    assert shares["b"] == pytest.approx(0.6, abs=0.03)
+    assert shares["c"] == pytest.approx(0.3, abs=0.03)
+    assert shares["d"] == pytest.approx(0.1, abs=0.03)
+
+
+def test_hub_parts_do_not_change_walks(edges, rows):
+    def shape(hub):
+        return {(s, w): len(p) for s, w, p in rows(walks.random_walks(edges, 4, 5, hub_edges=hub))}
+
+    assert shape(1) == shape(100_000)
+
+
+def test_embeddings_keep_their_vertex(edges):
+    found = embedding.node_embeddings(walks.random_walks(edges, 8, 20), dimensions=6, partitions=1).toPandas()
+    assert sorted(found.id) == list("abcde")
+    assert all(len(v) == 6 for v in found.features)
+    again = embedding.node_embeddings(walks.random_walks(edges, 8, 20), dimensions=6, partitions=1).toPandas()
+    assert {r.id for r in again.itertuples()} == set(found.id)
+
+
+def test_pca_against_numpy(spark):
+    x = random_vectors(80, 6) * np.array([5, 3, 2, 1, 0.5, 0.1]) + 10
+    found = embedding.pca_projection(frame(spark, x)).toPandas().sort_values("id")
+    centred = x - x.mean(0)
+    _, _, axes = np.linalg.svd(centred, full_matrices=False)
+    for i in range(3):
+        axis = axes[i] * np.sign(axes[i][np.abs(axes[i]).argmax()])
+        np.testing.assert_allclose(found[f"pc{i}"], centred @ axis, atol=1e-8)
+    assert np.abs(found[["pc0", "pc1", "pc2"]].mean()).max() < 1e-9
