@@ -83,16 +83,9 @@ def daily_diff(articles: DataFrame) -> DataFrame:
 
 def diff_of_sums(sums: DataFrame) -> DataFrame:
     """`daily_diff` from sums that are already daily."""
-    return (
-        sums.filter(F.col("org").isNotNull())
-        .join(F.broadcast(industry_tone(sums)), ["segment", "date"])
-        .select(
-            "segment",
-            "date",
-            "org",
-            (F.try_divide("tone_sum", "word_sum") - F.col("industry_tone")).alias("diff"),
-        )
-    )
+    joined = sums.join(F.broadcast(industry_tone(sums)), ["segment", "date"])
+    own = F.try_divide("tone_sum", "word_sum")
+    return joined.select("segment", "date", "org", (own - F.col("industry_tone")).alias("diff"))
 
 
 def average_scores(diffs: DataFrame) -> DataFrame:

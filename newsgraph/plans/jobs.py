@@ -97,15 +97,19 @@ def build_scores(articles: DataFrame, products: Products, wide: bool = True) ->
     write_table(average_scores(diffs), products.averages)
     if not wide:
         return
+    # Every company gets a column in every file, so their names are fetched.
+    orgs = [row["org"] for row in diffs.select("org").distinct().orderBy("org").collect()]
     filled = fill_gaps(diffs)
     industry = fill_gaps_rows(industry_tone(sums), ["segment"])
     for segment in SEGMENTS:
         of_segment = F.col("segment") == segment
         table = scores_wide(
-            filled.filter(of_segment).drop("segment"), industry.filter(of_segment).drop("segment")
+            filled.filter(of_segment).drop("segment"),
+            industry.filter(of_segment).drop("segment"),
+            orgs,
         )
         write_csv(table.orderBy("date"), f"{products.wide_scores}/daily_{segment}", single_file=True)
-    averages = averages_wide(spark.read.parquet(products.averages))
+    averages = averages_wide(spark.read.parquet(products.averages), orgs)
     write_csv(averages, f"{products.wide_scores}/averages", single_file=True)
 
 
@@ -139,12 +143,15 @@ def make_products(
     end: str,
     save_csv: bool = True,
     on_error: str = "fail",
+    days: DataFrame | None = None,
     **graph,
 ) -> Products:
     """Everything of one range; stored days and scores are not built again."""
     spark = landed.sparkSession
     products = Products(base, start, end)
-    articles = build_articles(landed, universe, products, start, end, save_csv, on_error=on_error)
+    articles = build_articles(
+        landed, universe, products, start, end, save_csv, on_error=on_error, days=days
+    )
     if not table_exists(spark, products.averages):
         build_scores(articles, products)
     build_graph(articles, products, **graph)

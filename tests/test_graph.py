@@ -129,8 +129,11 @@ def edges(spark):
 
 
 @pytest.mark.parametrize("hub_edges", [100_000, 1])
-def test_step_table_covers_each_line_once(edges, hub_edges):
+@pytest.mark.parametrize("spread", [0, 1, 8])
+def test_step_table_covers_each_line_once(edges, hub_edges, spread, monkeypatch):
+    monkeypatch.setattr(walks, "CELLS_PER_PARTITION", spread)
     table = walks.step_table(edges, hub_edges).toPandas()
+    cells = dict(zip(table.to, table.to_cells))
     spans = table.drop_duplicates(["vertex", "to"])
     weights = {(v, t): hi - lo for v, t, lo, hi in spans[["vertex", "to", "lo", "hi"]].itertuples(index=False)}
     both = {(s, d): w for s, d, w in EDGES} | {(d, s): w for s, d, w in EDGES}
@@ -138,7 +141,8 @@ def test_step_table_covers_each_line_once(edges, hub_edges):
     for _, own in spans.groupby("vertex"):
         own = own.sort_values("lo")
         assert own.lo.tolist() == [0, *own.hi.tolist()[:-1]]
-        total, count = own.hi.max(), len(own)
+        total, count = own.hi.max(), cells[own.vertex.iloc[0]]
+        assert count >= len(own)
         for place in range(total):
             cell = int(np.floor(place * (count / total)))
             hit = table[(table.vertex == own.vertex.iloc[0]) & (table.cell == cell) & (table.lo <= place) & (place < table.hi)]

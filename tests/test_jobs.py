@@ -13,7 +13,7 @@ from newsgraph.plans import jobs
 from newsgraph.schemas import GKG_FILE
 from newsgraph.sources import bundle, sinks
 from newsgraph.sources.daystore import DayStore, missing_days
-from newsgraph.sources.feed import read_feed, read_landed_days, stream_feed
+from newsgraph.sources.feed import landed_days, read_feed, read_landed_days, stream_feed
 from newsgraph.sources.holdings import read_holdings
 from newsgraph.operators.articles import reformat_articles
 from newsgraph.operators.universe import alias_table
@@ -131,10 +131,12 @@ def test_make_products(spark, tmp_path, rows, universe):
     land(tmp_path / "in", DAYS)
     landed = read_landed_days(spark, str(tmp_path / "in"))
     options = dict(walk_length=5, walks_per_vertex=6, dimensions=4, neighbors=2)
+    days = landed_days(spark, str(tmp_path / "in"))
+    assert rows(days) == [(date(2020, 12, d),) for d in (1, 2, 4)]
     with pytest.raises(ValueError, match="2020-12-03"):
         jobs.make_products(landed, universe, str(tmp_path / "out"), "2020-12-01", "2020-12-04", **options)
     made = jobs.make_products(
-        landed, universe, str(tmp_path / "out"), "2020-12-01", "2020-12-04", on_error="skip", **options
+        landed, universe, str(tmp_path / "out"), "2020-12-01", "2020-12-04", on_error="skip", days=days, **options
     )
     edges = rows(spark.read.parquet(made.edges))
     assert edges == [("apple", "apple", 1), ("apple", "nike", 3), ("apple", "visa", 3), ("nike", "visa", 2)]
@@ -145,6 +147,8 @@ def test_make_products(spark, tmp_path, rows, universe):
     assert wide.loc[2].drop("date").equals(wide.loc[1].drop("date"))
     assert sorted(c for c in wide if c.endswith("_diff")) == ["apple_diff", "nike_diff", "visa_diff"]
     assert pd.isna(wide.nike_diff[1]) and wide.apple_diff[0] == 0.0
+    social = spark.read.option("header", True).csv(f"{made.wide_scores}/daily_S")
+    assert social.columns == ["date", "industry_tone", "apple_diff", "nike_diff", "visa_diff"]
     assert spark.read.parquet(made.points).count() == 3
     assert spark.read.parquet(made.connections).count() == 6
     assert spark.read.option("header", True).csv(made.articles_csv).count() == 10
