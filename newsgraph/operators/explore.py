@@ -169,7 +169,7 @@ def metric_over_time(
     )
     lines = F.array(
         F.struct(
-            F.initcap(F.lit(company)).alias("WHO"),
+            F.lit(company.title()).alias("WHO"),
             F.col("company").alias("value"),
             (F.col("company_rows") > 0).alias("shown"),
         ),
@@ -226,9 +226,7 @@ def score_over_time(
     diffs: DataFrame, company: str, segments: list[str], start: str, end: str
 ) -> DataFrame:
     """``(WHO, ESG, DATE, Score)``: company and industry score lines."""
-    company_line = segment_series(diffs, company, segments).withColumn(
-        "WHO", F.initcap(F.lit(company))
-    )
+    company_line = segment_series(diffs, company, segments).withColumn("WHO", F.lit(company.title()))
     industry_line = industry_series(diffs, segments).withColumn("WHO", F.lit(INDUSTRY_LABEL))
     lines = date_range(company_line.unionByName(industry_line), start, end)
     return lines.select("WHO", segment_label(F.col("ESG")).alias("ESG"), "DATE", "Score")

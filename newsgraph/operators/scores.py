@@ -35,7 +35,7 @@ def daily_sums(articles: DataFrame, by_org: bool = True) -> DataFrame:
             F.sum(_when(segment, F.col("Tone"))).alias(f"{segment}_tone"),
             F.sum(_when(segment, F.col("WordCount"))).alias(f"{segment}_words"),
         ]
-    wide = articles.filter(F.col("DATE").isNotNull()).groupBy(*keys).agg(*parts)
+    wide = articles.filter(F.to_date("DATE").isNotNull()).groupBy(*keys).agg(*parts)
     rows = F.array(
         *[
             F.struct(

@@ -14,9 +14,10 @@ from newsgraph.operators.explore import any_flag
 from newsgraph.operators.graph import comention_edges
 from newsgraph.operators.neighbors import connections_topk
 from newsgraph.operators.reshape import averages_wide, connections_wide, scores_wide
-from newsgraph.operators.scores import SEGMENTS, average_scores, daily_sums, diff_of_sums, industry_tone
+from newsgraph.operators.scores import average_scores, daily_sums, diff_of_sums, industry_tone
 from newsgraph.operators.universe import alias_table
 from newsgraph.operators.walks import random_walks
+from newsgraph.sources.bundle import SEGMENT_FILES, bundle_paths
 from newsgraph.sources.daystore import DayStore
 from newsgraph.sources.sinks import write_csv, write_table
 
@@ -28,16 +29,15 @@ class Products:
         self.store = f"{base}/daily_data"
         self.aliases = f"{base}/aliases"
         folder = f"{base}/{start}__to__{end}"
-        self.articles_csv = f"{folder}/articles_csv"
         self.sums = f"{folder}/daily_sums"
         self.diffs = f"{folder}/daily_scores"
         self.averages = f"{folder}/average_scores"
-        self.wide_scores = f"{folder}/wide_scores"
         self.edges = f"{folder}/edges"
         self.vectors = f"{folder}/vectors"
-        self.points = f"{folder}/pca_embeddings"
+        self.points = f"{folder}/points"
         self.connections = f"{folder}/connections"
-        self.connections_csv = f"{folder}/connections_csv"
+        self.bundle = f"{folder}/bundle"
+        self.files = bundle_paths(self.bundle)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -79,12 +79,12 @@ def build_articles(
     store.update(landed, build, start, end, **update)
     articles = store.read(start, end)
     if save_csv:
-        write_csv(export_columns(articles), products.articles_csv)
+        write_csv(export_columns(articles), products.files["data"])
     return articles
 
 
 def build_scores(articles: DataFrame, products: Products, wide: bool = True) -> None:
-    """Daily and average scores, and their wide files after the gap fill.
+    """Daily and average scores, and the wide files of the bundle, gaps filled.
 
     The articles are read once, for the daily sums; everything after works on
     the stored sums.
@@ -101,16 +101,16 @@ def build_scores(articles: DataFrame, products: Products, wide: bool = True) ->
     orgs = [row["org"] for row in diffs.select("org").distinct().orderBy("org").collect()]
     filled = fill_gaps(diffs)
     industry = fill_gaps_rows(industry_tone(sums), ["segment"])
-    for segment in SEGMENTS:
+    for segment, file in SEGMENT_FILES.items():
         of_segment = F.col("segment") == segment
         table = scores_wide(
             filled.filter(of_segment).drop("segment"),
             industry.filter(of_segment).drop("segment"),
             orgs,
         )
-        write_csv(table.orderBy("date"), f"{products.wide_scores}/daily_{segment}", single_file=True)
+        write_csv(table.orderBy("date"), products.files[file], single_file=True)
     averages = averages_wide(spark.read.parquet(products.averages), orgs)
-    write_csv(averages, f"{products.wide_scores}/averages", single_file=True)
+    write_csv(averages, products.files["ESG"], single_file=True)
 
 
 def build_graph(
@@ -132,7 +132,11 @@ def build_graph(
     write_table(pca_projection(vectors), products.points)
     write_table(connections_topk(vectors, neighbors), products.connections)
     connections = spark.read.parquet(products.connections)
-    write_csv(connections_wide(connections, neighbors), products.connections_csv, single_file=True)
+    numbered = F.monotonically_increasing_id().alias("index")
+    write_csv(connections_wide(connections, neighbors).select(numbered, "*"), products.files["conn"])
+    points = spark.read.parquet(products.points)
+    named = [F.col(f"pc{i}").alias(str(i)) for i in range(3)]
+    write_csv(points.select(*named, F.col("id").alias("company")), products.files["embed"])
 
 
 def make_products(

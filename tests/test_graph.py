@@ -114,6 +114,8 @@ def test_neighbor_list_and_labels(spark, rows):
         "company string, rank int, neighbor string, confidence double",
     )
     assert [tuple(r) for r in neighbors.neighbor_confidence(near, "acme", 1).collect()] == [("b", 0.9)]
+    shout = neighbors.embedding_labels(spark.createDataFrame([("at&t",)], "company string"), near, "at&t")
+    assert rows(shout) == [("at&t", "Company: At&T")]
     points = spark.createDataFrame([("acme",), ("b",), ("c",), ("d",)], "company string")
     assert rows(neighbors.embedding_labels(points, near, "acme", 2)) == [
         ("acme", "Company: Acme"), ("b", "Connected Company"), ("c", "Connected Company"), ("d", "Other Company"),

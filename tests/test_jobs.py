@@ -140,18 +140,25 @@ def test_make_products(spark, tmp_path, rows, universe):
     )
     edges = rows(spark.read.parquet(made.edges))
     assert edges == [("apple", "apple", 1), ("apple", "nike", 3), ("apple", "visa", 3), ("nike", "visa", 2)]
-    wide = pd.concat(
-        pd.read_csv(f"{made.wide_scores}/daily_E/{f}") for f in os.listdir(f"{made.wide_scores}/daily_E") if f.endswith(".csv")
-    )
+    daily = made.files["E_score"]
+    wide = pd.concat(pd.read_csv(f"{daily}/{f}") for f in os.listdir(daily) if f.endswith(".csv"))
     assert wide.date.tolist() == ["2020-12-01", "2020-12-02", "2020-12-03", "2020-12-04"]
     assert wide.loc[2].drop("date").equals(wide.loc[1].drop("date"))
     assert sorted(c for c in wide if c.endswith("_diff")) == ["apple_diff", "nike_diff", "visa_diff"]
     assert pd.isna(wide.nike_diff[1]) and wide.apple_diff[0] == 0.0
-    social = spark.read.option("header", True).csv(f"{made.wide_scores}/daily_S")
+    social = spark.read.option("header", True).csv(made.files["S_score"])
     assert social.columns == ["date", "industry_tone", "apple_diff", "nike_diff", "visa_diff"]
     assert spark.read.parquet(made.points).count() == 3
     assert spark.read.parquet(made.connections).count() == 6
-    assert spark.read.option("header", True).csv(made.articles_csv).count() == 10
+    assert spark.read.option("header", True).csv(made.files["data"]).count() == 10
+    got = bundle.read_bundle(spark, made.bundle, neighbors=2)
+    assert rows(got.connections.select("company", "rank", "neighbor")) == rows(
+        spark.read.parquet(made.connections).select("company", "rank", "neighbor")
+    )
+    stored = {(r.segment, r.org): r.score for r in spark.read.parquet(made.averages).collect()}
+    assert {(r.segment, r.org): pytest.approx(r.score / 10000) for r in got.scores.filter("score is not null").collect()} == stored
+    assert got.diffs.filter("segment = 'T' and org = 'nike'").count() == 4
+    assert got.articles.count() == 10 and sorted(r.company for r in got.points.collect()) == ["apple", "nike", "visa"]
     before = sorted(os.listdir(made.averages))
     jobs.make_products(landed, universe, str(tmp_path / "out"), "2020-12-01", "2020-12-04", on_error="skip", **options)
     assert sorted(os.listdir(made.averages)) == before
