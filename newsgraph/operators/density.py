@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsgraph.session import stored
+
 # Beyond this many bandwidths the kernel's exp() is exactly zero in a double,
 # so spreading a value further would add nothing.
 _REACH = 39.0
@@ -12,6 +16,8 @@ _REACH = 39.0
 _ACCURACY = 10_000
 # So many values are fetched and picked from directly.
 _FEW = 20_000
+# A column with more rows is not read again once its values are bracketed.
+_LONG = 10_000_000
 
 
 def order_statistics(values: DataFrame, column: str, ranks: list[int], rows: int) -> list[float]:
@@ -22,62 +28,89 @@ def order_statistics(values: DataFrame, column: str, ranks: list[int], rows: int
     the open bracket shrinks by the sketch's accuracy each round, until few
     values are left in it. What reaches the driver is a handful of numbers per
     round, whatever the size of the column; copies of one value cannot stall
-    it because a bracket never contains its own ends.
+    it because a bracket never contains its own ends. Of a long column only
+    the first round reads all: the bracketed values are stored for the others.
     """
     v = F.col(column)
     values = values.select(v).filter(v.isNotNull())
     brackets = {rank: (None, None, 0, rows) for rank in set(ranks)}
     found: dict[int, float] = {}
-
-    def within(lo, hi):
-        test = F.lit(True)
-        if lo is not None:
-            test = test & (v > lo)
-        if hi is not None:
-            test = test & (v < hi)
-        return test
-
     while brackets:
-        for rank in [r for r, b in brackets.items() if b[3] <= _FEW]:
-            lo, hi, below, _ = brackets.pop(rank)
-            counts = values.filter(within(lo, hi)).groupBy(v).count().orderBy(v).collect()
-            for value, copies in counts:
-                below += copies
-                if rank < below:
-                    found[rank] = value
-                    break
+        for rank, bracket in list(brackets.items()):
+            if bracket[3] <= _FEW:
+                found[rank] = _picked(values, v, rank, bracket)
+                del brackets[rank]
         if not brackets:
             break
-        cuts = values.agg(
-            *[
-                F.percentile_approx(F.when(within(lo, hi), v), _marks(rank - below, inside), _ACCURACY).alias(str(rank))
-                for rank, (lo, hi, below, inside) in brackets.items()
-            ]
-        ).first()
-        tests = []
-        for rank in brackets:
-            for i, cut in enumerate(cuts[str(rank)]):
-                tests.append(F.count(F.when(v < cut, 1)).alias(f"lt_{rank}_{i}"))
-                tests.append(F.count(F.when(v <= cut, 1)).alias(f"le_{rank}_{i}"))
-        counts = values.agg(*tests).first().asDict()
-        for rank, (lo, hi, below, inside) in list(brackets.items()):
-            end = below + inside
-            for i, cut in enumerate(cuts[str(rank)]):
-                under, upto = counts[f"lt_{rank}_{i}"], counts[f"le_{rank}_{i}"]
-                if rank < under:
-                    hi, end = cut, under
-                    break
-                if rank < upto:
-                    found[rank] = cut
-                    break
-                lo, below = cut, upto
-            if rank in found:
+        for rank, (found_value, bracket) in _narrowed(values, v, brackets).items():
+            if bracket is None:
+                found[rank] = found_value
                 del brackets[rank]
             else:
-                brackets[rank] = (lo, hi, below, end - below)
+                brackets[rank] = bracket
+        if rows > _LONG and brackets:
+            inside = reduce(Column.__or__, [_within(v, b) for b in brackets.values()])
+            values = stored(values.filter(inside), "bracketed")
+            rows = sum(b[3] for b in brackets.values())
     return [found[rank] for rank in ranks]
 
 
+def _within(v: Column, bracket) -> Column:
+    lo, hi = bracket[:2]
+    test = F.lit(True)
+    if lo is not None:
+        test = test & (v > lo)
+    if hi is not None:
+        test = test & (v < hi)
+    return test
+
+
+def _picked(values: DataFrame, v: Column, rank: int, bracket) -> float:
+    """The value at ``rank`` of a bracket with few values."""
+    upto = bracket[2]
+    for value, copies in values.filter(_within(v, bracket)).groupBy(v).count().orderBy(v).collect():
+        upto += copies
+        if rank < upto:
+            return value
+    raise ValueError(f"no value at rank {rank}: the column changed while it was read")
+
+
+def _narrowed(values: DataFrame, v: Column, brackets: dict) -> dict:
+    """Per rank, its value or the smaller bracket around it."""
+    cuts = values.agg(
+        *[
+            F.percentile_approx(F.when(_within(v, b), v), _marks(rank - b[2], b[3]), _ACCURACY).alias(str(rank))
+            for rank, b in brackets.items()
+        ]
+    ).first()
+    tests = []
+    for rank, b in brackets.items():
+        for i, cut in enumerate(cuts[str(rank)]):
+            tests.append(F.count(F.when(_within(v, b) & (v < cut), 1)).alias(f"lt_{rank}_{i}"))
+            tests.append(F.count(F.when(_within(v, b) & (v <= cut), 1)).alias(f"le_{rank}_{i}"))
+    counts = values.agg(*tests).first().asDict()
+    return {
+        rank: _settled(rank, b, [(c, counts[f"lt_{rank}_{i}"], counts[f"le_{rank}_{i}"]) for i, c in enumerate(cuts[str(rank)])])
+        for rank, b in brackets.items()
+    }
+
+
+def _settled(rank: int, bracket, cuts):
+    """``(value, None)`` if a cut is at ``rank``, else ``(None, bracket)``.
+
+    Each cut comes with how many values of the bracket lie below it and up to it.
+    """
+    lo, hi, before, inside = bracket
+    below, end = before, before + inside
+    for cut, under, upto in cuts:
+        if rank < before + under:
+            return None, (lo, cut, below, before + under - below)
+        if rank < before + upto:
+            return cut, None
+        lo, below = cut, before + upto
+    return None, (lo, hi, below, end - below)
+
+
 def _marks(place: int, inside: int) -> list[float]:
     share = place / inside
     return [max(0.0, share - 3 / _ACCURACY), min(1.0, share + 3 / _ACCURACY)]

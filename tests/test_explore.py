@@ -138,10 +138,11 @@ def test_density_of_one_value_and_far_outlier(spark):
     assert len(found) == 100 and (found.density >= 0).all() and (found.density == 0).sum() > 90
 
 
-@pytest.mark.parametrize("few", [20_000, 5])
+@pytest.mark.parametrize("few, long", [(20_000, 10_000_000), (5, 10_000_000), (5, 100)])
 @pytest.mark.parametrize("kind", ["normal", "hot", "two", "constant"])
-def test_order_statistics(spark, monkeypatch, few, kind):
+def test_order_statistics(spark, monkeypatch, few, long, kind):
     monkeypatch.setattr(density, "_FEW", few)
+    monkeypatch.setattr(density, "_LONG", long)
     rng = np.random.default_rng(1)
     n = 3001
     values = {
