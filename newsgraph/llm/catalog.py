@@ -3,21 +3,37 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import chat_format, sharding, url_filter
+from newsgraph.llm import chat_format, language_id, near_dup, packing, quality_rules, sharding, token_files, url_filter
 from newsgraph.llm.tables import table
+from newsgraph.session import shared_folder, stored
 
 # What the queries ask for.
 SHARDS = 40
 EXTRA_CONVERSATION = -7
 EXTRA_TEXT = "</s>[INST] ok [/INST]"
 
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path() -> str:
+    """The place of the public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = url_filter.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "n_strict", "soft_weight", "terms")
@@ -43,6 +59,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
     digest = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
@@ -52,8 +72,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
+    listed = stored(token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path()), "listed")
+    scanned = stored(token_files.scan_blocks(token_files.token_blocks(spark, folder), folder), "scanned")
+    counted = token_files.document_lengths(scanned)
+    return listed.join(counted, ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "start")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op5_near_dup": op5_near_dup,
     "op6_sharding": op6_sharding,
+    "op7_language_id": op7_language_id,
+    "op8_quality_rules": op8_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }

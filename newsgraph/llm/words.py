@@ -114,9 +114,12 @@ def lookup(members: bytes) -> np.ndarray:
     return table
 
 
-def find_words(data: np.ndarray, at: np.ndarray, lower: bool) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text; ``lower`` ignores the case of A-Z."""
-    space = lookup(SPACES)
+def find_words(data: np.ndarray, at: np.ndarray, lower: bool, breaks: bytes = SPACES) -> Words:
+    """Longest runs of other bytes than ``breaks``: words ``[^\\x20\\x09-\\x0D]+`` of every text.
+
+    ``lower`` ignores the case of A-Z in the hashes.
+    """
+    space = lookup(breaks)
     hashes, starts, ends, place = [], [], [], int(at[0])
     for cut in cuts(data, at, space):
         block = data[place:cut]
@@ -140,14 +143,14 @@ def find_words(data: np.ndarray, at: np.ndarray, lower: bool) -> Words:
     return Words(np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, at))
 
 
-def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``size`` words within a text, and the number of each run's text."""
+def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``size`` words within a text, the number of each run's text, its first word."""
     total = len(words.hashes) - size + 1
     text_of = np.repeat(np.arange(len(words.first) - 1), words.counts())
     if total <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashed = np.zeros(total, np.uint64)
     for k in range(size):
         hashed = mix(hashed + np.uint64(0x9E3779B97F4A7C15)) + words.hashes[k : k + total]
     inside = text_of[:total] == text_of[size - 1 :]
-    return mix(hashed[inside]), text_of[:total][inside]
+    return mix(hashed[inside]), text_of[:total][inside], np.flatnonzero(inside)
