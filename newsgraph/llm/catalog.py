@@ -8,7 +8,18 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsgraph.llm import chat_format, language_id, near_dup, packing, quality_rules, sharding, token_files, url_filter
+from newsgraph.llm import (
+    chat_format,
+    decontaminate,
+    language_id,
+    lm_score,
+    near_dup,
+    packing,
+    quality_rules,
+    sharding,
+    token_files,
+    url_filter,
+)
 from newsgraph.llm.tables import table
 from newsgraph.session import shared_folder, stored
 
@@ -59,6 +70,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -81,6 +96,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "rule")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid4().hex}"
     listed = stored(token_files.write_token_files(table(spark, sf_dir, "documents"), folder, tokenizer_path()), "listed")
@@ -93,9 +112,11 @@ QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
     "op3_chat_format": op3_chat_format,
+    "op4_decontamination": op4_decontamination,
     "op5_near_dup": op5_near_dup,
     "op6_sharding": op6_sharding,
     "op7_language_id": op7_language_id,
     "op8_quality_rules": op8_quality_rules,
+    "op9_lm_score": op9_lm_score,
     "op10_token_counts": op10_token_counts,
 }

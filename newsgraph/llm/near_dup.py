@@ -230,3 +230,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of a group the smallest doc_id stays.
+
+    Of rows with equal id and text one stays. Rows are found by id and text
+    hash; the ids taken out are a small part and are broadcast where their size
+    allows.
+    """
+    judged = near_duplicates(docs.select("doc_id", "text"))
+    gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
+    ids = docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
+    twice = stored(ids.select("twice"), "twice")
+    same = docs["doc_id"].eqNullSafe(twice["twice"])
+    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

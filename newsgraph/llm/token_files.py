@@ -134,7 +134,7 @@ def document_lengths(scanned: DataFrame) -> DataFrame:
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ends_before"),
         F.coalesce(F.max("last_end").over(before), F.lit(-1)).alias("end_before"),
     )
-    joined = scanned.select("file", "block", "ends").join(carried, ["file", "block"])
+    joined = scanned.filter(F.size("ends") > 0).select("file", "block", "ends").join(carried, ["file", "block"])
     previous = F.concat(F.array("end_before"), F.slice("ends", F.lit(1), F.greatest(F.size("ends") - 1, F.lit(0))))
     rows = joined.select("file", "ends_before", F.posexplode(F.arrays_zip(F.col("ends").alias("e"), previous.alias("p"))).alias("k", "z"))
     return rows.select(

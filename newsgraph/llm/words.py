@@ -9,6 +9,7 @@ and a very long text needs no more than a short one at a time.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,6 +45,17 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at
 
 
+def slices(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_texts: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts with a bounded ``text`` column, so that arrays over its words stay small."""
+    _, at = raw_text(batch.column("text"))
+    i, n = 0, batch.num_rows
+    while i < n:
+        j = int(np.searchsorted(at, at[i] + most_bytes, "right")) - 1
+        j = min(max(j, i + 1), i + most_texts, n)
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     cache = worker_cache()
     if "powers" not in cache or len(cache["powers"][0]) < n:
