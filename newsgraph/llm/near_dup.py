@@ -7,8 +7,9 @@ ranks instead of drawing a hash per coordinate.
 
 Documents with equal shingle sets are one class, and only classes are compared.
 Classes that agree in a band are candidates. First neighbours in the order of a
-bucket are verified, which is linear in its size and joins groups of copies;
-then pairs of a bucket that are still in different components. Links are
+bucket are verified, which is linear in its size and joins groups of copies.
+Then classes of a bucket that are still in different components are compared:
+pair by pair, or block by block where one of the components is large. Links are
 confirmed on full shingle sets, fetched for candidates only.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsgraph.llm.components import components
-from newsgraph.llm.words import Words, find_words, mix, raw_text, shingles, worker_cache
+from newsgraph.llm.words import Words, find_words, mix, raw_text, shingles, slices, worker_cache
 from newsgraph.session import stored
 
 SHINGLE = 5
@@ -33,6 +34,8 @@ CIRCLE = 1 << 20
 # Coordinates of two documents at the threshold agree in their lowest bit about
 # 0.875 of the time; five standard deviations below that a pair is dismissed.
 LEAST_BITS = COORDINATES * 0.875 - 5 * (COORDINATES * 0.875 * 0.125) ** 0.5
+# Components with more classes are met in blocks of BLOCK, smaller ones pair by pair.
+LARGE, BLOCK = 32, 256
 BITS = [f"bits{k}" for k in range(COORDINATES // 64)]
 
 
@@ -102,7 +105,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             sets = shingle_sets(find_words(*raw_text(batch.column("text")), lower=True))
             full = [k for k, s in enumerate(sets) if len(s)]
             made = np.array([signature(sets[k]) for k in full], np.int32).reshape(-1, COORDINATES)
@@ -133,37 +136,38 @@ def may_link(a, b) -> Column:
     return sizes & (differ <= int(COORDINATES - LEAST_BITS))
 
 
-def linked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose full sets are similar enough.
-
-    Sets are made again from the texts of the classes in question, one document
-    each; a pair travels with its two sets.
-    """
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = classes.join(asked, "node", "left_semi")
-    ids = wanted.select(F.col("least_id").alias("id")).distinct()
+def class_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, hashes``: the full sets of the classes ``asked`` for, made again from one text of each."""
+    ids = classes.join(asked, "node", "left_semi").select(F.col("least_id").alias("id")).distinct()
     texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = shingle_sets(find_words(*raw_text(batch.column("text")), lower=True))
-            for at in range(0, len(sets), 500):
-                part = [s for s in sets[at : at + 500] if len(s)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_key(s) for s in part], pa.binary()), pa.array([s.tobytes() for s in part], pa.binary())],
-                    names=["node", "hashes"],
-                )
+        for batch in (part for whole in batches for part in slices(whole)):
+            sets = [s for s in shingle_sets(find_words(*raw_text(batch.column("text")), lower=True)) if len(s)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["node", "hashes"],
+            )
 
     sets = texts.mapInArrow(sets_of, "node binary, hashes binary").join(asked, "node", "left_semi")
-    sets = stored(sets.dropDuplicates(["node"]), "sets")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _sets_in(column) -> list[np.ndarray]:
+    return [np.frombuffer(v.as_buffer(), np.uint64) for v in column]
+
+
+def linked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose full sets are similar enough; a pair travels with its two sets."""
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = class_sets(asked, classes, docs)
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            for s, t in zip(_sets_in(batch.column("left")), _sets_in(batch.column("right"))):
                 s, t = (s, t) if len(s) < len(t) else (t, s)
                 common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
                 keep.append(100 * common >= PERCENT * (len(s) + len(t) - common))
@@ -172,6 +176,48 @@ def linked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(confirm, "a binary, b binary")
 
 
+def linked_to_groups(visits: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """A link ``a, b`` from each visitor to each group that holds a similar class.
+
+    ``visits`` is ``node, root``, ``members`` is ``node, root`` of the groups.
+    Visitors and members of a group are dealt into blocks, and blocks are compared
+    with each other: a set travels once per block of the other side, no pairs are
+    emitted, and no task holds a whole group.
+    """
+    nodes = visits.select("node").union(members.select("node")).distinct()
+    sets = class_sets(nodes, classes, docs)
+    blocks = lambda df, name: df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+    counted = blocks(visits, "of_visits").join(blocks(members, "of_members"), "root")
+    part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    held = members.join(counted, "root").select("root", "node", part("of_members").alias("m"), all_of("of_visits").alias("v"))
+    come = visits.join(counted, "root").select("root", "node", all_of("of_members").alias("m"), part("of_visits").alias("v"))
+
+    def compare(one: pa.Table, two: pa.Table) -> pa.Table:
+        found = []
+        if one.num_rows and two.num_rows:
+            own = _sets_in(two.column("hashes"))
+            sizes = np.array([len(s) for s in own])
+            hashes = np.concatenate(own)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], np.repeat(np.arange(len(own)), sizes)[order]
+            names = two.column("node").to_pylist()
+            for name, s in zip(one.column("node").to_pylist(), _sets_in(one.column("hashes"))):
+                begin, end = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
+                times = end - begin
+                at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
+                common = np.bincount(owner[at], minlength=len(own))
+                hits = np.flatnonzero(100 * common >= PERCENT * (len(s) + sizes - common))
+                if len(hits):
+                    found.append((name, names[hits[0]]))
+        a, b = zip(*found) if found else ((), ())
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    key = ["root", "m", "v"]
+    fresh = lambda df: df.join(sets, "node").select(*[F.col(c).alias(c) for c in ("node", "hashes", *key)])
+    return fresh(come).groupBy(*key).cogroup(fresh(held).groupBy(*key)).applyInArrow(compare, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
 
@@ -209,15 +255,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = stored(linked_pairs(tried, classes, docs), "linked")
 
     roots = components(links)
-    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sizes, "root", "left")
+    placed = placed.withColumn("size", F.coalesce("size", F.lit(1)))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     apart = stored(placed.join(mixed.select("band"), "band", "left_semi"), "apart")
-    x, y = apart.alias("x"), apart.alias("y")
+    x, y = apart.filter(F.col("size") <= LARGE).alias("x"), apart.filter(F.col("size") <= LARGE).alias("y")
     side = lambda s: lambda c: F.col(f"{s}.{c}")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & may_link(side("x"), side("y"))
     others = x.join(y, meet).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
     others = stored(others.join(tried, ["a", "b"], "left_anti"), "pairs")
-    roots = components(stored(links.union(linked_pairs(others, classes, docs)), "linked"))
+    large = apart.filter(F.col("size") > LARGE).select("band", F.col("root").alias("group"), F.col("size").alias("of")).distinct()
+    smaller = (F.col("size") < F.col("of")) | ((F.col("size") == F.col("of")) & (F.col("root") < F.col("group")))
+    visits = apart.join(large, "band").filter(smaller).select("node", F.col("group").alias("root")).distinct()
+    visits = stored(visits, "visits")
+    visited = stored(roots.join(visits.select("root").distinct(), "root", "left_semi").select("node", "root"), "visited")
+    more = linked_pairs(others, classes, docs).union(linked_to_groups(visits, visited, classes, docs))
+    roots = components(stored(links.union(more), "linked"))
 
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
