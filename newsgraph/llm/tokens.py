@@ -19,21 +19,30 @@ LONGEST = 48
 ID_BYTES = 4
 # A letters-only part keeps its ids when one of these follows it.
 _TAIL = ".,!?;:#*$%&"
+# Letters before this are composed already and have the same lower case everywhere.
+_LATIN_END = "\u0250"
 # Python splits at these, the tokenizer does not.
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids by part, found by the tokenizer when missing."""
+    """Little-endian unsigned 32-bit ids by part, found by the tokenizer when missing.
 
-    def __init__(self, encode):
-        self.encode = encode
+    ``encode`` takes any text; ``spell`` takes lower-case Latin letters, which
+    need no normalising and are one word to the tokenizer.
+    """
+
+    def __init__(self, encode, spell):
+        self.encode, self.spell = encode, spell
 
     def __missing__(self, part: str) -> bytes:
         core = part.rstrip(_TAIL)
-        if core and core.isascii() and core.isalpha() and (len(core) < len(part) or not core.islower()):
-            tail = part[len(core) :]
-            ids = self[core.lower()] + (self[tail] if tail else b"")
+        if core and core.isalpha() and max(core) < _LATIN_END:
+            low, tail = core.lower(), part[len(core) :]
+            if low == part:
+                ids = self.spell(part)
+            else:
+                ids = self[low] + (self[tail] if tail else b"")
         else:
             ids = self.encode(part)
         if len(part) <= LONGEST:
@@ -43,6 +52,13 @@ class WordIds(dict):
         return ids
 
 
+def _shown_bytes() -> dict[int, int]:
+    """The character that stands for each byte in the vocabulary of a byte-level tokenizer."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
+
+
 def text_encoder(path: str, plain_specials: bool):
     """A function from a text to the bytes of its ids.
 
@@ -59,7 +75,14 @@ def text_encoder(path: str, plain_specials: bool):
         def encode(text: str) -> bytes:
             return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-        word_ids = WordIds(encode)
+        shown = _shown_bytes()
+
+        def spell(word: str) -> bytes:
+            mapped = word.encode().decode("latin-1").translate(shown)
+            return np.array([t.id for t in tokenizer.model.tokenize(mapped)], "<u4").tobytes()
+
+        words = ["the", "étéñß", "xylophonist", "q"]
+        word_ids = WordIds(encode, spell if all(spell(w) == encode(w) for w in words) else encode)
 
         def whole(text: str) -> bytes:
             if _ODD_SPACES.search(text):
