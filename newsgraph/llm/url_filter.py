@@ -21,7 +21,7 @@ ALLOW, BLOCK = "allow", "block"
 STRICT_TERMS = (
     "porn", "xxx", "hentai", "camgirls", "escorts", "warez", "keygen", "onlinecasino", "viagra", "cialis",
 )
-# Soft terms and their weights: two of weight 1, or one strong pair member and any other.
+# Soft terms and their weights; distinct ones of SOFT_LIMIT together reject.
 SOFT_TERMS = {
     "adult": 1, "bet": 1, "betting": 1, "casino": 1, "crack": 1, "dating": 1, "escort": 1, "free": 1, "gambling": 1,
     "hot": 1, "jackpot": 1, "loan": 1, "lottery": 1, "nude": 1, "payday": 1, "pharmacy": 1, "pills": 1, "poker": 1,
