@@ -15,6 +15,7 @@ counts are sent along.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,13 +78,17 @@ def _narrow(context: np.ndarray) -> np.ndarray:
     return context >> np.uint64(64 - 8 * CONTEXT_BYTES)
 
 
+NAMES = ["shard", "slice", "doc_ids", "n_tokens", "train", "words", "times", "contexts", "texts"]
+
+
 def occurrences(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
-    """Tokens with their contexts as one row per slice and shard.
+    """Tokens with their contexts as one row per slice and shard, and one row about each slice.
 
-    ``doc_ids, hashes, train`` describe the documents of the row; ``words`` and
-    ``times`` are the distinct tokens and how often each stands in the row;
-    ``contexts`` and ``texts`` are, in that order, what stood before each and the
-    number of its document in the row.
+    ``slice`` names the slice by its content and ``train`` has a bit per document
+    of it. ``words`` and ``times`` are the distinct tokens and how often each
+    stands in the row; ``contexts`` and ``texts`` are, in that order, what stood
+    before each and the number of its document in the slice. The row about a
+    slice has its ``doc_ids`` and their ``n_tokens`` instead.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,67 +99,62 @@ def occurrences(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
                 before[before == END] = BEGIN
                 context = _narrow(before)
                 is_hot = np.isin(tokens, hot)
-                shard = (mix(np.where(is_hot, tokens ^ mix(context), tokens)) % np.uint64(shards)).astype(np.uint16 if shards < 65536 else np.uint32)
+                shard = mix(np.where(is_hot, tokens ^ mix(context), tokens)) % np.uint64(shards)
+                shard = shard.astype(np.uint16 if shards < 65536 else np.uint32)
                 order = np.argsort(shard, kind="stable")
                 bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                ids, hashes, train = part.column("doc_id"), part.column("text_hash"), part.column("train")
-                rows = [[] for _ in range(8)]
+                ids = part.column("doc_id")
+                train = np.packbits(part.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
+                counts = np.bincount(text_of, minlength=part.num_rows).astype("<u4").tobytes()
+                told = hashlib.blake2b(repr(ids.to_pylist()).encode() + train + tokens.tobytes(), digest_size=16)
+                name = told.digest()
+                rows = [(int.from_bytes(name[:4]) % shards, name, ids.to_pylist(), counts, train, b"", b"", b"", b"")]
                 for s in np.flatnonzero(np.diff(bounds)):
                     own = order[bounds[s] : bounds[s + 1]]
                     own = own[np.lexsort((context[own], tokens[own]))]
                     words, times = np.unique(tokens[own], return_counts=True)
-                    texts, number = np.unique(text_of[own], return_inverse=True)
-                    picked = pa.array(texts)
                     narrow = context[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CONTEXT_BYTES]
-                    values = (
-                        int(s), ids.take(picked).to_pylist(), hashes.take(picked).to_numpy().tobytes(),
-                        train.take(picked).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes(),
-                        words.tobytes(), times.astype("<u4").tobytes(), narrow.tobytes(), number.astype("<u2").tobytes(),
-                    )
-                    for column, value in zip(rows, values):
-                        column.append(value)
-                kinds = [pa.int32(), pa.list_(ids.type), *[pa.binary()] * 6]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=NAMES)
-
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), in_training(F.col("doc_id")).alias("train"))
-    fields = f"shard int, doc_ids array<{kind}>, " + ", ".join(f"{n} binary" for n in NAMES[2:])
+                    packed = (words.tobytes(), times.astype("<u4").tobytes(), narrow.tobytes(), text_of[own].astype("<u2").tobytes())
+                    rows.append((int(s), name, [], b"", train, *packed))
+                kinds = [pa.int32(), pa.binary(), pa.list_(ids.type), *[pa.binary()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=NAMES)
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", in_training(F.col("doc_id")).alias("train"))
+    fields = f"shard int, slice binary, doc_ids array<{kind}>, " + ", ".join(f"{n} binary" for n in NAMES[3:])
     return rows.mapInArrow(deal, fields)
 
 
-NAMES = ["shard", "doc_ids", "hashes", "train", "words", "times", "contexts", "texts"]
+def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), kind) for x in column.combine_chunks()]
 
 
 def _gathered(table: pa.Table) -> tuple:
-    """Aligned arrays of a shard's rows: words, number of each token's word, contexts, documents."""
-    words, times, contexts, texts, offset = [], [], [], [], 0
-    column = {n: table.column(n).combine_chunks() for n in NAMES[1:]}
-    lengths = np.array([len(x) for x in column["doc_ids"]])
-    joined = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in column[name]]
-    for w, t, c, x, n in zip(joined("words", np.uint64), joined("times", "<u4"), joined("contexts", np.uint8), joined("texts", "<u2"), lengths):
-        words.append(w)
-        times.append(t)
-        wide = np.zeros((len(c) // CONTEXT_BYTES, 8), np.uint8)
-        wide[:, :CONTEXT_BYTES] = c.reshape(-1, CONTEXT_BYTES)
-        contexts.append(wide.view("<u8").ravel())
-        texts.append(x.astype(np.int64) + offset)
-        offset += n
+    """Aligned arrays of a shard's rows: words, then of each token the word's number, context, row, text, training."""
+    words, times, contexts = _arrays(table["words"], np.uint64), _arrays(table["times"], "<u4"), _arrays(table["contexts"], np.uint8)
+    texts, train = _arrays(table["texts"], "<u2"), _arrays(table["train"], np.uint8)
     all_words, number = np.unique(np.concatenate(words), return_inverse=True)
     word_of = np.repeat(number, np.concatenate(times))
-    hashes = np.concatenate(joined("hashes", np.int64))
-    train = np.concatenate(joined("train", np.uint8)).astype(bool)
-    return all_words, word_of, np.concatenate(contexts), np.concatenate(texts), hashes, train, column["doc_ids"].flatten()
+    narrow = np.concatenate(contexts).reshape(-1, CONTEXT_BYTES)
+    wide = np.zeros((len(narrow), 8), np.uint8)
+    wide[:, :CONTEXT_BYTES] = narrow
+    row_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    learn = [np.unpackbits(t)[x].astype(bool) for t, x in zip(train, texts)]
+    return all_words, word_of, wide.view("<u8").ravel(), row_of, np.concatenate(texts).astype(np.int64), np.concatenate(learn)
 
 
 def shard_scores(rows: DataFrame, kind: str, hot: dict[int, int], total: int, distinct: int) -> DataFrame:
-    """Sums per document and shard: ``doc_id, text_hash, ends, tokens, known, base, score``."""
+    """Sums per document, packed into one row per slice and shard.
+
+    ``slice, doc_ids, n_tokens, train`` as they came, and ``texts, tokens, known,
+    base, score``: numbers of documents in the slice, and their sums.
+    """
     hot_words = np.array(sorted(hot), np.uint64)
     hot_counts = np.array([hot[w] for w in sorted(hot)], np.int64)
-    width = float(total + distinct + 1)
+    width, low = float(total + distinct + 1), np.uint64((1 << 8 * CONTEXT_BYTES) - 1)
 
     def score(table: pa.Table) -> pa.Table:
-        words, word_of, context, text_of, hashes, train, ids = _gathered(table)
-        learn = train[text_of]
+        words, word_of, context, row_of, text_of, learn = _gathered(table)
         counts = np.bincount(word_of[learn], minlength=len(words))
         if len(hot_words):
             at = np.minimum(np.searchsorted(hot_words, words), len(hot_words) - 1)
@@ -162,32 +162,62 @@ def shard_scores(rows: DataFrame, kind: str, hot: dict[int, int], total: int, di
         prior = MU * (counts + 1) / width
         key = (word_of.astype(np.uint64) << np.uint64(8 * CONTEXT_BYTES)) | context
         pairs, times = np.unique(key[learn], return_counts=True)
-        of, before = (pairs >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64), pairs & np.uint64((1 << 8 * CONTEXT_BYTES) - 1)
-        trie = BigramTrie(words, of, before, np.log10(times + prior[of]))
+        of = (pairs >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64)
+        trie = BigramTrie(words, of, pairs & low, np.log10(times + prior[of]))
         asked, number = np.unique(key, return_inverse=True)
         asked_word = (asked >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64)
         place, _ = trie.words.successor(words[asked_word])
-        value, found = trie.find(place, asked & np.uint64((1 << 8 * CONTEXT_BYTES) - 1))
+        value, found = trie.find(place, asked & low)
         value = np.where(found, value, np.log10(prior)[asked_word])[number]
         as_context = np.where(words == END, 0.0, np.log10(counts + MU))[word_of]
-        n = len(hashes)
-        of_text = lambda x: np.bincount(text_of, x, minlength=n)
-        whole = lambda x: pa.array(np.rint(of_text(x)).astype(np.int64))
-        return pa.table(
-            [
-                ids,
-                pa.array(hashes),
-                whole((words == END)[word_of]),
-                whole(np.ones(len(word_of))),
-                whole((counts > 0)[word_of]),
-                pa.array(of_text(np.log10(counts + 1.0)[word_of])),
-                pa.array(of_text(value - as_context)),
-            ],
-            names=["doc_id", "text_hash", "ends", "tokens", "known", "base", "score"],
+        # One sum per row and text, in that order.
+        group, of_group = np.unique(row_of << 16 | text_of, return_inverse=True)
+        bounds = np.searchsorted(group >> 16, np.arange(table.num_rows + 1))
+        add = lambda x: np.bincount(of_group, x, minlength=len(group))
+        columns = [
+            (group & 0xFFFF).astype("<u2"),
+            add(np.ones(len(word_of))).astype("<u4"),
+            add((counts > 0)[word_of]).astype("<u4"),
+            add(np.log10(counts + 1.0)[word_of]),
+            add(value - as_context),
+        ]
+        packed = [pa.array([c[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for c in columns]
+        return pa.table([*(table[n] for n in NAMES[1:5]), *packed], names=[*NAMES[1:5], *SUMS])
+
+    fields = f"slice binary, doc_ids array<{kind}>, n_tokens binary, train binary, " + ", ".join(f"{n} binary" for n in SUMS)
+    return rows.groupBy("shard").applyInArrow(score, fields)
+
+
+SUMS = {"texts": "<u2", "tokens": "<u4", "known": "<u4", "base": "<f8", "score": "<f8"}
+
+
+def slice_scores(packed: DataFrame, kind: str) -> DataFrame:
+    """``doc_id, train, n_tokens, n_known, base, score`` of every document, from the rows of its slice.
+
+    Equal slices share a name; their rows add up and are dealt back evenly.
+    """
+
+    def add_up(table: pa.Table) -> pa.Table:
+        about = [k for k, c in enumerate(table["n_tokens"]) if len(c.as_buffer())]
+        columns = {n: np.concatenate(_arrays(table[n], kind)) for n, kind in SUMS.items()}
+        times = len(about)
+        ids = table["doc_ids"][about[0]].values if times else pa.array([])
+        n = len(ids)
+        texts = columns.pop("texts").astype(np.int64)
+        sums = {k: np.bincount(texts, v, minlength=n) / max(times, 1) for k, v in columns.items()}
+        tokens = np.frombuffer(table["n_tokens"][about[0]].as_buffer(), "<u4") if times else np.zeros(0)
+        if len(sums["tokens"]) != n or (sums["tokens"] != tokens).any():
+            raise RuntimeError("rows of a slice are missing: the documents changed while they were read")
+        train = np.unpackbits(np.frombuffer(table["train"][0].as_buffer(), np.uint8))[:n].astype(bool)
+        whole = lambda x: pa.array(np.rint(x).astype(np.int64))
+        one = pa.table(
+            [ids, pa.array(train), whole(tokens), whole(sums["known"]), pa.array(sums["base"]), pa.array(sums["score"])],
+            names=["doc_id", "train", "n_tokens", "n_known", "base", "score"],
         )
+        return pa.concat_tables([one] * times)
 
-    fields = f"doc_id {kind}, text_hash long, ends long, tokens long, known long, base double, score double"
-    return rows.groupBy("shard").applyInArrow(score, fields)
+    fields = f"doc_id {kind}, train boolean, n_tokens long, n_known long, base double, score double"
+    return packed.groupBy("slice").applyInArrow(add_up, fields)
 
 
 def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
@@ -215,17 +245,13 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     hot = {r["token"] & (1 << 64) - 1: r["train"] for r in frequent}
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = occurrences(docs, np.array(sorted(hot), np.uint64), shards)
-    summed = shard_scores(rows, kind, hot, total, distinct).groupBy("doc_id", "text_hash")
-    sums = summed.agg(*[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")])
-    # A document that stands there n times has n ends.
-    each = sums.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("ends"))))
-    n_tokens = (F.col("tokens") / F.col("ends")).cast("long")
-    return each.select(
+    sums = slice_scores(shard_scores(rows, kind, hot, total, distinct), kind)
+    return sums.select(
         "doc_id",
-        (~in_training(F.col("doc_id"))).alias("held_out"),
-        n_tokens.alias("n_tokens"),
-        (F.col("known") / F.col("ends")).cast("long").alias("n_known"),
+        (~F.col("train")).alias("held_out"),
+        "n_tokens",
+        "n_known",
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("ends") - n_tokens * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
-        (F.col("score") / F.col("ends") - F.lit(float(np.log10(texts + MU)))).alias("score"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(total + distinct + 1)))).alias("base_score"),
+        (F.col("score") - F.lit(float(np.log10(texts + MU)))).alias("score"),
     )
