@@ -165,7 +165,7 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int
 
 def _has_letter(column: pa.Array) -> np.ndarray:
     """Whether each text has a character that is a letter."""
-    return np.array([t.isascii() and any(map(str.isalpha, t)) or any(map(str.isalpha, t)) for t in (v.as_py() or "" for v in column)], bool)
+    return np.array([any(map(str.isalpha, v.as_py() or "")) for v in column], bool)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -175,7 +175,8 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     cut there. A null text, or one without a letter, is ``und`` with score 0, and
     so is every text without a model. Ties go to the first language by name.
     """
-    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    place = df.columns.index(text)
+    rows = df.select(F.struct("*").alias("row"))
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS rows of bits, a weight per landmark and language
@@ -184,13 +185,13 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
         known = sent.value
         marks, names = known.unpacked(), np.array(known.languages, object)
         for batch in batches:
-            n = batch.num_rows
+            n, texts = batch.num_rows, batch.column("row").field(place)
             best, top = np.zeros(n, int), np.zeros(n)
-            for i, j, present in gram_batches(batch.column("text")):
+            for i, j, present in gram_batches(texts):
                 values = known.scores(present, marks)
                 best[i:j] = values.argmax(axis=1)
                 top[i:j] = values.max(axis=1)
-            letters = _has_letter(batch.column("text"))
+            letters = _has_letter(texts)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("row"),

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.llm.words import find_words, lookup, raw_text, shingles
+from newsgraph.llm.words import find_words, lookup, raw_text, shingles, slices
 from newsgraph.session import stored
 
 # The symbols counted, and the limits of the base rules.
@@ -101,12 +101,16 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = text_statistics(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), *(pa.array(made[n].astype(np.int64)) for n in names)], names=["row", *names]
-            )
-
-    rows = df.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+            row = batch.column("row")
+            both = pa.RecordBatch.from_arrays([row, row.field(place)], names=["row", "text"])
+            for part in slices(both):
+                made = text_statistics(part.column("text"))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row"), *(pa.array(made[n].astype(np.int64)) for n in names)], names=["row", *names]
+                )
+
+    place = df.columns.index(text)
+    rows = df.select(F.struct("*").alias("row"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(count, f"row {kind}, " + ", ".join(f"{n} long" for n in names))
 

@@ -14,7 +14,7 @@ import numpy as np
 
 from newsgraph.llm.words import worker_cache
 
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 LONGEST = 48
 ID_BYTES = 4
 # A letters-only part keeps its ids when one of these follows it.

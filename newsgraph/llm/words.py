@@ -45,7 +45,7 @@ def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, at
 
 
-def slices(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_texts: int = 50_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000, most_texts: int = 50_000) -> Iterator[pa.RecordBatch]:
     """A batch in parts with a bounded ``text`` column, so that arrays over its words stay small."""
     _, at = raw_text(batch.column("text"))
     i, n = 0, batch.num_rows
@@ -54,6 +54,7 @@ def slices(batch: pa.RecordBatch, most_bytes: int = 8_000_000, most_texts: int =
         j = min(max(j, i + 1), i + most_texts, n)
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
