@@ -29,15 +29,20 @@ def flag_columns(themes: Column) -> list[Column]:
     return [has_token(themes, token).alias(flag) for flag, token in FLAG_TOKENS.items()]
 
 
+def without_nan(number: Column) -> Column:
+    """The number, or null where it is NaN."""
+    return F.nanvl(number, F.lit(None).cast("double"))
+
+
 def tone_columns(text: Column) -> list[Column]:
     """The seven tone metrics of a comma list.
 
-    Missing or non-numeric entries are null and entries past the seventh are
-    ignored, so one malformed record never fails a whole load.
+    Missing or non-numeric entries, NaN among them, are null and entries past
+    the seventh are ignored, so one malformed record never fails a whole load.
     """
     parts = F.split(text, ",")
     return [
-        F.try_element_at(parts, F.lit(position)).try_cast("double").alias(name)
+        without_nan(F.try_element_at(parts, F.lit(position)).try_cast("double")).alias(name)
         for position, name in enumerate(TONE_COLUMNS, start=1)
     ]
 

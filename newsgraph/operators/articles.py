@@ -19,10 +19,14 @@ from newsgraph.functions.text import (
 from newsgraph.operators.universe import clean_organization
 
 
-def decode_articles(feed: DataFrame) -> DataFrame:
-    """One row per article: lists split, flags and tone metrics as columns."""
-    kept = feed.select(*FEED_COLUMNS).withColumnRenamed("DocumentIdentifier", "URL")
+def decode_articles(feed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per article: lists split, flags and tone metrics as columns.
+
+    ``keep`` names further columns of the feed to carry along.
+    """
+    kept = feed.select(*FEED_COLUMNS, *keep).withColumnRenamed("DocumentIdentifier", "URL")
     return kept.select(
+        *keep,
         "DATE",
         "SourceCommonName",
         "URL",
@@ -48,12 +52,12 @@ def explode_gcam(df: DataFrame, column: str = "GCAM") -> DataFrame:
     return rows.select(*others, *gcam_columns(F.col("_entry"))).filter(F.col("kind").isNotNull())
 
 
-def reformat_articles(feed: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The article-by-company table of a raw feed.
+def reformat_articles(feed: DataFrame, aliases: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The article-by-company table of a raw feed, with the further columns ``keep``.
 
     Flags and metrics are worked out once per article, before the explode.
     """
-    exploded = decode_articles(feed).transform(explode_organizations)
+    exploded = decode_articles(feed, keep).transform(explode_organizations)
     lead = ["DATE", "SourceCommonName", "URL", "Themes", "Organizations", "E", "S", "G", "Organization"]
     tail = [c for c in exploded.columns if c not in lead]
     return clean_organization(exploded, aliases).select(*lead, *tail)
@@ -72,5 +76,5 @@ def union_days(days: list[DataFrame]) -> DataFrame:
 def stringify_nested(df: DataFrame) -> DataFrame:
     """Array and map columns as JSON text, ready for a flat file."""
     return df.select(
-        *[nested_to_text(f.dataType, F.col(f.name)).alias(f.name) for f in df.schema.fields]
+        *[nested_to_text(f.dataType, F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields]
     )

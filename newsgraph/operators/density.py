@@ -2,125 +2,49 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgraph.session import stored
-
-# Beyond this many bandwidths the kernel's exp() is exactly zero in a double,
-# so spreading a value further would add nothing.
-_REACH = 39.0
-# A quantile sketch is off by less than rows / accuracy ranks.
-_ACCURACY = 10_000
-# So many values are fetched and picked from directly.
-_FEW = 20_000
-# A column with more rows is not read again once its values are bracketed.
-_LONG = 10_000_000
-
-
-def order_statistics(values: DataFrame, column: str, ranks: list[int], rows: int) -> list[float]:
-    """The exact values at 0-based ``ranks`` of a column of ``rows`` numbers.
-
-    An exact percentile aggregate keeps every distinct value in one place.
-    Here a sketch brackets each rank, a count settles which side it is on, and
-    the open bracket shrinks by the sketch's accuracy each round, until few
-    values are left in it. What reaches the driver is a handful of numbers per
-    round, whatever the size of the column; copies of one value cannot stall
-    it because a bracket never contains its own ends. Of a long column only
-    the first round reads all: the bracketed values are stored for the others.
-    """
-    v = F.col(column)
-    values = values.select(v).filter(v.isNotNull())
-    brackets = {rank: (None, None, 0, rows) for rank in set(ranks)}
-    found: dict[int, float] = {}
-    while brackets:
-        for rank, bracket in list(brackets.items()):
-            if bracket[3] <= _FEW:
-                found[rank] = _picked(values, v, rank, bracket)
-                del brackets[rank]
-        if not brackets:
-            break
-        for rank, (found_value, bracket) in _narrowed(values, v, brackets).items():
-            if bracket is None:
-                found[rank] = found_value
-                del brackets[rank]
-            else:
-                brackets[rank] = bracket
-        if rows > _LONG and brackets:
-            inside = reduce(Column.__or__, [_within(v, b) for b in brackets.values()])
-            values = stored(values.filter(inside), "bracketed")
-            rows = sum(b[3] for b in brackets.values())
-    return [found[rank] for rank in ranks]
+from newsgraph.session import Scratch
 
+# Values whose kernels are added up at a time.
+_AT_ONCE = 8192
 
-def _within(v: Column, bracket) -> Column:
-    lo, hi = bracket[:2]
-    test = F.lit(True)
-    if lo is not None:
-        test = test & (v > lo)
-    if hi is not None:
-        test = test & (v < hi)
-    return test
-
-
-def _picked(values: DataFrame, v: Column, rank: int, bracket) -> float:
-    """The value at ``rank`` of a bracket with few values."""
-    upto = bracket[2]
-    for value, copies in values.filter(_within(v, bracket)).groupBy(v).count().orderBy(v).collect():
-        upto += copies
-        if rank < upto:
-            return value
-    raise ValueError(f"no value at rank {rank}: the column changed while it was read")
-
-
-def _narrowed(values: DataFrame, v: Column, brackets: dict) -> dict:
-    """Per rank, its value or the smaller bracket around it."""
-    cuts = values.agg(
-        *[
-            F.percentile_approx(F.when(_within(v, b), v), _marks(rank - b[2], b[3]), _ACCURACY).alias(str(rank))
-            for rank, b in brackets.items()
-        ]
-    ).first()
-    tests = []
-    for rank, b in brackets.items():
-        for i, cut in enumerate(cuts[str(rank)]):
-            tests.append(F.count(F.when(_within(v, b) & (v < cut), 1)).alias(f"lt_{rank}_{i}"))
-            tests.append(F.count(F.when(_within(v, b) & (v <= cut), 1)).alias(f"le_{rank}_{i}"))
-    counts = values.agg(*tests).first().asDict()
-    return {
-        rank: _settled(rank, b, [(c, counts[f"lt_{rank}_{i}"], counts[f"le_{rank}_{i}"]) for i, c in enumerate(cuts[str(rank)])])
-        for rank, b in brackets.items()
-    }
-
-
-def _settled(rank: int, bracket, cuts):
-    """``(value, None)`` if a cut is at ``rank``, else ``(None, bracket)``.
-
-    Each cut comes with how many values of the bracket lie below it and up to it.
-    """
-    lo, hi, before, inside = bracket
-    below, end = before, before + inside
-    for cut, under, upto in cuts:
-        if rank < before + under:
-            return None, (lo, cut, below, before + under - below)
-        if rank < before + upto:
-            return cut, None
-        lo, below = cut, before + upto
-    return None, (lo, hi, below, end - below)
 
+def order_statistics(values: DataFrame, column: str, ranks: list[int]) -> list[float]:
+    """The exact values at 0-based ``ranks`` of a column of numbers.
 
-def _marks(place: int, inside: int) -> list[float]:
-    share = place / inside
-    return [max(0.0, share - 3 / _ACCURACY), min(1.0, share + 3 / _ACCURACY)]
+    The column is sorted once by ranges and stored; the sizes of the ranges, one
+    per shuffle partition, say in which a rank lies, and it is read from that
+    range alone.
+    """
+    spark = values.sparkSession
+    v = F.col(column)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = values.select(v).filter(v.isNotNull()).repartitionByRange(parts, v)
+    with Scratch(spark) as scratch:
+        held = scratch.store(ranges.select(v, F.spark_partition_id().alias("part")), "ranges")
+        sizes = {r["part"]: r["count"] for r in held.groupBy("part").count().collect()}
+        found = {}
+        for rank in set(ranks):
+            left = rank
+            for part in sorted(sizes):
+                if left < sizes[part]:
+                    found[rank] = held.filter(F.col("part") == part).orderBy(v).offset(left).limit(1).first()[0]
+                    break
+                left -= sizes[part]
+    return [found[rank] for rank in ranks]
 
 
 def quartiles(values: DataFrame, column: str, rows: int) -> tuple[float, float]:
     """Exact first and third quartile, linear between neighbouring ranks."""
     places = [0.25 * (rows - 1), 0.75 * (rows - 1)]
     ranks = [r for place in places for r in (int(place), min(int(place) + 1, rows - 1))]
-    a, b, c, d = order_statistics(values, column, ranks, rows)
+    a, b, c, d = order_statistics(values, column, ranks)
     low, high = (place - int(place) for place in places)
     return a + (b - a) * low, c + (d - c) * high
 
@@ -136,9 +60,9 @@ def tone_density(
 ) -> DataFrame:
     """``(point, Tone, density)``: Gaussian kernel density on an even grid.
 
-    The grid runs from the smallest to the largest value. Each value is spread
-    over the grid points its kernel reaches and summed per point before
-    anything is shuffled, so the exchange carries one row per point and task.
+    The grid runs from the smallest to the largest value. A task adds the kernels
+    of all its values to one array over the grid, so the exchange carries one row
+    per point and task.
     """
     v = F.col(column)
     values = values.select(v.cast("double").alias(column))
@@ -159,18 +83,21 @@ def tone_density(
     step = (hi - lo) / (points - 1) if hi > lo else 1.0
     last = points - 1 if hi > lo else 0
 
-    reach = _REACH * width
-    first_point = F.greatest(F.lit(0), F.ceil((v - reach - lo) / step).cast("int"))
-    last_point = F.least(F.lit(last), F.floor((v + reach - lo) / step).cast("int"))
-    z = (F.lit(lo) + F.col("point") * F.lit(step) - v) / F.lit(width)
-    kernel = F.exp(z * z * F.lit(-0.5))
-    peak = 1.0 / (rows * width * (2.0 * 3.141592653589793) ** 0.5)
-    sums = (
-        values.filter(v.isNotNull())
-        .select(v, F.explode(F.sequence(first_point, last_point)).alias("point"))
-        .groupBy("point")
-        .agg((F.sum(kernel) * F.lit(peak)).alias("density"))
-    )
+    grid_points = lo + step * np.arange(last + 1)
+    peak = 1.0 / (rows * width * (2.0 * np.pi) ** 0.5)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(grid_points))
+        for batch in batches:
+            held = batch.column(0).to_numpy(zero_copy_only=False)
+            for at in range(0, len(held), _AT_ONCE):
+                z = (grid_points - held[at : at + _AT_ONCE, None]) / width
+                total += np.exp(-0.5 * z * z).sum(axis=0)
+        numbers = pa.array(np.arange(len(total)), pa.int32())
+        yield pa.RecordBatch.from_arrays([numbers, pa.array(total)], names=["point", "kernels"])
+
+    summed = values.filter(v.isNotNull()).mapInArrow(add_up, "point int, kernels double")
+    sums = summed.groupBy("point").agg((F.sum("kernels") * F.lit(peak)).alias("density"))
     grid = values.sparkSession.range(last + 1).select(F.col("id").cast("int").alias("point"))
     return grid.join(sums, "point", "left").select(
         "point",

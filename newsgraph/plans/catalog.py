@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.constants import SCORE_SCALE
+from newsgraph.constants import SCORE_SCALE, STORED_NEIGHBORS, UNIVERSE_SIZE
 from newsgraph.functions import text
 from newsgraph.functions.names import strip_share_class
 from newsgraph.operators import (
@@ -25,17 +25,24 @@ from newsgraph.operators import (
     universe,
     walks,
 )
-from newsgraph.plans import domain
+from newsgraph.plans import domain, jobs
+from newsgraph.schemas import GKG_FILE
 from newsgraph.session import shared_folder, stored
+from newsgraph.sources.bundle import SEGMENT_FILES, in_period, read_bundle
 from newsgraph.sources.daystore import missing_days
-from newsgraph.streaming.daily import stream_daily_sums, streamed_sums
+from newsgraph.sources.feed import landed_days, read_landed_days
+from newsgraph.streaming.daily import compact_sums, stream_daily_sums, streamed_sums
 
 # What the queries ask for.
 COMPANY = "org 7"
 VERTEX = 7
 PERIOD = ("2024-01-05", "2024-01-24")
-WALKS_PER_VERTEX = 10
-WALK_LENGTH = 10
+WALKS_PER_VERTEX = 20
+WALK_LENGTH = 30
+DIMENSIONS = 32
+# The period that the stored products cover, and what the jobs are asked for.
+PRODUCT_DAYS = ("2020-12-01", "2020-12-20")
+PRODUCT_PERIOD = "ten_days"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,7 +121,7 @@ def company_aliases(spark, sf_dir):
 
 
 def company_universe(spark, sf_dir):
-    return universe.company_universe(domain.part_holdings(spark, sf_dir))
+    return universe.company_universe(domain.part_holdings(spark, sf_dir), n=UNIVERSE_SIZE)
 
 
 def sector_universe(spark, sf_dir):
@@ -218,16 +225,22 @@ def fill_industry_gaps(spark, sf_dir):
     return rounded(calendar.fill_gaps_rows(scores.industry_tone(sums), ["segment"]))
 
 
-def scores_wide(spark, sf_dir):
+def _wide_segments(spark, sf_dir):
     sums = scores.daily_sums(domain.order_articles(spark, sf_dir))
-    flagged = F.col("segment") == "E"
-    diffs = scores.diff_of_sums(sums).filter(flagged).drop("segment")
-    industry = scores.industry_tone(sums).filter(flagged).drop("segment")
-    return rounded(reshape.scores_wide(diffs, industry, domain.ORDER_ORGS))
+    diffs, industry = scores.diff_of_sums(sums), scores.industry_tone(sums)
+    for segment in SEGMENT_FILES:
+        flagged = F.col("segment") == segment
+        own, line = diffs.filter(flagged).drop("segment"), industry.filter(flagged).drop("segment")
+        yield segment, rounded(reshape.scores_wide(own, line, domain.ORDER_ORGS))
+
+
+def scores_wide(spark, sf_dir):
+    return articles.union_days([w.withColumn("segment", F.lit(s)) for s, w in _wide_segments(spark, sf_dir)])
 
 
 def scores_long(spark, sf_dir):
-    return reshape.scores_long(scores_wide(spark, sf_dir), "E")
+    wide = _wide_segments(spark, sf_dir)
+    return articles.union_days([reshape.scores_long(w, s, domain.ORDER_ORGS) for s, w in wide])
 
 
 def averages_wide(spark, sf_dir):
@@ -243,7 +256,7 @@ def segment_series(spark, sf_dir):
 
 
 def score_over_time(spark, sf_dir):
-    return rounded(explore.score_over_time(_event_diffs(spark, sf_dir), COMPANY, ["E", "S", "G"], *PERIOD))
+    return rounded(explore.score_over_time(_event_diffs(spark, sf_dir), COMPANY, ["T", "E", "S", "G"], *PERIOD))
 
 
 def scale_numeric(spark, sf_dir):
@@ -254,8 +267,9 @@ def streamed_daily_tone(spark, sf_dir):
     folder = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     schema = domain.table(spark, sf_dir, "events").schema
     landed = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream_daily_sums(domain.event_articles_of(landed), f"{folder}/sums", f"{folder}/progress").awaitTermination()
-    sums = streamed_sums(spark, f"{folder}/sums")
+    stream_daily_sums(domain.event_articles_of(landed), folder).awaitTermination()
+    compact_sums(spark, folder)
+    sums = streamed_sums(spark, folder)
     return rounded(sums.select("segment", "date", "org", F.try_divide("tone_sum", "word_sum").alias("tone")))
 
 
@@ -351,7 +365,8 @@ def connections_topk(spark, sf_dir):
 
 
 def connections_wide(spark, sf_dir):
-    return rounded(reshape.connections_wide(neighbors.connections_topk(domain.vectors(spark, sf_dir), 5), 5))
+    near = neighbors.connections_topk(domain.vectors(spark, sf_dir))
+    return rounded(reshape.connections_wide(near, STORED_NEIGHBORS))
 
 
 def neighbor_confidence(spark, sf_dir):
@@ -383,15 +398,93 @@ def random_walk_check(spark, sf_dir):
     return walks.walk_check(_walks(edges), edges)
 
 
+def _vectors(spark, sf_dir):
+    return embedding.node_embeddings(_walks(_stored_edges(spark, sf_dir)), dimensions=DIMENSIONS)
+
+
 def node_embeddings(spark, sf_dir):
-    found = embedding.node_embeddings(_walks(_stored_edges(spark, sf_dir)), dimensions=16)
-    return found.select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(16)])
+    return _vectors(spark, sf_dir).select("id", *[F.col("features")[i].alias(f"f{i}") for i in range(DIMENSIONS)])
+
+
+def embedding_check(spark, sf_dir):
+    return embedding.embedding_check(_vectors(spark, sf_dir), DIMENSIONS)
 
 
 def pca_projection(spark, sf_dir):
     return rounded(embedding.pca_projection(domain.vectors(spark, sf_dir)))
 
 
+def pca_check(spark, sf_dir):
+    """Lengths of all components together, per vector, and what centred components add up to."""
+    points = domain.vectors(spark, sf_dir)
+    width = points.select(F.size("features")).first()[0]
+    projected = embedding.pca_projection(points, width)
+    length = sum((F.col(f"pc{i}") * F.col(f"pc{i}") for i in range(width)), F.lit(0.0))
+    own = projected.select(F.col("id").cast("long"), F.round(length, 6).alias("squared"))
+    sums = [F.sum(f"pc{i}").alias(f"s{i}") for i in range(3)]
+    products = [F.sum(F.col(f"pc{i}") * F.col(f"pc{j}")).alias(f"p{i}{j}") for i, j in ((0, 1), (0, 2), (1, 2))]
+    flat = F.greatest(*[F.abs(c) for c in ("s0", "s1", "s2", "p01", "p02", "p12")])
+    whole = projected.agg(*sums, *products).select(F.lit(-1).cast("long").alias("id"), (F.round(flat, 6) + 0.0).alias("squared"))
+    return own.union(whole)
+
+
+# Jobs -------------------------------------------------------------------------
+
+
+def _land_feed(spark, sf_dir):
+    """The documents as landed day files; returns the folder."""
+    folder = f"{shared_folder(spark)}/landed-{uuid4().hex}"
+    feed = domain.document_feed(spark, sf_dir, PRODUCT_DAYS[0])
+    cells = [F.col(n) if n in feed.columns else F.lit("") for n in GKG_FILE.names]
+    day = F.to_date(text.feed_timestamp(F.col("DATE"))).alias("day")
+    feed.select(F.concat_ws("\t", *[F.translate(c, "\t\r", "  ") for c in cells]).alias("value"), day).write.partitionBy("day").text(folder)
+    return folder
+
+
+def _products(spark, sf_dir):
+    """Stored articles, scores and bundle of the landed documents."""
+    landing, base = _land_feed(spark, sf_dir), f"{shared_folder(spark)}/products-{uuid4().hex}"
+    companies = universe.company_universe(domain.word_holdings(spark, sf_dir), n=UNIVERSE_SIZE)
+    made = jobs.Products(base, *PRODUCT_DAYS, jobs.universe_tag(companies))
+    landed = read_landed_days(spark, landing)
+    rows = jobs.build_articles(
+        landed, companies, made, *PRODUCT_DAYS, on_error="skip", days=landed_days(spark, landing), today="2021-01-01"
+    )
+    return made, rows
+
+
+def range_articles(spark, sf_dir):
+    rows = articles.export_columns(_products(spark, sf_dir)[1])
+    return rows.withColumn("DATE", F.date_format("DATE", "yyyy-MM-dd HH:mm:ss"))
+
+
+def period_articles(spark, sf_dir):
+    rows = in_period(_products(spark, sf_dir)[1], PRODUCT_PERIOD)
+    return rows.groupBy("day", "Organization").agg(F.count(F.lit(1)).alias("articles"))
+
+
+def range_scores(spark, sf_dir):
+    made, rows = _products(spark, sf_dir)
+    jobs.build_scores(rows, made, wide=False)
+    return rounded(spark.read.parquet(made.diffs))
+
+
+def _bundle(spark, sf_dir):
+    made, rows = _products(spark, sf_dir)
+    jobs.build_scores(rows, made)
+    near = neighbors.connections_topk(domain.vectors(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
+    jobs.export_graph(near, embedding.pca_projection(domain.vectors(spark, sf_dir)), made, STORED_NEIGHBORS)
+    return read_bundle(spark, made.bundle)
+
+
+def bundle_scores(spark, sf_dir):
+    return rounded(_bundle(spark, sf_dir).scores, 5)
+
+
+def bundle_connections(spark, sf_dir):
+    return rounded(_bundle(spark, sf_dir).connections)
+
+
 QUERIES: dict[str, Query] = {
     "split_list": split_list,
     "tone_columns": tone_columns,
@@ -449,5 +542,12 @@ QUERIES: dict[str, Query] = {
     "random_walks": random_walks,
     "random_walk_check": random_walk_check,
     "node_embeddings": node_embeddings,
+    "embedding_check": embedding_check,
     "pca_projection": pca_projection,
+    "pca_check": pca_check,
+    "range_articles": range_articles,
+    "period_articles": period_articles,
+    "range_scores": range_scores,
+    "bundle_scores": bundle_scores,
+    "bundle_connections": bundle_connections,
 }

@@ -79,8 +79,8 @@ def _swap(column, old: str, new: str):
     return F.replace(column, F.lit(old), F.lit(new))
 
 
-def document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as raw feed records: their words are the lists."""
+def document_feed(spark: SparkSession, sf_dir: str, first_day: str = "2024-01-01") -> DataFrame:
+    """Documents as raw feed records, a minute apart: their words are the lists."""
     one_line = _swap(F.col("text"), "\n", " ")
     themes = _swap(one_line, " the ", ";WB_ENV_CLIMATE;")
     themes = _swap(themes, " of ", ";UNGP_FORESTS;")
@@ -107,7 +107,7 @@ def document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 2, F.concat(F.lit("x,"), tone))
         .otherwise(tone)
     )
-    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    start = F.lit(first_day).cast("timestamp_ntz")
     moment = start + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
     return table(spark, sf_dir, "documents").select(
         F.date_format(moment, "yyyyMMddHHmmss").alias("DATE"),
@@ -120,11 +120,11 @@ def document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def word_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longer words of the benchmark texts as the holdings of an index."""
+    """The words of the benchmark texts as the holdings of an index."""
     words = table(spark, sf_dir, "benchmark").select(
         "item_id", F.posexplode(F.split(_swap(F.col("text"), "\n", " "), " ")).alias("place", "word")
     )
-    return words.filter(F.length("word") >= 5).select(
+    return words.filter(F.col("word") != "").select(
         F.concat("word", F.lit(" INC CLASS A")).alias("Name"),
         F.lit("Words").alias("Sector"),
         (F.col("item_id") * 100000 + F.col("place")).alias("rank"),

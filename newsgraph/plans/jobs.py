@@ -23,12 +23,13 @@ from newsgraph.sources.sinks import write_csv, write_table
 
 
 class Products:
-    """Where the products of one date range are stored."""
+    """Where the products of one universe and date range are stored."""
 
-    def __init__(self, base: str, start: str, end: str):
-        self.store = f"{base}/daily_data"
-        self.aliases = f"{base}/aliases"
-        folder = f"{base}/{start}__to__{end}"
+    def __init__(self, base: str, start: str, end: str, universe: str):
+        self.store = f"{base}/{universe}/daily_data"
+        self.aliases = f"{base}/{universe}/aliases"
+        folder = f"{base}/{universe}/{start}__to__{end}"
+        self.scored_runs = f"{folder}/scored_runs"
         self.sums = f"{folder}/daily_sums"
         self.diffs = f"{folder}/daily_scores"
         self.averages = f"{folder}/average_scores"
@@ -40,6 +41,14 @@ class Products:
         self.files = bundle_paths(self.bundle)
 
 
+def universe_tag(universe: DataFrame) -> str:
+    """A name that universes with the same companies and ranks share."""
+    row = universe.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("Name", "rank")).alias("names")
+    ).first()
+    return f"universe-{row['n']}-{(row['names'] or 0) & (1 << 64) - 1:016x}"
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
     """Whether a finished Parquet table is at ``path``."""
     try:
@@ -74,7 +83,7 @@ def build_articles(
     store = DayStore(landed.sparkSession, products.store)
 
     def build(days: DataFrame) -> DataFrame:
-        return reformat_articles(days, aliases).withColumn("day", F.to_date("DATE"))
+        return reformat_articles(days, aliases, keep=("day",))
 
     store.update(landed, build, start, end, **update)
     articles = store.read(start, end)
@@ -131,14 +140,28 @@ def build_graph(
     vectors = spark.read.parquet(products.vectors)
     write_table(pca_projection(vectors), products.points)
     write_table(connections_topk(vectors, neighbors), products.connections)
-    connections = spark.read.parquet(products.connections)
+    export_graph(spark.read.parquet(products.connections), spark.read.parquet(products.points), products, neighbors)
+
+
+def export_graph(connections: DataFrame, points: DataFrame, products: Products, neighbors: int) -> None:
+    """The flat files of connections and projection."""
     numbered = F.monotonically_increasing_id().alias("index")
     write_csv(connections_wide(connections, neighbors).select(numbered, "*"), products.files["conn"])
-    points = spark.read.parquet(products.points)
     named = [F.col(f"pc{i}").alias(str(i)) for i in range(3)]
     write_csv(points.select(*named, F.col("id").alias("company")), products.files["embed"])
 
 
+def range_runs(spark: SparkSession, products: Products, start: str, end: str) -> set:
+    """Which run built each day of a range; one entry per calendar day."""
+    days = DayStore(spark, products.store).built_days()
+    within = days.filter(F.col("day").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+    return {(row["day"], row["run"]) for row in within.collect()}
+
+
+def recorded_runs(spark: SparkSession, products: Products) -> set:
+    return {(row["day"], row["run"]) for row in spark.read.parquet(products.scored_runs).collect()}
+
+
 def make_products(
     landed: DataFrame,
     universe: DataFrame,
@@ -150,13 +173,21 @@ def make_products(
     days: DataFrame | None = None,
     **graph,
 ) -> Products:
-    """Everything of one range; stored days and scores are not built again."""
+    """Everything of one range; days and scores that are up to date are not built again.
+
+    The runs of the range's days are recorded after its scores. When a day
+    landed late or was built again since, or scoring died half-way, the record
+    differs from the store and the scores are built again.
+    """
     spark = landed.sparkSession
-    products = Products(base, start, end)
+    products = Products(base, start, end, universe_tag(universe))
     articles = build_articles(
         landed, universe, products, start, end, save_csv, on_error=on_error, days=days
     )
-    if not table_exists(spark, products.averages):
+    runs = range_runs(spark, products, start, end)
+    if not table_exists(spark, products.scored_runs) or recorded_runs(spark, products) != runs:
         build_scores(articles, products)
+        record = spark.createDataFrame(sorted(runs), "day date, run string")
+        write_table(record.coalesce(1), products.scored_runs)
     build_graph(articles, products, **graph)
     return products

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from newsgraph.constants import LEGAL_ENDINGS, SHARE_CLASS_LETTERS, SHARE_CLASS_WORDS
+from newsgraph.constants import LEGAL_ENDINGS, SHARE_CLASS_LETTERS, SHARE_CLASS_WORDS, TONE_COLUMNS
 from newsgraph.plans.domain import ORDER_ORGS, PART_ENDINGS
 
 EVENT_ARTICLES = """
@@ -111,7 +111,7 @@ words AS (
 ),
 holdings AS (
   SELECT word || ' INC CLASS A' AS full_name, 'Words' AS Sector, item_id * 100000 + place AS rank
-  FROM words WHERE length(word) >= 5
+  FROM words WHERE word <> ''
 )"""
 
 
@@ -208,10 +208,12 @@ ranked AS (
 _PERIOD = "day BETWEEN DATE '2024-01-05' AND DATE '2024-01-24'"
 _LABEL = "CASE {0} WHEN 'T' THEN 'Overall' WHEN 'E' THEN 'Environment' WHEN 'S' THEN 'Social' WHEN 'G' THEN 'Governance' END"
 
-SERIES = """
+
+def _series(segments: str) -> str:
+    return f"""
 grid AS (
-  SELECT date, segment FROM (SELECT DISTINCT date FROM diffs WHERE segment <> 'T')
-  CROSS JOIN (SELECT unnest(['E', 'S', 'G']) AS segment)
+  SELECT date, segment FROM (SELECT DISTINCT date FROM diffs WHERE list_contains({segments}, segment))
+  CROSS JOIN (SELECT unnest({segments}) AS segment)
 ),
 company_series AS (
   SELECT g.date, g.segment, last_value(d.diff IGNORE NULLS) OVER (PARTITION BY g.segment ORDER BY g.date) AS score
@@ -223,6 +225,8 @@ industry_series AS (
   FROM grid g LEFT JOIN industry_means m ON m.date = g.date AND m.segment = g.segment
 )"""
 
+
+
 _wide = ", ".join(
     f"""max(CASE WHEN org = '{org}' THEN round(diff, 9) + 0 END) AS "{org.replace(' ', '_')}_diff" """
     for org in ORDER_ORGS
@@ -233,9 +237,51 @@ _wide_averages = ", ".join(
 _wide_connections = ", ".join(
     f"max(CASE WHEN rank = {r} THEN neighbor END) AS n{r}_rec, "
     f"max(CASE WHEN rank = {r} THEN round(confidence, 9) + 0 END) AS n{r}_conf"
-    for r in range(5)
+    for r in range(25)
 )
 
+ARTICLES = f"""
+flagged AS (SELECT *, {FLAGS} FROM decoded),
+named_rows AS (SELECT *, lower(unnest(org_list)) AS org FROM flagged),
+exported AS (
+  SELECT moment, SourceCommonName, URL, E, S, G, company AS Organization,
+    {', '.join(f'TRY_CAST(tone_list[{i}] AS DOUBLE) AS {name}' for i, name in enumerate(TONE_COLUMNS, 1))}
+  FROM named_rows JOIN aliases ON alias = org
+)"""
+
+# The landed documents: a minute apart from the first product day on, 300 companies.
+_shift = "TIMESTAMP '2020-12-01' - TIMESTAMP '2024-01-01'"
+PRODUCTS = f"""
+WITH {FEED}, {WORD_HOLDINGS}, {_universe('ORDER BY min(rank) LIMIT 300')}, {ALIASES}, {ARTICLES},
+stored AS (
+  SELECT moment + ({_shift}) AS moved, CAST(moment + ({_shift}) AS DATE) AS day, * EXCLUDE (moment) FROM exported
+  WHERE CAST(moment + ({_shift}) AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-20'
+)"""
+PRODUCT_SCORES = f"{PRODUCTS}, articles AS (SELECT * FROM stored), {SCORES}"
+
+# Places on the line of a vertex's edges, in the order of md5(to), and draws from md5.
+WALKS = f"""
+WITH RECURSIVE {GRAPH},
+directed AS (
+  SELECT src AS vertex, dst AS "to", weight FROM edges
+  UNION ALL SELECT dst, src, weight FROM edges WHERE src <> dst
+),
+laid AS (
+  SELECT vertex, "to", sum(weight) OVER (PARTITION BY vertex ORDER BY md5("to"::VARCHAR), "to") AS hi, weight,
+         sum(weight) OVER (PARTITION BY vertex) AS total
+  FROM directed
+),
+totals AS (SELECT DISTINCT vertex, total FROM laid),
+walks AS (
+  SELECT vertex AS start, w AS walk, 0 AS step, vertex FROM totals, range(20) AS r(w)
+  UNION ALL
+  SELECT k.start, k.walk, k.step + 1, l."to"
+  FROM walks k JOIN totals t ON t.vertex = k.vertex JOIN laid l ON l.vertex = k.vertex
+  WHERE k.step < 29
+    AND ('0x' || substr(md5(concat_ws('|', k.start, k.walk, k.step + 1, 42)), 1, 15))::BIGINT % t.total >= l.hi - l.weight
+    AND ('0x' || substr(md5(concat_ws('|', k.start, k.walk, k.step + 1, 42)), 1, 15))::BIGINT % t.total < l.hi
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "split_list": f"""
         WITH {FEED} SELECT URL AS url, CAST(len(org_list) AS BIGINT) AS items,
@@ -252,7 +298,7 @@ ORACLE_SQL: dict[str, str] = {
         WITH {FEED}, o AS (SELECT unnest(org_list) AS Organization FROM decoded)
         SELECT Organization, count(*) AS mentions FROM o GROUP BY ALL""",
     "clean_organization": f"""
-        WITH {FEED}, {WORD_HOLDINGS}, {_universe('ORDER BY min(rank) LIMIT 300')}, {ALIASES},
+        WITH {FEED}, {WORD_HOLDINGS}, {_universe('')}, {ALIASES},
         o AS (SELECT lower(unnest(org_list)) AS org FROM decoded)
         SELECT coalesce(company, org) AS Organization, count(*) AS mentions
         FROM o LEFT JOIN aliases ON alias = org GROUP BY ALL""",
@@ -265,13 +311,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH {PART_HOLDINGS}, {_universe('')}
         SELECT * FROM universe WHERE Sector = 'Brand#2' ORDER BY rank LIMIT 20""",
     "reformat_articles": f"""
-        WITH {FEED}, {WORD_HOLDINGS}, {_universe('ORDER BY min(rank) LIMIT 300')}, {ALIASES},
-        flagged AS (SELECT *, {FLAGS} FROM decoded),
-        o AS (SELECT *, lower(unnest(org_list)) AS org FROM flagged)
-        SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS "DATE", SourceCommonName, URL, E, S, G, company AS Organization,
-          {', '.join(f'TRY_CAST(tone_list[{i}] AS DOUBLE) AS {name}' for i, name in enumerate(
-              ['Tone', 'PositiveTone', 'NegativeTone', 'Polarity', 'ActivityDensity', 'SelfDensity', 'WordCount'], 1))}
-        FROM o JOIN aliases ON alias = org""",
+        WITH {FEED}, {WORD_HOLDINGS}, {_universe('')}, {ALIASES}, {ARTICLES}
+        SELECT strftime(moment, '%Y-%m-%d %H:%M:%S') AS "DATE", * EXCLUDE (moment) FROM exported""",
     "union_days": f"""
         WITH {EVENT_ARTICLES} SELECT day, count(*) AS articles, round(avg(Tone), 9) + 0 AS tone
         FROM articles GROUP BY day""",
@@ -329,21 +370,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT s.segment, s.date, round(i.industry_tone, 9) + 0 AS industry_tone
         FROM sourced s JOIN industry i ON i.segment = s.segment AND i.date = s.source""",
     "scores_wide": f"""{ORDER_SCORES}
-        SELECT i.date, max(round(i.industry_tone, 9) + 0) AS industry_tone, {_wide}
+        SELECT i.segment, i.date, max(round(i.industry_tone, 9) + 0) AS industry_tone, {_wide}
         FROM industry i LEFT JOIN diffs d ON d.segment = i.segment AND d.date = i.date
-        WHERE i.segment = 'E' GROUP BY i.date""",
+        GROUP BY i.segment, i.date""",
     "scores_long": f"""{ORDER_SCORES},
         orgs AS (SELECT unnest([{', '.join(f"'{o}'" for o in ORDER_ORGS)}]) AS org)
-        SELECT 'E' AS segment, i.date, o.org, round(d.diff, 9) + 0 AS diff
+        SELECT i.segment, i.date, o.org, round(d.diff, 9) + 0 AS diff
         FROM industry i CROSS JOIN orgs o
-        LEFT JOIN diffs d ON d.segment = i.segment AND d.date = i.date AND d.org = o.org
-        WHERE i.segment = 'E'""",
+        LEFT JOIN diffs d ON d.segment = i.segment AND d.date = i.date AND d.org = o.org""",
     "averages_wide": f"""{ORDER_SCORES} SELECT segment AS Type, {_wide_averages} FROM averages GROUP BY segment""",
     "industry_average_series": f"""{EVENT_SCORES}
         SELECT segment, date, round(avg(diff), 9) + 0 AS score FROM diffs GROUP BY ALL""",
-    "segment_series": f"""{EVENT_SCORES}, {SERIES}
+    "segment_series": f"""{EVENT_SCORES}, {_series("['E', 'S', 'G']")}
         SELECT date AS "DATE", segment AS "ESG", round(score, 9) + 0 AS "Score" FROM company_series""",
-    "score_over_time": f"""{EVENT_SCORES}, {SERIES},
+    "score_over_time": f"""{EVENT_SCORES}, {_series("['T', 'E', 'S', 'G']")},
         both_lines AS (SELECT 'Org 7' AS "WHO", * FROM company_series
           UNION ALL SELECT 'Industry Average', * FROM industry_series)
         SELECT "WHO", {_LABEL.format('segment')} AS "ESG", date AS "DATE", round(score, 9) + 0 AS "Score"
@@ -417,7 +457,7 @@ ORACLE_SQL: dict[str, str] = {
     "connections_topk": f"""
         WITH {COSINE} SELECT company, CAST(rank AS INTEGER) AS rank, neighbor,
           round(confidence, 9) + 0 AS confidence FROM ranked WHERE rank < 25""",
-    "connections_wide": f"WITH {COSINE} SELECT company, {_wide_connections} FROM ranked WHERE rank < 5 GROUP BY company",
+    "connections_wide": f"WITH {COSINE} SELECT company, {_wide_connections} FROM ranked WHERE rank < 25 GROUP BY company",
     "neighbor_confidence": f"""
         WITH {COSINE} SELECT neighbor AS "Neighbor", round(confidence, 9) + 0 AS "Confidence"
         FROM ranked WHERE company = 7 AND rank < 8""",
@@ -429,4 +469,33 @@ ORACLE_SQL: dict[str, str] = {
         WITH {GRAPH} SELECT id AS start, CAST(10 AS BIGINT) AS walks, CAST(90 AS BIGINT) AS steps,
           CAST(0 AS BIGINT) AS off_graph
         FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""",
+    "random_walks": f"""{WALKS}
+        SELECT start, CAST(walk AS INTEGER) AS walk, string_agg(vertex::VARCHAR, ' ' ORDER BY step) AS path
+        FROM walks GROUP BY start, walk""",
+    "embedding_check": f"""
+        WITH {GRAPH} SELECT CAST(id AS VARCHAR) AS id, true AS right_size, true AS finite, true AS moved
+        FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""",
+    "pca_check": """
+        WITH cells AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS v,
+            generate_subscripts(embedding, 1) AS k FROM embeddings),
+          means AS (SELECT k, avg(v) AS m FROM cells GROUP BY k)
+        SELECT id, round(sum(pow(v - m, 2)), 6) AS squared FROM cells JOIN means USING (k) GROUP BY id
+        UNION ALL SELECT -1, 0.0""",
+    "range_articles": f"""{PRODUCTS}
+        SELECT strftime(moved, '%Y-%m-%d %H:%M:%S') AS "DATE", * EXCLUDE (moved, day) FROM stored""",
+    "period_articles": f"""{PRODUCTS}
+        SELECT day, Organization, count(*) AS articles FROM stored
+        WHERE day BETWEEN DATE '2020-12-01' AND DATE '2020-12-10' GROUP BY ALL""",
+    "range_scores": f"{PRODUCT_SCORES} SELECT segment, date, org, round(diff, 9) + 0 AS diff FROM diffs",
+    "bundle_scores": f"""{PRODUCT_SCORES},
+        grid AS (SELECT * FROM (SELECT DISTINCT segment FROM diffs), (SELECT DISTINCT org FROM diffs))
+        SELECT g.segment, g.org, round(a.score * 10000, 5) + 0 AS score
+        FROM grid g LEFT JOIN averages a ON a.segment = g.segment AND a.org = g.org""",
+    "bundle_connections": f"""
+        WITH {COSINE}
+        SELECT CAST(company AS VARCHAR) AS company, CAST(rank AS INTEGER) AS rank, CAST(neighbor AS VARCHAR) AS neighbor,
+          round(confidence, 9) + 0 AS confidence
+        FROM (SELECT company, neighbor, confidence, row_number() OVER (
+                PARTITION BY company ORDER BY confidence DESC, CAST(neighbor AS VARCHAR)) - 1 AS rank FROM pairs)
+        WHERE rank < 25""",
 }

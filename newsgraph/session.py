@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: str | int = "*", name: str = "newsgraph", memory: str = "16g") -> SparkSession:
+def local_session(cpus: str | int = "*", name: str = "newsgraph", memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     partitions = 8 if cpus == "*" else int(cpus)
     return (
@@ -52,3 +52,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system Spark knows; a missing one is fine."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scratch:
+    """Tables in the shared folder that go away together.
+
+    What ``store`` wrote is removed at the end of the ``with`` block, also after
+    an error; what ``keep`` wrote stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid4().hex}"
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        return stored(df, name)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.folder)

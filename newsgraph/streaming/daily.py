@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from newsgraph.operators.scores import daily_sums
+from newsgraph.session import remove
 
 BATCH_SUMS = T.StructType(
     [
@@ -27,10 +28,11 @@ BATCH_SUMS = T.StructType(
 )
 
 
-def stream_daily_sums(
-    articles: DataFrame, sums_path: str, checkpoint: str, continuous: bool = False
-) -> StreamingQuery:
-    """Start writing daily sums; by default take what has landed and stop."""
+def stream_daily_sums(articles: DataFrame, folder: str, continuous: bool = False) -> StreamingQuery:
+    """Start writing daily sums; by default take what has landed and stop.
+
+    Sums and progress are in one folder, as batch numbers mean the same to both.
+    """
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (
@@ -39,17 +41,66 @@ def stream_daily_sums(
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("batch")
-            .parquet(sums_path)
+            .parquet(f"{folder}/sums")
         )
 
-    writer = articles.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    writer = articles.writeStream.foreachBatch(write_batch).option("checkpointLocation", f"{folder}/progress")
     trigger = {"processingTime": "1 minute"} if continuous else {"availableNow": True}
     return writer.trigger(**trigger).start()
 
 
-def streamed_sums(spark: SparkSession, sums_path: str) -> DataFrame:
-    """`daily_sums` of everything streamed so far."""
-    parts = spark.read.schema(BATCH_SUMS).parquet(sums_path)
+def _compacted(spark: SparkSession, folder: str) -> int:
+    """The last batch of the newest finished compaction, or -1."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/compacted")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return -1
+    done = [-1]
+    for status in system.listStatus(place):
+        if system.exists(spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
+            done.append(int(status.getPath().getName().removeprefix("upto-")))
+    return max(done)
+
+
+def _parts(spark: SparkSession, folder: str) -> DataFrame:
+    """All sums: the newest compaction, and the batches after it."""
+    upto = _compacted(spark, folder)
+    later = spark.read.schema(BATCH_SUMS).parquet(f"{folder}/sums").filter(F.col("batch") > upto).drop("batch")
+    if upto < 0:
+        return later
+    return later.unionByName(spark.read.schema(later.schema).parquet(f"{folder}/compacted/upto-{upto}"))
+
+
+def _merged(parts: DataFrame) -> DataFrame:
     return parts.groupBy("segment", "date", "org").agg(
         F.sum("tone_sum").alias("tone_sum"), F.sum("word_sum").alias("word_sum")
     )
+
+
+def compact_sums(spark: SparkSession, folder: str) -> None:
+    """Merge the batches so far into one table and remove them.
+
+    Only between runs of the stream: the last batch may be repeated after a
+    crash, so it stays as it is. The new table counts once it is complete, and
+    what it replaces goes after that; a crash on the way loses nothing.
+    """
+    before = _compacted(spark, folder)
+    batches = spark.read.schema(BATCH_SUMS).parquet(f"{folder}/sums").select("batch").distinct()
+    closed = sorted(r["batch"] for r in batches.filter(F.col("batch") > before).collect())[:-1]
+    if not closed:
+        return
+    upto = closed[-1]
+    parts = spark.read.schema(BATCH_SUMS).parquet(f"{folder}/sums")
+    fresh = parts.filter((F.col("batch") > before) & (F.col("batch") <= upto)).drop("batch")
+    if before >= 0:
+        fresh = fresh.unionByName(spark.read.schema(fresh.schema).parquet(f"{folder}/compacted/upto-{before}"))
+    _merged(fresh).write.mode("overwrite").parquet(f"{folder}/compacted/upto-{upto}")
+    for batch in closed:
+        remove(spark, f"{folder}/sums/batch={batch}")
+    if before >= 0:
+        remove(spark, f"{folder}/compacted/upto-{before}")
+
+
+def streamed_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """`daily_sums` of everything streamed so far."""
+    return _merged(_parts(spark, folder))

@@ -1,3 +1,4 @@
+import os
 from collections import Counter
 from itertools import combinations
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.operators import embedding, graph, neighbors, walks
+from newsgraph.session import shared_folder
 
 SMALL = [("u1", "a"), ("u1", "b"), ("u1", "c"), ("u2", "b"), ("u2", "a"), ("u3", "a"), ("u4", "a"), ("u4", "a"), ("u4", "b")]
 
@@ -82,12 +84,14 @@ def brute_topk(x, k):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block_rows", [2048, 16])
+@pytest.mark.parametrize("block_rows", [16_384, 16])
 @pytest.mark.parametrize("copies", [0, 30])
-def test_topk_against_brute_force(spark, rows, block_rows, copies):
+def test_topk_against_brute_force(spark, rows, block_rows, copies, monkeypatch):
+    monkeypatch.setattr(neighbors, "TILE_ROWS", 7)
     x = random_vectors(90, copies=copies)
     found = neighbors.connections_topk(frame(spark, x), 6, block_rows)
-    assert rows(found.withColumn("confidence", F.round("confidence", 6))) == brute_topk(x, 6)
+    twice = F.round(F.round("confidence", 9), 6)
+    assert rows(found.withColumn("confidence", twice)) == brute_topk(x, 6)
 
 
 def test_topk_of_few_and_of_string_ids(spark, rows):
@@ -130,11 +134,11 @@ def edges(spark):
     return spark.createDataFrame(EDGES, "src string, dst string, weight long")
 
 
-@pytest.mark.parametrize("hub_edges", [100_000, 1])
+@pytest.mark.parametrize("part_digits", [0, 1, 4])
 @pytest.mark.parametrize("spread", [0, 1, 8])
-def test_step_table_covers_each_line_once(edges, hub_edges, spread, monkeypatch):
+def test_step_table_covers_each_line_once(edges, part_digits, spread, monkeypatch):
     monkeypatch.setattr(walks, "CELLS_PER_PARTITION", spread)
-    table = walks.step_table(edges, hub_edges).toPandas()
+    table = walks.step_table(edges, part_digits).toPandas()
     cells = dict(zip(table.to, table.to_cells))
     spans = table.drop_duplicates(["vertex", "to"])
     weights = {(v, t): hi - lo for v, t, lo, hi in spans[["vertex", "to", "lo", "hi"]].itertuples(index=False)}
@@ -168,11 +172,27 @@ def test_walks_draw_by_weight(edges):
     assert shares["d"] == pytest.approx(0.1, abs=0.03)
 
 
-def test_hub_parts_do_not_change_walks(edges, rows):
-    def shape(hub):
-        return {(s, w): len(p) for s, w, p in rows(walks.random_walks(edges, 4, 5, hub_edges=hub))}
+def test_parts_and_partitions_do_not_change_walks(spark, rows):
+    star = [("hub", f"leaf{k:02d}", 1 + k % 3) for k in range(30)] + [("leaf00", "leaf01", 2)]
+    edges = spark.createDataFrame(star, "src string, dst string, weight long")
 
-    assert shape(1) == shape(100_000)
+    def paths(**options):
+        return rows(walks.random_walks(edges, 5, 2, **options))
+
+    expected = paths()
+    assert len(expected) == 31 * 2 and expected == paths(part_digits=0) == paths(part_digits=3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        assert expected == paths()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_steps_leave_nothing_behind(spark, edges):
+    folder = shared_folder(spark).removeprefix("file:")
+    walks.random_walks(edges, 3, 2)
+    assert not [name for name in os.listdir(folder) if name.startswith("scratch-")]
 
 
 def test_embeddings_keep_their_vertex(edges):
@@ -180,7 +200,25 @@ def test_embeddings_keep_their_vertex(edges):
     assert sorted(found.id) == list("abcde")
     assert all(len(v) == 6 for v in found.features)
     again = embedding.node_embeddings(walks.random_walks(edges, 8, 20), dimensions=6, partitions=1).toPandas()
-    assert {r.id for r in again.itertuples()} == set(found.id)
+    assert {r.id: list(r.features) for r in again.itertuples()} == {r.id: list(r.features) for r in found.itertuples()}
+
+
+def test_too_many_values_for_the_driver_are_refused(edges, monkeypatch):
+    monkeypatch.setattr(embedding, "MOST_VALUES", 20)
+    with pytest.raises(ValueError, match="5 vertices"):
+        embedding.node_embeddings(walks.random_walks(edges, 2, 1), dimensions=6)
+
+
+def test_neighbours_stay_in_their_cluster(spark):
+    def clique(names):
+        return [(a, b, 5) for a, b in combinations(names, 2)]
+
+    left, right = [f"a{k}" for k in range(8)], [f"b{k}" for k in range(8)]
+    edges = spark.createDataFrame([*clique(left), *clique(right), ("a0", "b0", 1)], "src string, dst string, weight long")
+    vectors = embedding.node_embeddings(walks.random_walks(edges, 20, 40), dimensions=8, iterations=10, partitions=1)
+    near = neighbors.connections_topk(vectors, 3).toPandas()
+    same = near.company.str[0] == near.neighbor.str[0]
+    assert same[~near.company.isin(["a0", "b0"])].mean() > 0.95
 
 
 def test_pca_against_numpy(spark):

@@ -17,7 +17,7 @@ from newsgraph.sources.feed import landed_days, read_feed, read_landed_days, str
 from newsgraph.sources.holdings import read_holdings
 from newsgraph.operators.articles import reformat_articles
 from newsgraph.operators.universe import alias_table
-from newsgraph.streaming.daily import stream_daily_sums, streamed_sums
+from newsgraph.streaming.daily import compact_sums, stream_daily_sums, streamed_sums
 
 NAMES = [f.name for f in GKG_FILE.fields]
 
@@ -41,6 +41,7 @@ DAYS = {
         ("235959", "p.com", "u4", "WB_ENV_B", "apple;apple inc;nike;visa", "4,5,1,6,9,1,200"),
         ("110000", "p.com", "u5", "TAX", "nobody ltd", "1,1"),
     ],
+    "2020-12-05": [("110000", "p.com", "u6", "TAX", "visa", "1,1,1,1,1,1,30")],
 }
 
 
@@ -58,7 +59,7 @@ def universe(spark):
 
 
 def test_read_feed_and_reformat(spark, tmp_path, rows, universe):
-    land(tmp_path, DAYS)
+    land(tmp_path, list(DAYS)[:3])
     feed = read_feed(spark, f"{tmp_path}/day=*")
     assert feed.columns[0] == "DATE" and feed.count() == 5
     out = reformat_articles(feed, alias_table(universe))
@@ -128,7 +129,7 @@ def test_day_store_builds_only_what_is_missing(spark, tmp_path, rows):
 
 
 def test_make_products(spark, tmp_path, rows, universe):
-    land(tmp_path / "in", DAYS)
+    land(tmp_path / "in", list(DAYS)[:3])
     landed = read_landed_days(spark, str(tmp_path / "in"))
     options = dict(walk_length=5, walks_per_vertex=6, dimensions=4, neighbors=2)
     days = landed_days(spark, str(tmp_path / "in"))
@@ -164,22 +165,120 @@ def test_make_products(spark, tmp_path, rows, universe):
     assert sorted(os.listdir(made.averages)) == before
 
 
+def landed_with(spark, tmp_path, extra):
+    """The first two days, with records of other times in their files."""
+    land(tmp_path / "in", ["2020-12-01", "2020-12-02"])
+    with open(tmp_path / "in" / "day=2020-12-02" / "more.csv", "w") as file:
+        file.writelines(line + "\n" for line in extra)
+    return read_landed_days(spark, str(tmp_path / "in"), strict=False)
+
+
+def test_records_stay_with_the_day_they_landed_under(spark, tmp_path, rows, universe):
+    stray = record("2020-12-01", "235959", "p.com", "u8", "ENV_A", "visa", "1,1,1,1,1,1,10")
+    undated = record("2020-12-02", "", "p.com", "u9", "ENV_A", "visa", "1,1,1,1,1,1,10")
+    made = jobs.Products(str(tmp_path / "out"), "2020-12-01", "2020-12-02", jobs.universe_tag(universe))
+    land(tmp_path / "in", ["2020-12-01"])
+    early = read_landed_days(spark, str(tmp_path / "in"), strict=False)
+    jobs.build_articles(early, universe, made, "2020-12-01", "2020-12-02", on_error="skip", today="2021-01-01")
+    landed = landed_with(spark, tmp_path, [stray, undated])
+    stored = jobs.build_articles(landed, universe, made, "2020-12-01", "2020-12-02", today="2021-01-01")
+    found = rows(stored.select("day", "URL").distinct())
+    assert found == [(date(2020, 12, 1), "u1"), (date(2020, 12, 1), "u2"), (date(2020, 12, 2), "u3"), (date(2020, 12, 2), "u8"), (date(2020, 12, 2), "u9")]
+
+
+def test_a_crash_between_rows_and_list_loses_nothing(spark, tmp_path, rows, monkeypatch):
+    land(tmp_path / "in", ["2020-12-01"])
+    landed = read_landed_days(spark, str(tmp_path / "in"))
+    store = DayStore(spark, str(tmp_path / "store"))
+    build = lambda days: days.select("day", F.col("DocumentIdentifier").alias("URL"))
+    store.update(landed, build, "2020-12-01", "2020-12-01", "2021-01-01")
+
+    def die(*_):
+        raise RuntimeError("died")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store, "_publish", die)
+        with pytest.raises(RuntimeError):
+            store.update(landed, build, "2020-12-01", "2020-12-01", override=True)
+    assert rows(store.read("2020-12-01", "2020-12-01"), "URL") == [("u1",), ("u2",)]
+    store.update(landed, build, "2020-12-01", "2020-12-01", override=True)
+    assert store.drop_old_runs() == 2 and store.drop_old_runs() == 0
+    assert rows(store.read("2020-12-01", "2020-12-01"), "URL") == [("u1",), ("u2",)]
+
+
+def test_scores_follow_the_store(spark, tmp_path, rows, universe, monkeypatch):
+    monkeypatch.setattr(jobs, "build_graph", lambda *_, **__: None)
+    land(tmp_path / "in", ["2020-12-01"])
+
+    def run():
+        landed = read_landed_days(spark, str(tmp_path / "in"))
+        return jobs.make_products(landed, universe, str(tmp_path / "out"), "2020-12-01", "2020-12-02", on_error="skip")
+
+    def scored(made):
+        return rows(spark.read.parquet(made.diffs).select("date").distinct())
+
+    assert scored(run()) == [(date(2020, 12, 1),)]
+    land(tmp_path / "in", ["2020-12-02"])
+    whole = jobs.write_csv
+
+    def die(df, path, **options):
+        if "ESG" in path:
+            raise RuntimeError("died")
+        return whole(df, path, **options)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "write_csv", die)
+        with pytest.raises(RuntimeError):
+            run()
+    made = run()
+    assert scored(made) == [(date(2020, 12, 1),), (date(2020, 12, 2),)]
+    assert spark.read.option("header", True).csv(made.files["E_score"]).count() == 2
+    fewer = universe.filter("rank < 3")
+    assert jobs.universe_tag(fewer) != jobs.universe_tag(universe)
+
+
 def test_stream_equals_batch(spark, tmp_path, rows, universe):
     aliases = alias_table(universe)
     land(tmp_path / "in", ["2020-12-01", "2020-12-02"])
-    arguments = (str(tmp_path / "sums"), str(tmp_path / "progress"))
+    folder = str(tmp_path / "stream")
 
     def run():
         feed = stream_feed(spark, f"{tmp_path}/in/*")
-        stream_daily_sums(reformat_articles(feed, aliases), *arguments).awaitTermination()
+        stream_daily_sums(reformat_articles(feed, aliases), folder).awaitTermination()
 
     run()
     land(tmp_path / "in", ["2020-12-04"])
     run()
+    compact_sums(spark, folder)
+    run()
+    land(tmp_path / "in", ["2020-12-05"])
     run()
+    compact_sums(spark, folder)
+    compact_sums(spark, folder)
+    assert len([n for n in os.listdir(f"{folder}/sums") if n.startswith("batch=")]) == 1
+    assert len(os.listdir(f"{folder}/compacted")) == 1
     batch = daily_sums(reformat_articles(read_feed(spark, f"{tmp_path}/in/*"), aliases))
     columns = ["segment", "date", "org", "tone_sum", "word_sum"]
-    assert rows(streamed_sums(spark, str(tmp_path / "sums")), *columns) == rows(batch, *columns)
+    assert rows(streamed_sums(spark, folder), *columns) == rows(batch, *columns)
+
+
+def test_nan_is_null(spark, rows):
+    from newsgraph.functions.text import tone_columns
+
+    df = spark.createDataFrame([("NaN,1,nan,2,3,4,5",)], "t string").select(*tone_columns(F.col("t")))
+    assert rows(df) == [(None, 1.0, None, 2.0, 3.0, 4.0, 5.0)]
+
+
+def test_wide_labels_name_their_company(spark, rows):
+    from newsgraph.operators.reshape import scores_long, scores_wide
+
+    diffs = spark.createDataFrame([(date(2024, 1, 1), "a_b", 0.5), (date(2024, 1, 1), "c d", 1.5)], "date date, org string, diff double")
+    industry = spark.createDataFrame([(date(2024, 1, 1), 0.1)], "date date, industry_tone double")
+    orgs = ["a_b", "c d"]
+    long = scores_long(scores_wide(diffs, industry, orgs), "E", orgs)
+    assert rows(long) == [("E", date(2024, 1, 1), "a_b", 0.5), ("E", date(2024, 1, 1), "c d", 1.5)]
+    with pytest.raises(ValueError, match="share the column"):
+        scores_wide(diffs, industry, ["a_b", "a b"])
 
 
 def test_union_days_matches_names(spark, rows):

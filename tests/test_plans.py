@@ -2,6 +2,8 @@
 
 import os
 import re
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -41,7 +43,10 @@ def no_broadcast_by_size(spark):
 
 LAZY = sorted(
     set(catalog.QUERIES)
-    - {"random_walks", "random_walk_check", "node_embeddings", "streamed_daily_tone", "pca_projection", "tone_density"}
+    - {
+        "random_walks", "random_walk_check", "node_embeddings", "embedding_check", "streamed_daily_tone", "pca_projection", "pca_check",
+        "tone_density", "range_articles", "period_articles", "range_scores", "bundle_scores", "bundle_connections",
+    }
 )
 
 
@@ -128,3 +133,18 @@ def test_shared_folder_is_never_local_to_a_cluster_machine():
 def test_shared_folder_of_a_local_session(spark):
     assert os.path.isdir(shared_folder(spark).removeprefix("file:"))
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from newsgraph.session import local_session\n"
+        "from newsgraph.operators.neighbors import connections_topk\n"
+        "spark = local_session(2, 'elsewhere', '1g')\n"
+        "df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], 'id long, features array<double>')\n"
+        "assert connections_topk(df, 1).count() == 2\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr[-2000:]
