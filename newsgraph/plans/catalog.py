@@ -432,9 +432,9 @@ def pca_check(spark, sf_dir):
 
 
 def _land_feed(spark, sf_dir):
-    """The documents as landed day files; returns the folder."""
+    """The events as landed day files; returns the folder."""
     folder = f"{shared_folder(spark)}/landed-{uuid4().hex}"
-    feed = domain.document_feed(spark, sf_dir, PRODUCT_DAYS[0])
+    feed = domain.event_feed(spark, sf_dir)
     cells = [F.col(n) if n in feed.columns else F.lit("") for n in GKG_FILE.names]
     day = F.to_date(text.feed_timestamp(F.col("DATE"))).alias("day")
     feed.select(F.concat_ws("\t", *[F.translate(c, "\t\r", "  ") for c in cells]).alias("value"), day).write.partitionBy("day").text(folder)
@@ -442,9 +442,9 @@ def _land_feed(spark, sf_dir):
 
 
 def _products(spark, sf_dir):
-    """Stored articles, scores and bundle of the landed documents."""
+    """Stored articles of the landed events, and where their products go."""
     landing, base = _land_feed(spark, sf_dir), f"{shared_folder(spark)}/products-{uuid4().hex}"
-    companies = universe.company_universe(domain.word_holdings(spark, sf_dir), n=UNIVERSE_SIZE)
+    companies = universe.company_universe(domain.customer_holdings(spark, sf_dir), n=UNIVERSE_SIZE)
     made = jobs.Products(base, *PRODUCT_DAYS, jobs.universe_tag(companies))
     landed = read_landed_days(spark, landing)
     rows = jobs.build_articles(

@@ -79,7 +79,44 @@ def _swap(column, old: str, new: str):
     return F.replace(column, F.lit(old), F.lit(new))
 
 
-def document_feed(spark: SparkSession, sf_dir: str, first_day: str = "2024-01-01") -> DataFrame:
+def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as raw feed records of December 2020 on; a user is a company."""
+    k = F.get_json_object("props", "$.k")
+    number = k.cast("double")
+    kind = F.col("event_type")
+    themes = F.concat_ws(
+        ";",
+        F.when(kind.isin("click", "view"), F.lit("ENV_OIL")),
+        F.when(kind.isin("view", "signup"), F.lit("UNGP_FORESTS")),
+        F.when(kind.isin("purchase", "view"), F.lit("ECON_STOCK")),
+        F.lit("TAX"),
+    )
+    value = F.col("value")
+    tone = [value - 40, value, number / 10, value + number / 10, number / 5, number / 100, number]
+    return table(spark, sf_dir, "events").select(
+        F.date_format(F.col("ts") - F.make_dt_interval(days=F.lit(EVENT_SHIFT_DAYS)), "yyyyMMddHHmmss").alias("DATE"),
+        F.concat(F.lit("site_"), k).alias("SourceCommonName"),
+        F.concat(F.lit("https://news.example/"), F.col("event_id").cast("string")).alias("DocumentIdentifier"),
+        themes.alias("Themes"),
+        F.concat(F.lit("company"), F.col("user_id").cast("string")).alias("Organizations"),
+        F.concat_ws(",", *[part.cast("string") for part in tone]).alias("V2Tone"),
+    )
+
+
+# Fixed value: days between the events and the period of the stored products.
+EVENT_SHIFT_DAYS = 1126
+
+
+def customer_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as the holdings of an index."""
+    return table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("COMPANY"), F.col("c_custkey").cast("string"), F.lit(" INC")).alias("Name"),
+        F.col("c_mktsegment").alias("Sector"),
+        F.col("c_custkey").alias("rank"),
+    )
+
+
+def document_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as raw feed records, a minute apart: their words are the lists."""
     one_line = _swap(F.col("text"), "\n", " ")
     themes = _swap(one_line, " the ", ";WB_ENV_CLIMATE;")
@@ -107,7 +144,7 @@ def document_feed(spark: SparkSession, sf_dir: str, first_day: str = "2024-01-01
         .when(kind == 2, F.concat(F.lit("x,"), tone))
         .otherwise(tone)
     )
-    start = F.lit(first_day).cast("timestamp_ntz")
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
     moment = start + F.make_dt_interval(mins=F.col("doc_id").cast("int"))
     return table(spark, sf_dir, "documents").select(
         F.date_format(moment, "yyyyMMddHHmmss").alias("DATE"),

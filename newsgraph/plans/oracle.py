@@ -5,7 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 from newsgraph.constants import LEGAL_ENDINGS, SHARE_CLASS_LETTERS, SHARE_CLASS_WORDS, TONE_COLUMNS
-from newsgraph.plans.domain import ORDER_ORGS, PART_ENDINGS
+from newsgraph.plans.domain import EVENT_SHIFT_DAYS, ORDER_ORGS, PART_ENDINGS
 
 EVENT_ARTICLES = """
 articles AS (
@@ -249,13 +249,16 @@ exported AS (
   FROM named_rows JOIN aliases ON alias = org
 )"""
 
-# The landed documents: a minute apart from the first product day on, 300 companies.
-_shift = "TIMESTAMP '2020-12-01' - TIMESTAMP '2024-01-01'"
+# The landed events, of the first 300 customers.
 PRODUCTS = f"""
-WITH {FEED}, {WORD_HOLDINGS}, {_universe('ORDER BY min(rank) LIMIT 300')}, {ALIASES}, {ARTICLES},
+WITH {EVENT_ARTICLES.replace("articles AS", "raw AS", 1)},
+companies AS (SELECT 'org ' || c_custkey AS name FROM customer ORDER BY c_custkey LIMIT 300),
 stored AS (
-  SELECT moment + ({_shift}) AS moved, CAST(moment + ({_shift}) AS DATE) AS day, * EXCLUDE (moment) FROM exported
-  WHERE CAST(moment + ({_shift}) AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-20'
+  SELECT "DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS moved, CAST("DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) AS day,
+         SourceCommonName, URL, E, S, G, replace(Organization, 'org ', 'company') AS Organization,
+         Tone, PositiveTone, NegativeTone, Polarity, ActivityDensity, SelfDensity, WordCount
+  FROM raw JOIN companies ON name = Organization
+  WHERE CAST("DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-20'
 )"""
 PRODUCT_SCORES = f"{PRODUCTS}, articles AS (SELECT * FROM stored), {SCORES}"
 
@@ -466,7 +469,7 @@ ORACLE_SQL: dict[str, str] = {
           WHEN id IN (SELECT neighbor FROM ranked WHERE company = 7 AND rank < 8) THEN 'Connected Company'
           ELSE 'Other Company' END AS "colorCode" FROM vectors""",
     "random_walk_check": f"""
-        WITH {GRAPH} SELECT id AS start, CAST(10 AS BIGINT) AS walks, CAST(90 AS BIGINT) AS steps,
+        WITH {GRAPH} SELECT id AS start, CAST(20 AS BIGINT) AS walks, CAST(580 AS BIGINT) AS steps,
           CAST(0 AS BIGINT) AS off_graph
         FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""",
     "random_walks": f"""{WALKS}
