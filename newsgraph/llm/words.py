@@ -35,14 +35,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a text column; null counts as empty."""
+    """Bytes and offsets from 0 of a text column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     held = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return held, at
+    return held[at[0] : at[-1]], at - at[0]
 
 
 def slices(batch: pa.RecordBatch, most_bytes: int = 2_000_000, most_texts: int = 50_000) -> Iterator[pa.RecordBatch]:
