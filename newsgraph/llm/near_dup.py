@@ -99,7 +99,7 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, node, bands, bits0..bits3`` of every document.
+    """``doc_id, text_hash, n, node, bands, bits0..bits3`` of every document.
 
     ``node`` names the class of equal sets; it is null for an empty set.
     """
@@ -116,17 +116,18 @@ def sketches(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * BANDS, pa.array(keys.ravel())),
                     *(pa.array(bits[:, k]) for k in range(len(BITS))),
                 ],
-                names=["doc_id", "n", "node", "bands", *BITS],
+                names=["doc_id", "text_hash", "n", "node", "bands", *BITS],
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    fields = f"doc_id {kind}, n long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
-    return docs.select("doc_id", "text").mapInArrow(sketch, fields)
+    fields = f"doc_id {kind}, text_hash long, n long, node binary, bands array<long>, " + ", ".join(f"{b} long" for b in BITS)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(sketch, fields)
 
 
 def may_link(a, b) -> Column:
@@ -218,8 +219,8 @@ def linked_to_groups(visits: DataFrame, members: DataFrame, classes: DataFrame,
     return fresh(come).groupBy(*key).cogroup(fresh(held).groupBy(*key)).applyInArrow(compare, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+def judged_rows(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable over links of at least 75
     percent similarity of distinct five-word shingles, ``kept`` whether it is the
@@ -276,27 +277,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
     of_class = grouped.select("node", "root").join(least, "root").select("node", "component_id")
-    found = made.select("doc_id", "n", "node").join(of_class, "node", "left")
+    found = made.select("doc_id", "text_hash", "n", "node").join(of_class, "node", "left")
     component = F.coalesce("component_id", "doc_id")
     return found.select(
         "doc_id",
+        "text_hash",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``, as ``judged_rows`` has them."""
+    return judged_rows(docs).drop("text_hash")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of a group the smallest doc_id stays.
 
     Of rows with equal id and text one stays. Rows are found by id and text
-    hash; the ids taken out are a small part and are broadcast where their size
-    allows.
+    hash, so other texts under an id that goes, or without an id, stay; what is
+    taken out is a small part and is broadcast where its size allows.
     """
-    judged = near_duplicates(docs.select("doc_id", "text"))
-    gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone"]), "left_anti")
-    ids = docs.groupBy(F.col("doc_id").alias("twice")).agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
-    twice = stored(ids.select("twice"), "twice")
-    same = docs["doc_id"].eqNullSafe(twice["twice"])
-    return left.join(twice, same, "left_anti").union(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    judged = stored(judged_rows(docs.select("doc_id", "text")), "judged")
+    names = F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")
+    gone = stored(judged.filter(~F.col("kept")).select(*names).distinct(), "gone")
+    same = lambda found: docs["doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(docs["text"]) == found["hash"])
+    left = docs.join(gone, same(gone), "left_anti")
+    times = judged.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
+    twice = stored(times.filter("times > 1").select(*names), "twice")
+    copies = left.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(twice, same(twice), "left_anti").union(copies)

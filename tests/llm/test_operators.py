@@ -350,6 +350,21 @@ def test_near_duplicates_of_odd_rows(spark, odd):
     assert near_dup.near_duplicates(odd.filter("false")).count() == 0
 
 
+def kept_rows(spark, rows):
+    """Sorted rows that stay of ``(doc_id, text)``."""
+    made = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    return sorted((tuple(r) for r in made.collect()), key=repr)
+
+
+def test_rows_go_by_id_and_text(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (sentence(rng, 40) for _ in range(5))
+    # A null id on a copy and on texts of its own; id 5 on a copy of 2, on a text of its own, and first of a group.
+    rows = [(1, a), (None, a), (None, b), (None, c), (2, d), (5, d), (5, e), (7, e), (5, "own text " + c[::-1])]
+    left = [(1, a), (None, b), (None, c), (2, d), (5, e), (5, "own text " + c[::-1])]
+    assert kept_rows(spark, rows + [(None, b)]) == sorted(left, key=repr)
+
+
 # 6. Sharding -----------------------------------------------------------------------
 
 
