@@ -139,8 +139,9 @@ def may_link(a, b) -> Column:
 
 def class_sets(asked: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``node, hashes``: the full sets of the classes ``asked`` for, made again from one text of each."""
-    ids = classes.join(asked, "node", "left_semi").select(F.col("least_id").alias("id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    ids = classes.join(asked, "node", "left_semi").select(F.col("least.doc_id").alias("id"), F.col("least.text_hash").alias("hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("hash"))
+    texts = docs.select("doc_id", "text").join(ids, same, "left_semi")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
@@ -220,33 +221,32 @@ def linked_to_groups(visits: DataFrame, members: DataFrame, classes: DataFrame,
 
 
 def judged_rows(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_hash, n_shingles, component_id, kept`` of every row of ``docs`` (``doc_id, text``).
+    """``doc_id, text_hash, n_shingles, component_id, kept, stays`` of every row of ``docs`` (``doc_id, text``).
 
     ``component_id`` is the smallest doc_id reachable over links of at least 75
     percent similarity of distinct five-word shingles, ``kept`` whether it is the
     row's own. Texts without words, null among them, have no links. Repeated
     rows are copies of each other, with one doc_id all kept; a null doc_id is
-    never the smallest. Other columns are not read; an empty table gives an empty
+    never the smallest. ``stays`` is true for one text of each component, and for
+    texts without words. Other columns are not read; an empty table gives an empty
     one. A pair exactly at the threshold is missed with a chance of about 2e-5.
     """
     made = stored(sketches(docs), "sketches")
     full = made.filter("node IS NOT NULL")
     first = F.first
-    classes = full.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    attributes = full.groupBy("node").agg(
-        F.min("doc_id").alias("least_id"), first("n").alias("n"), *[first(b).alias(b) for b in BITS]
-    )
+    # The row that stands for a class; any row with an id comes before those without.
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    classes = full.groupBy("node").agg(F.min(row).alias("least"))
+    attributes = full.groupBy("node").agg(first("n").alias("n"), *[first(b).alias(b) for b in BITS])
     # One row per class and band; buckets of one class end here.
-    one = full.select("doc_id", "node", "bands").join(
-        classes.withColumnRenamed("least_id", "doc_id"), ["node", "doc_id"], "left_semi"
-    )
+    one = full.groupBy("node").agg(first("bands").alias("bands"))
     rows = one.select("node", F.explode("bands").alias("band"))
     beside = Window.partitionBy("band").orderBy("node")
     last, following = F.lag("node").over(beside), F.lead("node").over(beside)
     shared = rows.select("band", "node", last.alias("last"), following.alias("following"))
     other = lambda c: F.coalesce(F.col(c) != F.col("node"), F.lit(False))
     shared = shared.filter(other("last") | other("following"))
-    members = stored(shared.select("band", "node").distinct().join(attributes, "node").drop("least_id"), "members")
+    members = stored(shared.select("band", "node").distinct().join(attributes, "node"), "members")
 
     line = Window.partitionBy("band").orderBy("n", *BITS, "node")
     ahead = members.select("*", F.lag(F.struct("node", "n", *BITS)).over(line).alias("p"))
@@ -275,34 +275,38 @@ def judged_rows(docs: DataFrame) -> DataFrame:
     roots = components(stored(links.union(more), "linked"))
 
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = grouped.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of_class = grouped.select("node", "root").join(least, "root").select("node", "component_id")
+    least = grouped.groupBy("root").agg(F.min("least").alias("first"))
+    of_class = grouped.select("node", "root").join(least, "root")
+    of_class = of_class.select("node", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("pick"))
     found = made.select("doc_id", "text_hash", "n", "node").join(of_class, "node", "left")
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    own = F.col("doc_id").eqNullSafe(component)
     return found.select(
         "doc_id",
         "text_hash",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
-        F.col("doc_id").eqNullSafe(component).alias("kept"),
+        own.alias("kept"),
+        (own & F.coalesce(F.col("text_hash") == F.col("pick"), F.lit(True))).alias("stays"),
     )
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row of ``docs``, as ``judged_rows`` has them."""
-    return judged_rows(docs).drop("text_hash")
+    return judged_rows(docs).drop("text_hash", "stays")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of a group the smallest doc_id stays.
 
-    Of rows with equal id and text one stays. Rows are found by id and text
+    Of rows with equal id and text one stays, and of a group whose smallest id
+    stands on several texts, or that has no id at all, one text. Rows are found by id and text
     hash, so other texts under an id that goes, or without an id, stay; what is
     taken out is a small part and is broadcast where its size allows.
     """
     judged = stored(judged_rows(docs.select("doc_id", "text")), "judged")
     names = F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")
-    gone = stored(judged.filter(~F.col("kept")).select(*names).distinct(), "gone")
+    gone = stored(judged.filter(~F.col("stays")).select(*names).distinct(), "gone")
     same = lambda found: docs["doc_id"].eqNullSafe(found["id"]) & (F.xxhash64(docs["text"]) == found["hash"])
     left = docs.join(gone, same(gone), "left_anti")
     times = judged.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("times"))
