@@ -24,10 +24,10 @@ LONGEST_GRAM = 4
 SLOT_BITS = 15  # n-grams are told apart by a hash of so many bits
 BATCH_TEXTS = 64
 PIECE = 1 << 20
-# Bounds of what a model is fitted on.
+# Bounds of what a model is fitted on; with many languages it grows, each has LEAST_LANDMARKS.
 TEXTS_PER_LANGUAGE = 1000
 LANDMARKS = 128
-MOST_LANGUAGES = 64
+LEAST_LANDMARKS = 4
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -116,19 +116,18 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int
 
     At most ``per_language`` texts of each language, those with the smallest
     hash of the id, are described on the executors; the driver gets a row of
-    kernel values for each. More than MOST_LANGUAGES languages are an error.
+    kernel values for each. ``landmarks`` are shared out over the languages, but
+    each has LEAST_LANDMARKS, so the driver's part grows with their number squared.
     """
     usable = docs.filter(in_training(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ranks = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    # At most MOST_LANGUAGES * per_language ids, or an error.
-    chosen = [(r["doc_id"], r["lang"], r["rank"]) for r in ranks.take(MOST_LANGUAGES * per_language + 1)]
+    # At most per_language ids of each language.
+    chosen = [(r["doc_id"], r["lang"], r["rank"]) for r in ranks.collect()]
     languages = sorted({lang for _, lang, _ in chosen})
     if not languages:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    spark, each = docs.sparkSession, max(1, landmarks // len(languages))
+    spark, each = docs.sparkSession, max(LEAST_LANDMARKS, landmarks // len(languages))
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = spark.createDataFrame(chosen, f"id {kind}, name string, rank int")
     picked = usable.select("doc_id", "text", "lang").join(
@@ -151,15 +150,15 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int
             rows = [kernel_rows(p, marks) for _, _, p in gram_batches(batch.column("text"))]
             values = np.vstack(rows) if rows else np.zeros((0, len(marks)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array(list(values), pa.list_(pa.float64()))], names=["lang", "kernel"]
+                [batch.column("lang"), pa.array([v.tobytes() for v in values], pa.binary())], names=["lang", "kernel"]
             )
 
-    rows = picked.select("text", "lang").mapInArrow(describe, "lang string, kernel array<double>").collect()
+    rows = picked.select("text", "lang").mapInArrow(describe, "lang string, kernel binary").collect()
     rows = sorted(rows, key=lambda r: (r["lang"], r["kernel"]))[: len(languages) * per_language]
     number = {lang: k for k, lang in enumerate(languages)}
     which = np.array([number[r["lang"]] for r in rows])
     marks = np.unpackbits(packed, axis=1).astype(np.float32)
-    weights = solve(np.array([r["kernel"] for r in rows]), kernel_rows(marks, marks), which, len(languages))
+    weights = solve(np.array([np.frombuffer(r["kernel"]) for r in rows]), kernel_rows(marks, marks), which, len(languages))
     return Model(languages, packed, weights)
 
 
@@ -179,7 +178,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     rows = df.select(F.struct("*").alias("row"))
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # LANDMARKS rows of bits, a weight per landmark and language
+    sent = df.sparkSession.sparkContext.broadcast(model)  # a row of bits per landmark, a weight per landmark and language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
