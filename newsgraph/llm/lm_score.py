@@ -30,6 +30,8 @@ from newsgraph.session import stored
 
 MU = 20.0
 SHARE = 4
+# Occurrences of a shard, in the mean: what one task holds at once.
+PER_SHARD = 4_000_000
 # Slices of a batch that are sorted and sent together.
 SLICE_BYTES, SLICE_TEXTS = 16_000_000, 50_000
 # Hashes of the end of a text, and of what stands before its first word.
@@ -227,10 +229,10 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     null text is an empty one: it has one token, the end. Repeated rows are
     counted and returned as often as they stand there. Without training documents
     all scores are those of empty counts. Other columns are not read; an empty
-    table gives an empty one. ``shards`` is the number of shuffle partitions
-    unless given; results do not depend on it but for rounding of the trie's values.
+    table gives an empty one. ``shards`` is a shard per PER_SHARD occurrences, and
+    the number of shuffle partitions at least, unless given; results do not depend
+    on it but for rounding of the trie's values.
     """
-    shards = shards or salt_count(docs.sparkSession)
     counts = stored(token_counts(docs), "token-counts")
     end = int(END.view(np.int64))
     totals = counts.agg(
@@ -240,6 +242,7 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
         F.sum(F.when(F.col("token") == end, F.col("train"))).alias("texts"),
     ).first()
     total, distinct, texts = (totals[n] or 0 for n in ("train", "distinct", "texts"))
+    shards = shards or max(salt_count(docs.sparkSession), -(-(totals["total"] or 0) // PER_SHARD))
     # At most SHARE * shards tokens can have more than that share of all occurrences.
     frequent = counts.filter(F.col("total") > (totals["total"] or 0) / (SHARE * shards)).select("token", "train").collect()
     hot = {r["token"] & (1 << 64) - 1: r["train"] for r in frequent}
