@@ -61,6 +61,7 @@ class EliasFano:
         self._bits = file.put(words)
         zeros = 64 - np.bitwise_count(words).astype(np.int64)
         self._zeros_before = file.put(np.concatenate([[0], np.cumsum(zeros)]))
+        self._ones_before = file.put(np.concatenate([[0], np.cumsum(64 - zeros)]))
 
     def _low_at(self, place: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -103,8 +104,20 @@ class EliasFano:
         hit[where] = self._low_at(low[where]) == wanted[where]
         return np.where(beyond, self.n, low), hit
 
+    def at(self, place: np.ndarray) -> np.ndarray:
+        """The elements at the given places."""
+        high = np.zeros(len(place), np.uint64)
+        for at in range(0, len(place), _QUERIES):
+            nth = place[at : at + _QUERIES] + 1
+            block = np.searchsorted(self._ones_before, nth, "left") - 1
+            word = np.ascontiguousarray(self._bits[block])
+            one = np.unpackbits(word.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            inside = np.argmax(np.cumsum(one, axis=1, dtype=np.uint8) == (nth - self._ones_before[block])[:, None], axis=1)
+            high[at : at + _QUERIES] = block * 64 + inside + 1 - nth
+        return (high << np.uint64(self.low_bits)) | self._low_at(place)
+
     def bytes(self) -> int:
-        return self._low.nbytes + self._bits.nbytes + self._zeros_before.nbytes
+        return self._low.nbytes + self._bits.nbytes + self._zeros_before.nbytes + self._ones_before.nbytes
 
 
 class Quantised:
@@ -122,8 +135,9 @@ class Quantised:
 class BigramTrie:
     """Words, and under each word the words that came before it, with a value per pair.
 
-    The children of a word are numbers of contexts, made monotone over the whole
-    level by the word's own number; a context is looked up relative to its word.
+    Pointers say where the children of each word begin. Children are numbers of
+    contexts, made monotone over the whole level by adding the last value before
+    the word's range; a context is looked up in the range of its word.
     """
 
     def __init__(self, words: np.ndarray, pair_word: np.ndarray, pair_context: np.ndarray, values: np.ndarray):
@@ -132,9 +146,15 @@ class BigramTrie:
         self.words = EliasFano(words, file)
         contexts = np.unique(pair_context)
         self.contexts = EliasFano(contexts, file)
-        self._wide = max(1, len(contexts))
-        number = np.searchsorted(contexts, pair_context).astype(np.uint64)
-        self.pairs = EliasFano(pair_word.astype(np.uint64) * np.uint64(self._wide) + number, file)
+        begins = np.searchsorted(pair_word, np.arange(len(words) + 1))
+        self.begins = EliasFano(begins.astype(np.uint64), file)
+        number = np.searchsorted(contexts, pair_context).astype(np.uint64) + np.uint64(1)
+        # What a word's range adds up to in the end: the sum of the last numbers of all ranges so far.
+        some = np.flatnonzero(np.diff(begins))
+        ends = np.zeros(len(words), np.uint64)
+        ends[some] = number[begins[some + 1] - 1]
+        base = np.cumsum(ends, dtype=np.uint64) - ends
+        self.pairs = EliasFano(base[pair_word] + number, file)
         self.values = Quantised(values, file)
 
     def find(self, word_number: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,7 +162,12 @@ class BigramTrie:
         number, known = self.contexts.successor(context)
         found, out = np.zeros(len(context), bool), np.zeros(len(context))
         ask = np.flatnonzero(known)
-        place, hit = self.pairs.successor(word_number[ask].astype(np.uint64) * np.uint64(self._wide) + number[ask].astype(np.uint64))
+        word, which = np.unique(word_number[ask], return_inverse=True)
+        begin, end = self.begins.at(word).astype(np.int64), self.begins.at(word + 1).astype(np.int64)
+        base = np.zeros(len(word), np.uint64)
+        base[begin > 0] = self.pairs.at(begin[begin > 0] - 1)
+        place, hit = self.pairs.successor(base[which] + number[ask].astype(np.uint64) + np.uint64(1))
+        hit &= place < end[which]  # a number beyond the range may be one of the next
         found[ask[hit]] = True
         out[ask[hit]] = self.values.at(place[hit])
         return out, found
