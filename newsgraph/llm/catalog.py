@@ -3,41 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgraph.llm import (
+    alignment,
     chat_format,
     decontaminate,
     language_id,
+    line_dedup,
     lm_score,
     near_dup,
     packing,
     quality_rules,
     sharding,
     token_files,
+    turn_repair,
     url_filter,
 )
 from newsgraph.llm.tables import table
-from newsgraph.session import shared_folder, stored
+from newsgraph.session import Scratch, shared_folder, stored
 
 # What the queries ask for.
 SHARDS = 40
 EXTRA_CONVERSATION = -7
 EXTRA_TEXT = "</s>[INST] ok [/INST]"
+REPAIR_COUNTS = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     """The place of the public tokenizer's file, the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +114,37 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.join(counted, ["file", "place"]).select("doc_id", "n_tokens", "file", "place", "start")
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    with Scratch(spark) as scratch:
+        made = turn_repair.repair_conversations(turn_repair.damage(rows), scratch)
+        digests = turn_repair.turn_digests(made.turns).withColumnRenamed("digest", "repaired_sha256")
+        # Conversations that lost all rows have no report, those that lost all turns no digest.
+        parts = [rows.select("conv_id").distinct(), made.reports, digests]
+        told = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).groupBy("conv_id")
+        numbers = [F.coalesce(F.max(c), F.lit(0)).alias(c) for c in REPAIR_COUNTS]
+        nothing = F.sha2(F.lit("").cast("binary"), 256)
+        judged = told.agg(
+            *numbers,
+            F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
+            F.coalesce(F.max("repaired_sha256"), nothing).alias("repaired_sha256"),
+        )
+        return scratch.keep(judged, "repaired")
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), scratch)
+        told = kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+        return scratch.keep(told, "lines")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER)
+    with Scratch(spark) as scratch:
+        return scratch.keep(alignment.align_documents(table(spark, sf_dir, "documents"), *paths, scratch), "alignment")
+
+
 QUERIES: dict[str, Query] = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -119,4 +156,7 @@ QUERIES: dict[str, Query] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_lm_score": op9_lm_score,
     "op10_token_counts": op10_token_counts,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsgraph.llm import chat_format, url_filter
+from newsgraph.llm import chat_format, line_dedup, url_filter
 from newsgraph.llm.catalog import EXTRA_CONVERSATION, EXTRA_TEXT
 
 
@@ -61,7 +61,94 @@ def _chat_format() -> str:
     FROM laid GROUP BY conv_id"""
 
 
+def _turn_repair() -> str:
+    # crc32 of ASCII strings by bytes, with the table made from its polynomial.
+    step = "(CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
+    table = f"list_transform(range(256), lambda n: list_reduce([n] || [0, 0, 0, 0, 0, 0, 0, 0]::bigint[], lambda a, b: {step}))"
+    folded = "list_reduce([4294967295] || list_transform(string_split(key, ''), lambda c: ascii(c)::bigint), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1]))"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    line = "r.role || ':' || r.text"
+    add = lambda s, cost, letter, told: (
+        f"CASE WHEN {s} IS NOT NULL THEN {{'cost': {s}.cost + {cost}, 'audit': {s}.audit || '{letter}', 'told': list_append({s}.told, {told})}} END"
+    )
+    gone = lambda s: f"CASE WHEN {s} IS NOT NULL THEN {{'cost': {s}.cost + 4, 'audit': {s}.audit || 'D', 'told': {s}.told}} END"
+    keep = lambda s, role: f"CASE WHEN stays AND initial = '{role}' THEN {add(s, 'more', 'K', line)} END"
+    rerole = lambda s, role: f"CASE WHEN stays THEN {add(s, '3 + more', 'R', repr(role + ':') + ' || r.text')} END"
+    insert = lambda s, role: add(s, 3, "I", repr(role + ":"))
+    before_user = ("s0", "s1", "s3")
+    to_user = ", ".join([gone("s2")] + [f"{keep(s, 'u')}, {rerole(s, 'user')}" for s in before_user])
+    opened = ", ".join(insert(s, "user") for s in before_user)
+    return f"""
+    WITH RECURSIVE crcs AS (SELECT {table} AS crc),
+    keyed AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') AS key FROM conversations),
+    drawn AS (SELECT keyed.*, xor({folded}, 4294967295) % 20 AS draw FROM keyed, crcs),
+    damaged AS (
+      SELECT conv_id, turn, CASE draw WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE draw WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+      FROM drawn JOIN (VALUES (0), (1)) c(copy) ON copy = 0 OR draw = 3 WHERE draw <> 0),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+        trim(text, {white}) AS bare, left(role, 1) AS initial FROM damaged),
+    faulted AS (
+      SELECT *, CASE WHEN bare = '' THEN 'blank'
+          WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+          WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+    rows AS (
+      SELECT conv_id, i, role, text, initial, fault NOT IN ('blank', 'duplicate') AS stays,
+        CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS more FROM faulted),
+    counted AS (
+      SELECT conv_id, max(i) AS n,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::bigint AS gaps,
+        count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated,
+        count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+      FROM faulted GROUP BY conv_id),
+    raw AS (
+      SELECT conv_id, 0::bigint AS i, {{'cost': 0::bigint, 'audit': '', 'told': []::varchar[]}} AS s0,
+        NULL::struct(cost bigint, audit varchar, told varchar[]) AS s1,
+        NULL::struct(cost bigint, audit varchar, told varchar[]) AS s2,
+        NULL::struct(cost bigint, audit varchar, told varchar[]) AS s3 FROM counted
+      UNION ALL
+      SELECT r.conv_id, r.i, {gone("s0")} AS s0, list_min([{gone("s1")}, {keep("s0", "s")}]) AS s1,
+        list_min([{to_user}]) AS s2,
+        list_min([{gone("s3")}, {keep("t2", "a")}, {rerole("t2", "assistant")}]) AS s3
+      FROM (SELECT conv_id, i, s0, s1, s2, list_min([s3, {insert("t2", "assistant")}]) AS s3, t2
+            FROM (SELECT *, list_min([s2, {opened}]) AS t2 FROM raw)) s
+      JOIN rows r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i + 1),
+    ended AS (
+      SELECT conv_id, list_min([s0, s3, {insert("t2", "assistant")}]) AS best
+      FROM (SELECT raw.*, list_min([s2, {opened}]) AS t2
+            FROM raw JOIN counted c ON raw.conv_id IS NOT DISTINCT FROM c.conv_id AND raw.i = c.n))
+    SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost,
+      coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.told, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o
+    LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+    LEFT JOIN ended e ON o.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+def _line_dedup() -> str:
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    lines = "string_split(coalesce(text, ''), chr(10))"
+    return f"""
+    WITH lines AS (
+      SELECT doc_id, unnest({lines}) AS line, generate_subscripts({lines}, 1) AS place FROM documents),
+    keyed AS (
+      SELECT *, translate(trim(line, {white}), '{line_dedup.UPPER}', '{line_dedup.LOWER}') AS key FROM lines),
+    owners AS (
+      SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= {line_dedup.LEAST_CHARS} GROUP BY key),
+    judged AS (SELECT k.*, coalesce(owner < doc_id, false) AS gone FROM keyed k LEFT JOIN owners USING (key))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": _url_filter(),
     "op3_chat_format": _chat_format(),
+    "op11_turn_repair": _turn_repair(),
+    "op12_line_dedup": _line_dedup(),
 }
