@@ -1,6 +1,8 @@
 """Tokens of two tokenizers over the same bytes, aligned by pointer jumping.
 
-The tokens of A and of B both tile a text. Every token points to the overlapping
+The tokens of A and of B both tile a text. Both begin anew where white space
+begins, so a text is the row of its parts between, and a part that came before is
+not aligned again. Every token points to the overlapping
 token that reaches farthest right, a token of B before one of A that ends at the
 same place, and itself if none does better. Successor doubling, on the arrays of
 many texts at once, takes every token to the terminal token of its component;
@@ -14,8 +16,12 @@ pair can be hot.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +35,15 @@ from newsgraph.session import Scratch
 SENT_PAIRS = 1 << 16
 SLICE_BYTES = 1_000_000
 SHIFT = 32
+# Fixed value: how the byte-level kind of tokenizer cuts a text into words.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The quicker library runs out of stack on long runs of white space.
+QUICK = 1000
+# What a worker keeps of parts; it changes time only.
+REMEMBERED, REMEMBERED_BYTES = 300_000, 50_000_000
+# White space of Python is a superset of that of the tokenizers.
+_RUN = re.compile(r"^\s|\s ")
+_CUT = re.compile(r"(?<!\s) ")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary, pairs array<long>, counts array<long>"
 
 
@@ -43,6 +58,8 @@ class ByteTokenizer:
     """Ids of a byte-level BPE file; strings of its special tokens are plain text."""
 
     def __init__(self, path: str):
+        # A task has one core: the library's own threads would take those of other tasks.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -53,10 +70,29 @@ class ByteTokenizer:
         for entry, number in vocabulary.items():
             shown = all(c in byte_of for c in entry)
             self.spelled[number] = bytes(byte_of[c] for c in entry) if shown else entry.encode()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str):
+        """The same vocabulary under the quicker library, if its merges are in the order of their ids."""
+        with open(path) as file:
+            told = json.load(file)
+        vocabulary = told["model"]["vocab"]
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in told["model"]["merges"]]
+        splitter = told["pre_tokenizer"] or {}
+        plain = splitter.get("type") == "ByteLevel" and splitter.get("use_regex") and not splitter.get("add_prefix_space")
+        if told["normalizer"] or not plain or made != sorted(made) or min(made) < 256:
+            return None
+        import tiktoken
+
+        ranks = {self.spelled[k]: k for k in [*range(256), *made]}
+        return tiktoken.Encoding("aligned", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of a space and the text."""
-        return [np.array(self.tokenizer.encode(" " + t, add_special_tokens=False).ids, np.int64) for t in texts]
+        return [self.ranked.encode_ordinary(" " + t) if self.ranked and len(t) <= QUICK else self._whole(t) for t in texts]
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class PieceTokenizer:
@@ -74,8 +110,8 @@ class PieceTokenizer:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+    def ids(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
 
 
 def tokenizers_of(path_a: str, path_b: str) -> tuple[ByteTokenizer, PieceTokenizer]:
@@ -124,14 +160,20 @@ def _numbers_as_text(numbers: np.ndarray, behind: np.ndarray) -> tuple[np.ndarra
     return told, at
 
 
-def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], size_a: np.ndarray, size_b: np.ndarray) -> dict:
+def flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    count = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(count.sum())), count
+
+
+def align(ids_a: list[list[int]], ids_b: list[list[int]], size_a: np.ndarray, size_b: np.ndarray) -> dict:
     """Groups and links of texts with the same bytes under both tokenizers.
 
-    ``size_*`` has the bytes of each id. Per text: ``n_groups, n_links, groups``
-    (ids as ``a1,a2|b1;...``) and ``links``, its linked ids as arrays ``(a, b)``.
+    ``size_*`` has the bytes of each id. Per text: ``n_groups``, ``groups``
+    (ids as ``a1,a2|b1;...``) and ``links``, its linked pairs of ids as 64-bit
+    integers, A's in the upper half.
     """
-    count_a, count_b = np.array([len(x) for x in ids_a]), np.array([len(x) for x in ids_b])
-    a, b = np.concatenate([*ids_a, np.zeros(0, np.int64)]), np.concatenate([*ids_b, np.zeros(0, np.int64)])
+    (a, count_a), (b, count_b) = flat(ids_a), flat(ids_b)
     end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
     pointer = successors(end_a - size_a[a], end_a, end_b - size_b[b], end_b)
     terminal = jump(pointer)
@@ -148,48 +190,122 @@ def align(ids_a: list[np.ndarray], ids_b: list[np.ndarray], size_a: np.ndarray,
     behind[place_a[last_a]], behind[place_b[last_b]] = ord("|"), ord(";")
     told, at = _numbers_as_text(ids, behind)
     first = np.concatenate([[0], np.cumsum(count_a + count_b)])
-    first_b = np.concatenate([[0], np.cumsum(count_b)])
-    cut = np.searchsorted(last_b, first_b)
-    links = a[last_a], b[last_b]
+    cut = np.searchsorted(last_b, np.concatenate([[0], np.cumsum(count_b)]))
+    told, at = told.tobytes(), at[first].tolist()
+    links, by_text = (a[last_a] << SHIFT | b[last_b]).astype("<i8").tobytes(), (cut * 8).tolist()
     return {
-        "n_groups": np.diff(cut),
-        "n_links": np.diff(cut),
-        "groups": [told[at[i] : max(at[j] - 1, at[i])].tobytes() for i, j in zip(first[:-1], first[1:])],
-        "links": [(links[0][i:j], links[1][i:j]) for i, j in zip(cut[:-1], cut[1:])],
+        "n_groups": np.diff(cut).tolist(),
+        "groups": [told[i : max(j - 1, i)] for i, j in zip(at[:-1], at[1:])],
+        "links": [links[i:j] for i, j in zip(by_text[:-1], by_text[1:])],
     }
 
 
-def _same_bytes(text: str, ids: np.ndarray, spelled: list[bytes]) -> bool:
-    return b"".join(map(spelled.__getitem__, ids.tolist())) == b" " + text.encode()
+def spelled_alike(texts: list[str], ids: list[list[int]], spelled: list[bytes]) -> list[bool]:
+    """For each text, whether its tokens spell a space and the text."""
+    wanted = [b" " + t.encode() for t in texts]
+    sizes = [sum(map(len, map(spelled.__getitem__, x))) for x in ids]
+    if sizes == list(map(len, wanted)) and b"".join(wanted) == b"".join(map(spelled.__getitem__, chain.from_iterable(ids))):
+        return [True] * len(texts)
+    return [x == b"".join(map(spelled.__getitem__, y)) for x, y in zip(wanted, ids)]
+
+
+def parts_of(text: str) -> list[str]:
+    """A text cut at the first space of each run of white space; a space and each part give back ``" " + text``.
+
+    Neither tokenizer joins what stands before such a space with it (A's pattern
+    begins a word there, B's pieces have spaces in front only), so the tokens of
+    a text are those of its parts in a row, and groups stay within a part.
+    """
+    parts = _CUT.split(" " + text)[1:] if _RUN.search(text) else text.split(" ")
+    if parts[-1] == "" and len(parts) > 1:
+        # A last space alone is no text of its own.
+        parts[-2:] = [parts[-2] + " "]
+    return parts
+
+
+class AlignedParts:
+    """Groups, links and counts of parts, kept by a worker under the part's number.
+
+    Parts seen for the first time are tokenized and aligned together; one whose
+    bytes a tokenizer changes has the number -1. Beyond ``REMEMBERED`` parts or
+    ``REMEMBERED_BYTES`` all but those of the texts at hand are forgotten.
+    """
+
+    def __init__(self, a: ByteTokenizer, b: PieceTokenizer):
+        self.a, self.b = a, b
+        self.size_a, self.size_b = (np.array([len(x) for x in t.spelled], np.int64) for t in (a, b))
+        probe = "Two  words,\nthree\t lines \n\n of it's 1 2  tést"
+        by_parts = [sum(t.ids(parts_of(probe)), []) for t in (a, b)]
+        inner = any(b" " in x.lstrip(b" ") for x in b.spelled)
+        # Other kinds of tokenizers get whole texts.
+        self.cut = not inner and by_parts == [t.ids([probe])[0] for t in (a, b)]
+        self._begin({}, [], [], np.zeros((0, 3), np.int64))
+
+    def _begin(self, number: dict[str, int], groups: list[bytes], links: list[bytes], counts: np.ndarray) -> None:
+        self.number, self.groups, self.links, self.counts = number, groups, links, counts
+        self.held = sum(map(len, groups)) + sum(map(len, links))
+
+    def parts(self, text: str) -> list[str]:
+        return parts_of(text) if self.cut else [text]
+
+    def learn(self, parts: list[str]) -> None:
+        ids_a, ids_b = self.a.ids(parts), self.b.ids(parts)
+        alike = list(map(all, zip(spelled_alike(parts, ids_a, self.a.spelled), spelled_alike(parts, ids_b, self.b.spelled))))
+        if not all(alike):
+            self.number.update(dict.fromkeys(parts, -1))
+            parts, ids_a, ids_b = (list(compress(x, alike)) for x in (parts, ids_a, ids_b))
+        found = align(ids_a, ids_b, self.size_a, self.size_b)
+        self.number.update(zip(parts, range(len(self.groups), len(self.groups) + len(parts))))
+        self.groups += found["groups"]
+        self.links += found["links"]
+        counts = [list(map(len, ids_a)), list(map(len, ids_b)), found["n_groups"]]
+        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).T.reshape(-1, 3)])
+        self.held += sum(map(len, found["groups"])) + sum(map(len, found["links"]))
+
+    def forget_but(self, parts: set[str]) -> None:
+        kept = [p for p in parts if self.number.get(p, -1) >= 0]
+        old = [self.number[p] for p in kept]
+        groups, links = ([x[k] for k in old] for x in (self.groups, self.links))
+        self._begin(dict(zip(kept, range(len(kept)))), groups, links, self.counts[old])
+
+    def numbers(self, texts: list[list[str]]) -> list[list[int]]:
+        """The numbers of each text's parts."""
+        parts = set(chain.from_iterable(texts))
+        if len(self.number) > REMEMBERED or self.held > REMEMBERED_BYTES:
+            self.forget_but(parts)
+        self.learn([p for p in parts if p not in self.number])
+        return [list(map(self.number.__getitem__, parts)) for parts in texts]
 
 
 def _aligned_batches(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[pa.RecordBatch]:
-    a, b = tokenizers_of(path_a, path_b)
-    size_a, size_b = (np.array([len(x) for x in t.spelled], np.int64) for t in (a, b))
+    cache, key = worker_cache(), ("aligned parts", path_a, path_b)
+    if key not in cache:
+        cache[key] = AlignedParts(*tokenizers_of(path_a, path_b))
+    known = cache[key]
     for batch in batches:
         for part in slices(batch, SLICE_BYTES):
-            data, at = raw_text(part.column("text"))
-            held = np.flatnonzero(np.diff(at))
-            texts = [data[at[k] : at[k + 1]].tobytes().decode() for k in held]
-            ids_a, ids_b = a.ids(texts), b.ids(texts)
-            good = [k for k, t in enumerate(texts) if _same_bytes(t, ids_a[k], a.spelled) and _same_bytes(t, ids_b[k], b.spelled)]
-            ids_a, ids_b, rows = [ids_a[k] for k in good], [ids_b[k] for k in good], held[good].astype(np.int64)
-            found = align(ids_a, ids_b, size_a, size_b)
             n = part.num_rows
-            numbers = {c: np.zeros(n, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-            numbers["n_a"][rows], numbers["n_b"][rows] = [len(x) for x in ids_a], [len(x) for x in ids_b]
-            numbers["n_groups"][rows], numbers["n_links"][rows] = found["n_groups"], found["n_links"]
-            told, linked = [""] * n, [b""] * n
-            coded = [(x << SHIFT | y) for x, y in found["links"]]
-            for row, groups, code in zip(rows, found["groups"], coded):
-                told[row], linked[row] = hashlib.sha256(groups).hexdigest(), code.astype("<i8").tobytes()
-            pairs, counts = np.unique(np.concatenate([*coded, np.zeros(0, np.int64)]), return_counts=True)
+            data, at = raw_text(part.column("text"))
+            held = np.flatnonzero(np.diff(at)).tolist()
+            texts = [known.parts(data[at[k] : at[k + 1]].tobytes().decode()) for k in held]
+            counted, told, linked = np.zeros((n, 3), np.int64), [""] * n, [b""] * n
+            for row, numbers in zip(held, known.numbers(texts)):
+                if min(numbers) >= 0:
+                    counted[row] = known.counts[numbers].sum(axis=0)
+                    told[row] = hashlib.sha256(b";".join(map(known.groups.__getitem__, numbers))).hexdigest()
+                    linked[row] = b"".join(map(known.links.__getitem__, numbers))
+            pairs, counts = np.unique(np.frombuffer(b"".join(linked), "<i8"), return_counts=True)
             doc_id = part.column("doc_id").cast(pa.int64())
+            n_a, n_b, n_groups = np.append(counted, [[0, 0, 0]], axis=0).T
             # One more row carries the slice's pair counts.
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.concat_arrays([doc_id, pa.nulls(1, pa.int64())]),
-                    **{c: np.append(x, 0) for c, x in numbers.items()},
+                    "n_a": pa.array(n_a),
+                    "n_b": pa.array(n_b),
+                    "n_groups": pa.array(n_groups),
+                    # Tokens are not empty, so one of each side ends where a group ends.
+                    "n_links": pa.array(n_groups),
                     "groups_sha256": pa.array([*told, None], pa.string()),
                     "links": pa.array([*linked, None], pa.binary()),
                     "pairs": pa.array([*[None] * n, pairs], pa.list_(pa.int64())),

@@ -292,6 +292,27 @@ def tokenizers():
     return alignment.tokenizers_of(tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
 
 
+def whole_ids(text, tokenizers):
+    """Ids of a whole text by the two libraries alone."""
+    a, b = tokenizers
+    return [a.tokenizer.encode(" " + text, add_special_tokens=False).ids, b.model.encode(text)]
+
+
+def test_parts_have_the_ids_of_the_whole_text(tokenizers):
+    rng = random.Random(10)
+    pieces = [" ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "\u2028", "a", "the", "É", "1", "'s", "...", "\n ", " \n", "é́", "\u200b", "🙂", "\r\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 14)))
+        parts = alignment.parts_of(text)
+        assert "".join(" " + p for p in parts) == " " + text
+        assert [sum(t.ids(parts), []) for t in tokenizers] == whole_ids(text, tokenizers), repr(text)
+
+
+def test_long_runs_without_a_cut(tokenizers):
+    for text in (" " * 300_000, "\n" * 200_000, "!?" * 100_000, "q" * 300_000):
+        assert [t.ids([text])[0] for t in tokenizers] == whole_ids(text, tokenizers)
+
+
 def align_by_hand(texts, tokenizers):
     """Token counts, groups and links of texts, from offsets alone."""
     made = []
@@ -299,7 +320,7 @@ def align_by_hand(texts, tokenizers):
         if not text:
             made.append((0, 0, [], [], ""))
             continue
-        ids = [t.ids([text])[0].tolist() for t in tokenizers]
+        ids = whole_ids(text, tokenizers)
         spelled = [[t.spelled[k] for k in x] for t, x in zip(tokenizers, ids)]
         if any(b"".join(s) != (" " + text).encode() for s in spelled):
             made.append((0, 0, [], [], ""))
@@ -341,6 +362,18 @@ def test_aligned_documents(spark, tokenizers, sent):
     assert sorted(got, key=repr) == sorted(wanted, key=repr)
 
 
+def test_forgetting_parts_changes_nothing(tokenizers, monkeypatch):
+    texts = [t for t in odd_texts() if t]
+    wanted = {}
+    for most in (300_000, 3):
+        monkeypatch.setattr(alignment, "REMEMBERED", most)
+        known = alignment.AlignedParts(*tokenizers)
+        for text in texts * 2:
+            numbers = known.numbers([known.parts(text)])[0]
+            told = None if min(numbers) < 0 else (b";".join(known.groups[k] for k in numbers), known.counts[numbers].sum(axis=0).tolist())
+            assert wanted.setdefault(text, told) == told
+
+
 def test_no_documents_align(spark):
     paths = tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER)
     with Scratch(spark) as scratch:
@@ -364,7 +397,7 @@ def test_a_whole_text_may_be_one_component():
     a, b = np.zeros(10_000, np.int64), np.zeros(10_001, np.int64)
     b[[0, -1]] = 1
     found = alignment.align([a, a[:1]], [b, b[:1].repeat(2)], size_a, size_b)
-    assert found["n_groups"].tolist() == [1, 1]
+    assert found["n_groups"] == [1, 1]
     assert found["groups"][1] == b"0|1,1"
 
 
