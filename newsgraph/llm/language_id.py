@@ -10,6 +10,7 @@ much a text looks like it. Texts are scored in batches by matrix products.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ PIECE = 1 << 20
 TEXTS_PER_LANGUAGE = 1000
 LANDMARKS = 128
 LEAST_LANDMARKS = 4
+# Rows looked at for a sample, as a multiple of it, and by how much that is widened.
+SPARE, WIDER = 8, 16
 RIDGE = 1e-3
 UNKNOWN = "und"
 
@@ -111,28 +114,60 @@ def in_training(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
 
 
+def _draw(share: Column) -> Column:
+    """Whether the hash of a row's id and text is in the lowest ``share`` of all hashes."""
+    return (F.col("draw").cast("double") + 2.0**63) / 2.0**64 < share
+
+
+def choose(usable: DataFrame, per_language: int) -> DataFrame:
+    """``id, name, text_hash, rank``: of each language the ``per_language`` distinct texts of an id with the least hashes.
+
+    Only a share of the hashes that should hold some times as many is looked at,
+    so what is sorted for a language does not grow with it; where copies leave too
+    few different rows in it, the share is widened.
+    """
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    keyed = usable.select(
+        F.col("doc_id").alias("id"), F.col("lang").alias("name"),
+        F.xxhash64("text").alias("text_hash"), F.xxhash64("doc_id", "text").alias("draw"),
+    )
+    spark, open_, found = usable.sparkSession, dict.fromkeys(counts, SPARE), []
+    order = Window.partitionBy("name").orderBy("draw", "id", "text_hash")
+    while open_:
+        shares = [(lang, min(1.0, times * per_language / counts[lang])) for lang, times in open_.items()]
+        limits = spark.createDataFrame(shares, "name string, share double")
+        drawn = keyed.join(F.broadcast(limits), "name").filter(_draw(F.col("share"))).drop("share").distinct()
+        ranks = drawn.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
+        # At most per_language rows of each language.
+        rows = [tuple(r) for r in ranks.select("id", "name", "text_hash", "rank").collect()]
+        held = Counter(r[1] for r in rows)
+        done = {lang for lang, share in shares if share == 1.0 or held[lang] == per_language}
+        found += [r for r in rows if r[1] in done]
+        open_ = {lang: times * WIDER for lang, times in open_.items() if lang not in done}
+    kind = keyed.schema["id"].dataType.simpleString()
+    return spark.createDataFrame(sorted(found, key=repr), f"id {kind}, name string, text_hash long, rank int")
+
+
 def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """A model from ``doc_id, text, lang`` of training documents; None without any.
 
     At most ``per_language`` texts of each language, those with the smallest
-    hash of the id, are described on the executors; the driver gets a row of
-    kernel values for each. ``landmarks`` are shared out over the languages, but
-    each has LEAST_LANDMARKS, so the driver's part grows with their number squared.
+    hashes, are described on the executors; the driver gets a row of kernel
+    values for each. Repeated rows count once, an id with several texts once for
+    each. ``landmarks`` are shared out over the languages, but each has
+    LEAST_LANDMARKS, so the driver's part grows with their number squared.
     """
     usable = docs.filter(in_training(F.col("doc_id")) & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranks = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
-    # At most per_language ids of each language.
-    chosen = [(r["doc_id"], r["lang"], r["rank"]) for r in ranks.collect()]
-    languages = sorted({lang for _, lang, _ in chosen})
+    ids = choose(usable, per_language)
+    languages = sorted(r["name"] for r in ids.select("name").distinct().collect())
     if not languages:
         return None
-    spark, each = docs.sparkSession, max(LEAST_LANDMARKS, landmarks // len(languages))
+    each = max(LEAST_LANDMARKS, landmarks // len(languages))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ids = spark.createDataFrame(chosen, f"id {kind}, name string, rank int")
-    picked = usable.select("doc_id", "text", "lang").join(
-        F.broadcast(ids), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("name"))
-    )
+    hashed = usable.select("doc_id", "text", "lang", F.xxhash64("text").alias("text_hash"))
+    same = [F.col("doc_id") == F.col("id"), F.col("lang") == F.col("name"), hashed["text_hash"] == ids["text_hash"]]
+    joined = hashed.join(F.broadcast(ids), same).select("doc_id", "text", "lang", hashed["text_hash"], "rank")
+    picked = joined.dropDuplicates(["doc_id", "lang", "text_hash"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,7 +176,7 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "bits"])
 
     marked = picked.filter(F.col("rank") <= each).select("doc_id", "text")
-    found = sorted(marked.mapInArrow(pack, f"doc_id {kind}, bits binary").collect(), key=repr)[: len(languages) * each]
+    found = sorted(marked.mapInArrow(pack, f"doc_id {kind}, bits binary").collect(), key=repr)
     packed = np.array([np.frombuffer(r["bits"], np.uint8) for r in found])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +189,7 @@ def fit(docs: DataFrame, per_language: int = TEXTS_PER_LANGUAGE, landmarks: int
             )
 
     rows = picked.select("text", "lang").mapInArrow(describe, "lang string, kernel binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], r["kernel"]))[: len(languages) * per_language]
+    rows = sorted(rows, key=lambda r: (r["lang"], r["kernel"]))
     number = {lang: k for k, lang in enumerate(languages)}
     which = np.array([number[r["lang"]] for r in rows])
     marks = np.unpackbits(packed, axis=1).astype(np.float32)
@@ -178,10 +213,11 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     rows = df.select(F.struct("*").alias("row"))
     if model is None:
         return rows.select("row", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # a row of bits per landmark, a weight per landmark and language
+    # A row of bits per landmark, a weight per landmark and language; no class of ours, which workers could not name.
+    sent = df.sparkSession.sparkContext.broadcast((model.languages, model.landmarks, model.weights))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
+        known = Model(*sent.value)
         marks, names = known.unpacked(), np.array(known.languages, object)
         for batch in batches:
             n, texts = batch.num_rows, batch.column("row").field(place)
