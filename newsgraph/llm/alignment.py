@@ -40,7 +40,7 @@ BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 # The quicker library runs out of stack on long runs of white space.
 QUICK = 1000
 # What a worker keeps of parts; it changes time only.
-REMEMBERED, REMEMBERED_BYTES = 300_000, 50_000_000
+REMEMBERED, REMEMBERED_BYTES = 200_000, 40_000_000
 # White space of Python is a superset of that of the tokenizers.
 _RUN = re.compile(r"^\s|\s ")
 _CUT = re.compile(r"(?<!\s) ")

@@ -39,7 +39,9 @@ class WordIds(dict):
         core = part.rstrip(_TAIL)
         if core and core.isalpha() and max(core) < _LATIN_END:
             low, tail = core.lower(), part[len(core) :]
-            if low == part:
+            if not low.isalpha():  # a lower case with a mark that would join what follows
+                ids = self.encode(part)
+            elif low == part:
                 ids = self.spell(part)
             else:
                 ids = self[low] + (self[tail] if tail else b"")
