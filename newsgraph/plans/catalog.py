@@ -28,7 +28,7 @@ from newsgraph.operators import (
 from newsgraph.plans import domain, jobs
 from newsgraph.schemas import GKG_FILE
 from newsgraph.session import shared_folder, stored
-from newsgraph.sources.bundle import SEGMENT_FILES, in_period, read_bundle
+from newsgraph.sources.bundle import SEGMENT_FILES, in_period, read_averages, read_connections, read_daily
 from newsgraph.sources.daystore import missing_days
 from newsgraph.sources.feed import landed_days, read_landed_days
 from newsgraph.streaming.daily import compact_sums, stream_daily_sums, streamed_sums
@@ -41,7 +41,7 @@ WALKS_PER_VERTEX = 20
 WALK_LENGTH = 30
 DIMENSIONS = 32
 # The period that the stored products cover, and what the jobs are asked for.
-PRODUCT_DAYS = ("2020-12-01", "2020-12-20")
+PRODUCT_DAYS = ("2020-12-01", "2020-12-31")
 PRODUCT_PERIOD = "ten_days"
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,14 +441,17 @@ def _land_feed(spark, sf_dir):
     return folder
 
 
-def _products(spark, sf_dir):
-    """Stored articles of the landed events, and where their products go."""
+def _products(spark, sf_dir, n=None):
+    """Stored articles of the landed events, and where their products go.
+
+    The universe is every customer, or the first ``n``.
+    """
     landing, base = _land_feed(spark, sf_dir), f"{shared_folder(spark)}/products-{uuid4().hex}"
-    companies = universe.company_universe(domain.customer_holdings(spark, sf_dir), n=UNIVERSE_SIZE)
+    companies = universe.company_universe(domain.customer_holdings(spark, sf_dir), n=n)
     made = jobs.Products(base, *PRODUCT_DAYS, jobs.universe_tag(companies))
     landed = read_landed_days(spark, landing)
     rows = jobs.build_articles(
-        landed, companies, made, *PRODUCT_DAYS, on_error="skip", days=landed_days(spark, landing), today="2021-01-01"
+        landed, companies, made, *PRODUCT_DAYS, save_csv=False, on_error="skip", days=landed_days(spark, landing), today="2021-01-01"
     )
     return made, rows
 
@@ -469,20 +472,31 @@ def range_scores(spark, sf_dir):
     return rounded(spark.read.parquet(made.diffs))
 
 
-def _bundle(spark, sf_dir):
-    made, rows = _products(spark, sf_dir)
-    jobs.build_scores(rows, made)
-    near = neighbors.connections_topk(domain.vectors(spark, sf_dir).withColumn("id", F.col("id").cast("string")))
-    jobs.export_graph(near, embedding.pca_projection(domain.vectors(spark, sf_dir)), made, STORED_NEIGHBORS)
-    return read_bundle(spark, made.bundle)
+def _wide_products(spark, sf_dir):
+    """Stored scores of the companies that get a column in wide files."""
+    made, rows = _products(spark, sf_dir, UNIVERSE_SIZE)
+    jobs.build_scores(rows, made, wide=False)
+    return made
 
 
 def bundle_scores(spark, sf_dir):
-    return rounded(_bundle(spark, sf_dir).scores, 5)
+    made = _wide_products(spark, sf_dir)
+    jobs.write_average_file(spark, made)
+    return rounded(read_averages(spark, made.bundle), 5)
+
+
+def bundle_daily(spark, sf_dir):
+    made = _wide_products(spark, sf_dir)
+    jobs.write_daily_files(spark, made)
+    return rounded(read_daily(spark, made.bundle), 5)
 
 
 def bundle_connections(spark, sf_dir):
-    return rounded(_bundle(spark, sf_dir).connections)
+    points = domain.vectors(spark, sf_dir)
+    made = jobs.Products(f"{shared_folder(spark)}/products-{uuid4().hex}", *PRODUCT_DAYS, "vectors")
+    near = neighbors.connections_topk(points.withColumn("id", F.col("id").cast("string")))
+    jobs.export_graph(near, embedding.pca_projection(points), made, STORED_NEIGHBORS)
+    return rounded(read_connections(spark, made.bundle))
 
 
 QUERIES: dict[str, Query] = {
@@ -549,5 +563,6 @@ QUERIES: dict[str, Query] = {
     "period_articles": period_articles,
     "range_scores": range_scores,
     "bundle_scores": bundle_scores,
+    "bundle_daily": bundle_daily,
     "bundle_connections": bundle_connections,
 }

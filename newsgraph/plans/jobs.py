@@ -17,6 +17,7 @@ from newsgraph.operators.reshape import averages_wide, connections_wide, scores_
 from newsgraph.operators.scores import average_scores, daily_sums, diff_of_sums, industry_tone
 from newsgraph.operators.universe import alias_table
 from newsgraph.operators.walks import random_walks
+from newsgraph.session import Scratch
 from newsgraph.sources.bundle import SEGMENT_FILES, bundle_paths
 from newsgraph.sources.daystore import DayStore
 from newsgraph.sources.sinks import write_csv, write_table
@@ -104,22 +105,33 @@ def build_scores(articles: DataFrame, products: Products, wide: bool = True) ->
     write_table(diff_of_sums(sums), products.diffs)
     diffs = spark.read.parquet(products.diffs)
     write_table(average_scores(diffs), products.averages)
-    if not wide:
-        return
-    # Every company gets a column in every file, so their names are fetched.
-    orgs = [row["org"] for row in diffs.select("org").distinct().orderBy("org").collect()]
-    filled = fill_gaps(diffs)
-    industry = fill_gaps_rows(industry_tone(sums), ["segment"])
-    for segment, file in SEGMENT_FILES.items():
-        of_segment = F.col("segment") == segment
-        table = scores_wide(
-            filled.filter(of_segment).drop("segment"),
-            industry.filter(of_segment).drop("segment"),
-            orgs,
-        )
-        write_csv(table.orderBy("date"), products.files[file], single_file=True)
-    averages = averages_wide(spark.read.parquet(products.averages), orgs)
-    write_csv(averages, products.files["ESG"], single_file=True)
+    if wide:
+        write_daily_files(spark, products)
+        write_average_file(spark, products)
+
+
+def _organizations(diffs: DataFrame) -> list[str]:
+    """Every company gets a column in every wide file, so their names are fetched."""
+    return [row["org"] for row in diffs.select("org").distinct().orderBy("org").collect()]
+
+
+def write_daily_files(spark: SparkSession, products: Products) -> None:
+    """The four wide files of daily scores. Gaps are filled once for all of them."""
+    sums, diffs = spark.read.parquet(products.sums), spark.read.parquet(products.diffs)
+    orgs = _organizations(diffs)
+    with Scratch(spark) as scratch:
+        filled = scratch.store(fill_gaps(diffs), "filled")
+        industry = scratch.store(fill_gaps_rows(industry_tone(sums), ["segment"]), "industry")
+        for segment, file in SEGMENT_FILES.items():
+            of_segment = F.col("segment") == segment
+            table = scores_wide(filled.filter(of_segment).drop("segment"), industry.filter(of_segment).drop("segment"), orgs)
+            write_csv(table.orderBy("date"), products.files[file], single_file=True)
+
+
+def write_average_file(spark: SparkSession, products: Products) -> None:
+    """The wide file of average scores."""
+    orgs = _organizations(spark.read.parquet(products.diffs))
+    write_csv(averages_wide(spark.read.parquet(products.averages), orgs), products.files["ESG"], single_file=True)
 
 
 def build_graph(

@@ -250,17 +250,23 @@ exported AS (
 )"""
 
 # The landed events, of the first 300 customers.
-PRODUCTS = f"""
+def _products(limit: str = "") -> str:
+    """Articles of the landed events of every customer, or of the first ones."""
+    return f"""
 WITH {EVENT_ARTICLES.replace("articles AS", "raw AS", 1)},
-companies AS (SELECT 'org ' || c_custkey AS name FROM customer ORDER BY c_custkey LIMIT 300),
+companies AS (SELECT 'org ' || c_custkey AS name FROM customer ORDER BY c_custkey {limit}),
 stored AS (
   SELECT "DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS moved, CAST("DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) AS day,
          SourceCommonName, URL, E, S, G, replace(Organization, 'org ', 'company') AS Organization,
          Tone, PositiveTone, NegativeTone, Polarity, ActivityDensity, SelfDensity, WordCount
   FROM raw JOIN companies ON name = Organization
-  WHERE CAST("DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-20'
+  WHERE CAST("DATE" - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-31'
 )"""
+
+
+PRODUCTS = _products()
 PRODUCT_SCORES = f"{PRODUCTS}, articles AS (SELECT * FROM stored), {SCORES}"
+WIDE_SCORES = f"{_products('LIMIT 300')}, articles AS (SELECT * FROM stored), {SCORES}"
 
 # Places on the line of a vertex's edges, in the order of md5(to), and draws from md5.
 WALKS = f"""
@@ -490,10 +496,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT day, Organization, count(*) AS articles FROM stored
         WHERE day BETWEEN DATE '2020-12-01' AND DATE '2020-12-10' GROUP BY ALL""",
     "range_scores": f"{PRODUCT_SCORES} SELECT segment, date, org, round(diff, 9) + 0 AS diff FROM diffs",
-    "bundle_scores": f"""{PRODUCT_SCORES},
+    "bundle_scores": f"""{WIDE_SCORES},
         grid AS (SELECT * FROM (SELECT DISTINCT segment FROM diffs), (SELECT DISTINCT org FROM diffs))
         SELECT g.segment, g.org, round(a.score * 10000, 5) + 0 AS score
         FROM grid g LEFT JOIN averages a ON a.segment = g.segment AND a.org = g.org""",
+    "bundle_daily": f"""{WIDE_SCORES},
+        bounds AS (SELECT segment, min(date) AS a, max(date) AS b FROM industry GROUP BY segment),
+        days AS (SELECT segment, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP),
+          INTERVAL 1 DAY)) AS DATE) AS date FROM bounds),
+        seen AS (SELECT DISTINCT segment, date FROM diffs),
+        sourced AS (SELECT d.segment, d.date, max(s.date) OVER (PARTITION BY d.segment ORDER BY d.date) AS source
+          FROM days d LEFT JOIN seen s ON s.segment = d.segment AND s.date = d.date),
+        orgs AS (SELECT DISTINCT org FROM diffs)
+        SELECT s.segment, s.date, o.org, round(d.diff * 10000, 5) + 0 AS diff
+        FROM sourced s CROSS JOIN orgs o
+        LEFT JOIN diffs d ON d.segment = s.segment AND d.org = o.org AND d.date = s.source""",
     "bundle_connections": f"""
         WITH {COSINE}
         SELECT CAST(company AS VARCHAR) AS company, CAST(rank AS INTEGER) AS rank, CAST(neighbor AS VARCHAR) AS neighbor,
