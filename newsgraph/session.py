@@ -70,12 +70,21 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/scratch-{uuid4().hex}"
+        self.tables: list[str] = []
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}-{uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def store_buckets(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
+        """`store` with rows bucketed and sorted by ``keys``: a join on them moves the other side only."""
+        table = f"{name}_{uuid4().hex}"
+        writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+        writer.option("path", f"{self.folder}/{table}").saveAsTable(table)
+        self.tables.append(table)
+        return self.spark.table(table)
+
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         return stored(df, name)
 
@@ -83,4 +92,6 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         remove(self.spark, self.folder)

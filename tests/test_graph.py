@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.operators import embedding, graph, neighbors, walks
-from newsgraph.session import shared_folder
+from newsgraph.session import Scratch, shared_folder
 
 SMALL = [("u1", "a"), ("u1", "b"), ("u1", "c"), ("u2", "b"), ("u2", "a"), ("u3", "a"), ("u4", "a"), ("u4", "a"), ("u4", "b")]
 
@@ -230,3 +230,41 @@ def test_pca_against_numpy(spark):
         axis = axes[i] * np.sign(axes[i][np.abs(axes[i]).argmax()])
         np.testing.assert_allclose(found[f"pc{i}"], centred @ axis, atol=1e-8)
     assert np.abs(found[["pc0", "pc1", "pc2"]].mean()).max() < 1e-9
+
+
+def test_a_step_moves_only_the_walks(spark, edges):
+    with Scratch(spark) as scratch:
+        table = scratch.store_buckets(walks.step_table(edges), "steps", 4, "vertex", "cell")
+        standing = table.select(
+            F.col("to").alias("start"), F.lit(0).alias("walk"), F.array("to").alias("path"),
+            F.col("to").alias("vertex"), F.col("to_cells").alias("cells"), F.col("to_total").alias("total"),
+        ).distinct()
+        held = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        try:
+            moved = walks._stepped(standing, table, 1, 42)
+            plan = moved._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", held)
+        lines = plan.splitlines()
+        scan = max(k for k, line in enumerate(lines) if "Bucketed: true" in line)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-|"))
+        above, level = [], depth(lines[scan])
+        for line in reversed(lines[:scan]):
+            if depth(line) < level:
+                above.append(line)
+                level = depth(line)
+        assert any("SortMergeJoin" in line for line in above)
+        assert not any("Exchange" in line for line in above)
+
+
+@pytest.mark.parametrize("steps", [1, 4, 50])
+def test_steps_per_job_do_not_change_walks(spark, edges, rows, steps):
+    expected = rows(walks.random_walks(edges, 9, 3))
+    assert rows(walks.random_walks(edges, 9, 3, steps_per_job=steps)) == expected
+
+
+def test_walks_leave_no_tables(spark, edges):
+    before = len(spark.catalog.listTables())
+    walks.random_walks(edges, 3, 2)
+    assert len(spark.catalog.listTables()) == before
