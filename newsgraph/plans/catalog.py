@@ -18,6 +18,7 @@ from newsgraph.operators import (
     density,
     embedding,
     explore,
+    factors,
     graph,
     neighbors,
     reshape,
@@ -410,6 +411,17 @@ def embedding_check(spark, sf_dir):
     return embedding.embedding_check(_vectors(spark, sf_dir), DIMENSIONS)
 
 
+def pair_information(spark, sf_dir):
+    counts = stored(factors.pair_counts(_walks(_stored_edges(spark, sf_dir))), "counts")
+    return rounded(factors.pair_information(counts))
+
+
+def distributed_embeddings(spark, sf_dir):
+    """Whether every vertex has a vector of the factors."""
+    vectors = factors.distributed_embeddings(_walks(_stored_edges(spark, sf_dir)), DIMENSIONS)
+    return embedding.embedding_check(vectors, DIMENSIONS)
+
+
 def pca_projection(spark, sf_dir):
     return rounded(embedding.pca_projection(domain.vectors(spark, sf_dir)))
 
@@ -557,6 +569,8 @@ QUERIES: dict[str, Query] = {
     "random_walk_check": random_walk_check,
     "node_embeddings": node_embeddings,
     "embedding_check": embedding_check,
+    "pair_information": pair_information,
+    "distributed_embeddings": distributed_embeddings,
     "pca_projection": pca_projection,
     "pca_check": pca_check,
     "range_articles": range_articles,

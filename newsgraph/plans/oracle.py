@@ -484,6 +484,18 @@ ORACLE_SQL: dict[str, str] = {
     "embedding_check": f"""
         WITH {GRAPH} SELECT CAST(id AS VARCHAR) AS id, true AS right_size, true AS finite, true AS moved
         FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""",
+    "pair_information": f"""{WALKS},
+        near AS (
+          SELECT x.vertex AS a, y.vertex AS b FROM walks x JOIN walks y
+          ON x.start = y.start AND x.walk = y.walk AND abs(x.step - y.step) BETWEEN 1 AND 10),
+        counted AS (SELECT a, b, count(*) AS n FROM near GROUP BY ALL),
+        valued AS (
+          SELECT a, b, n, ln(n * (sum(n) OVER ())::DOUBLE / (
+            (sum(n) OVER (PARTITION BY a))::DOUBLE * (sum(n) OVER (PARTITION BY b))::DOUBLE)) AS value FROM counted)
+        SELECT a, b, n, round(value, 9) + 0 AS value FROM valued WHERE value > 0""",
+    "distributed_embeddings": f"""
+        WITH {GRAPH} SELECT id, true AS right_size, true AS finite, true AS moved
+        FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges)""",
     "pca_check": """
         WITH cells AS (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS v,
             generate_subscripts(embedding, 1) AS k FROM embeddings),

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsgraph.operators import embedding, graph, neighbors, walks
+from newsgraph.operators import embedding, factors, graph, neighbors, walks
 from newsgraph.session import Scratch, shared_folder
 
 SMALL = [("u1", "a"), ("u1", "b"), ("u1", "c"), ("u2", "b"), ("u2", "a"), ("u3", "a"), ("u4", "a"), ("u4", "a"), ("u4", "b")]
@@ -268,3 +268,68 @@ def test_walks_leave_no_tables(spark, edges):
     before = len(spark.catalog.listTables())
     walks.random_walks(edges, 3, 2)
     assert len(spark.catalog.listTables()) == before
+
+
+def two_clusters(spark):
+    """Two cliques of six vertices with one bridge."""
+    pairs = [(a, b, 4) for group in ("abcdef", "uvwxyz") for a, b in combinations(group, 2)] + [("f", "u", 1)]
+    return spark.createDataFrame(pairs, "src string, dst string, weight long")
+
+
+def brute_counts(paths, window):
+    counts = Counter()
+    for path in paths:
+        for i, x in enumerate(path):
+            for y in path[i + 1 : i + 1 + window]:
+                counts[x, y] += 1
+                counts[y, x] += 1
+    return counts
+
+
+def test_pair_counts_and_information(spark, rows):
+    paths = [list("abcab"), list("aa"), ["c"], list("dbd")]
+    df = spark.createDataFrame([(p,) for p in paths], "path array<string>")
+    counts = factors.pair_counts(df, 2)
+    wanted = brute_counts(paths, 2)
+    assert rows(counts) == sorted([(a, b, n) for (a, b), n in wanted.items()], key=repr)
+    total = sum(wanted.values())
+    of = Counter()
+    for (a, _), n in wanted.items():
+        of[a] += n
+    for shift in (1.0, 2.0):
+        told = {(r["a"], r["b"]): r["value"] for r in factors.pair_information(counts, shift).collect()}
+        value = {p: np.log(n * total / (of[p[0]] * of[p[1]])) - np.log(shift) for p, n in wanted.items()}
+        assert told == pytest.approx({p: v for p, v in value.items() if v > 0})
+
+
+def test_factors_are_those_of_the_whole_matrix(spark):
+    paths = walks.random_walks(two_clusters(spark), 12, 10)
+    found = {r["id"]: r["features"] for r in factors.distributed_embeddings(paths, 4, 5, rounds=40).collect()}
+    counts = factors.pair_counts(paths, 5)
+    value = {(r["a"], r["b"]): r["value"] for r in factors.pair_information(counts).collect()}
+    ids = sorted(found)
+    matrix = np.array([[value.get((a, b), 0.0) for b in ids] for a in ids])
+    size, turn = np.linalg.eigh(matrix)
+    best = np.argsort(-np.abs(size))[:4]
+    x = np.array([found[k] for k in ids])
+    wanted = (turn[:, best] * np.abs(size[best])) @ turn[:, best].T
+    assert np.allclose(x @ x.T, wanted, atol=1e-6)
+
+
+def test_distributed_vectors_tell_clusters_apart(spark):
+    paths = walks.random_walks(two_clusters(spark), 20, 20)
+    vectors = factors.distributed_embeddings(paths, 4, 5)
+    near = neighbors.connections_topk(vectors, 4).collect()
+    inside = [set(r["company"] + r["neighbor"]) <= set("abcdef") or set(r["company"] + r["neighbor"]) <= set("uvwxyz") for r in near]
+    assert np.mean(inside) > 0.9
+
+
+def test_more_dimensions_than_vertices(spark):
+    paths = walks.random_walks(two_clusters(spark).limit(3), 6, 4)
+    told = embedding.embedding_check(factors.distributed_embeddings(paths, 9), 9).collect()
+    assert told and all(r["right_size"] and r["finite"] for r in told)
+
+
+def test_no_walks_have_no_vectors(spark):
+    empty = spark.createDataFrame([], "start string, walk int, path array<string>")
+    assert factors.distributed_embeddings(empty, 3).collect() == []
