@@ -21,6 +21,7 @@ from newsgraph.operators import (
     factors,
     graph,
     neighbors,
+    pruned,
     reshape,
     scores,
     universe,
@@ -30,9 +31,17 @@ from newsgraph.plans import domain, jobs
 from newsgraph.schemas import GKG_FILE
 from newsgraph.session import shared_folder, stored
 from newsgraph.sources.bundle import SEGMENT_FILES, in_period, read_averages, read_connections, read_daily
-from newsgraph.sources.daystore import missing_days
-from newsgraph.sources.feed import landed_days, read_landed_days
-from newsgraph.streaming.daily import compact_sums, stream_daily_sums, streamed_sums
+from newsgraph.sources.daystore import DayStore, missing_days
+from newsgraph.sources.feed import (
+    bad_records,
+    good_records,
+    landed_days,
+    landed_files,
+    read_landed_days,
+    read_landed_records,
+    stream_feed,
+)
+from newsgraph.streaming.daily import compact_sums, stream_articles, stream_daily_sums, streamed_sums
 
 # What the queries ask for.
 COMPANY = "org 7"
@@ -365,6 +374,10 @@ def connections_topk(spark, sf_dir):
     return rounded(neighbors.connections_topk(domain.vectors(spark, sf_dir)))
 
 
+def connections_pruned(spark, sf_dir):
+    return rounded(pruned.pruned_topk(domain.vectors(spark, sf_dir)).nearest)
+
+
 def connections_wide(spark, sf_dir):
     near = neighbors.connections_topk(domain.vectors(spark, sf_dir))
     return rounded(reshape.connections_wide(near, STORED_NEIGHBORS))
@@ -443,16 +456,76 @@ def pca_check(spark, sf_dir):
 # Jobs -------------------------------------------------------------------------
 
 
-def _land_feed(spark, sf_dir):
-    """The events as landed day files; returns the folder."""
-    folder = f"{shared_folder(spark)}/landed-{uuid4().hex}"
+def _feed_lines(spark, sf_dir):
+    """The events as lines of day files: ``value, day``."""
     feed = domain.event_feed(spark, sf_dir)
     cells = [F.col(n) if n in feed.columns else F.lit("") for n in GKG_FILE.names]
     day = F.to_date(text.feed_timestamp(F.col("DATE"))).alias("day")
-    feed.select(F.concat_ws("\t", *[F.translate(c, "\t\r", "  ") for c in cells]).alias("value"), day).write.partitionBy("day").text(folder)
+    return feed.select(F.concat_ws("\t", *[F.translate(c, "\t\r", "  ") for c in cells]).alias("value"), day)
+
+
+def _land(lines, folder=None):
+    """Lines written, or added, to a landing folder; returns it."""
+    folder = folder or f"{shared_folder(lines.sparkSession)}/landed-{uuid4().hex}"
+    lines.write.mode("append").partitionBy("day").text(folder)
     return folder
 
 
+def _land_feed(spark, sf_dir):
+    """The events as landed day files; returns the folder."""
+    return _land(_feed_lines(spark, sf_dir))
+
+
+def changed_days(spark, sf_dir):
+    """Days to build again after some got one more file."""
+    lines = _feed_lines(spark, sf_dir)
+    folder = _land(lines)
+    store = DayStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}")
+    landed, files = read_landed_days(spark, folder), landed_files(spark, folder)
+    counted = lambda rows: rows.groupBy("day").agg(F.count(F.lit(1)).alias("records"))
+    store.update(landed, counted, *PRODUCT_DAYS, today="2021-01-01", on_error="skip", files=files)
+    _land(lines.filter(F.dayofmonth("day") % 7 == 0), folder)
+    return store.changed_days(landed_files(spark, folder))
+
+
+def _with_faults(lines):
+    """Some lines cut short, some with a time that is none."""
+    k = F.regexp_extract("value", "news.example/([0-9]+)", 1).cast("long") % 50
+    cut = F.substring_index("value", "\t", 9)
+    timeless = F.regexp_replace("value", "^\t[0-9]{14}", "\tyesterday")
+    return lines.select(F.when(k == 0, cut).when(k == 1, timeless).otherwise(F.col("value")).alias("value"), "day")
+
+
+def quarantined_records(spark, sf_dir):
+    """Lines left out and records stored, per day and reason."""
+    folder = _land(_with_faults(_feed_lines(spark, sf_dir)))
+    records = read_landed_records(spark, folder)
+    store = DayStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}")
+    stored_columns = lambda rows: rows.select("day", F.col("DocumentIdentifier").alias("URL"))
+    store.update(
+        good_records(records), stored_columns, *PRODUCT_DAYS, today="2021-01-01", on_error="skip",
+        files=landed_files(spark, folder), bad=bad_records(records),
+    )
+    bad = store.quarantined().groupBy("day", "reason").agg(F.count(F.lit(1)).alias("records"))
+    good = store.read(*PRODUCT_DAYS).groupBy("day").agg(F.count(F.lit(1)).alias("records"))
+    return bad.unionByName(good.withColumn("reason", F.lit("stored")))
+
+
+def streamed_feed_tone(spark, sf_dir):
+    """Daily tone of landed files as a stream; files of some days come twice, long after."""
+    lines = _feed_lines(spark, sf_dir)
+    folder, progress = _land(lines), f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    aliases = stored(universe.alias_table(universe.company_universe(domain.customer_holdings(spark, sf_dir))), "aliases")
+    for again in (False, True):
+        if again:
+            _land(lines.filter(F.dayofmonth("day") % 5 == 0), folder)
+        rows = stream_articles(stream_feed(spark, folder, files=20), aliases)
+        stream_daily_sums(rows, progress).awaitTermination()
+    compact_sums(spark, progress)
+    sums = streamed_sums(spark, progress)
+    return rounded(sums.select("segment", "date", "org", F.try_divide("tone_sum", "word_sum").alias("tone")))
+
+
 def _products(spark, sf_dir, n=None):
     """Stored articles of the landed events, and where their products go.
 
@@ -562,6 +635,7 @@ QUERIES: dict[str, Query] = {
     "graph_vertices": graph_vertices,
     "ego_edges": ego_edges,
     "connections_topk": connections_topk,
+    "connections_pruned": connections_pruned,
     "connections_wide": connections_wide,
     "neighbor_confidence": neighbor_confidence,
     "embedding_labels": embedding_labels,
@@ -573,6 +647,9 @@ QUERIES: dict[str, Query] = {
     "distributed_embeddings": distributed_embeddings,
     "pca_projection": pca_projection,
     "pca_check": pca_check,
+    "changed_days": changed_days,
+    "quarantined_records": quarantined_records,
+    "streamed_feed_tone": streamed_feed_tone,
     "range_articles": range_articles,
     "period_articles": period_articles,
     "range_scores": range_scores,

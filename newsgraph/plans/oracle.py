@@ -466,6 +466,9 @@ ORACLE_SQL: dict[str, str] = {
     "connections_topk": f"""
         WITH {COSINE} SELECT company, CAST(rank AS INTEGER) AS rank, neighbor,
           round(confidence, 9) + 0 AS confidence FROM ranked WHERE rank < 25""",
+    "connections_pruned": f"""
+        WITH {COSINE} SELECT company, CAST(rank AS INTEGER) AS rank, neighbor,
+          round(confidence, 9) + 0 AS confidence FROM ranked WHERE rank < 25""",
     "connections_wide": f"WITH {COSINE} SELECT company, {_wide_connections} FROM ranked WHERE rank < 25 GROUP BY company",
     "neighbor_confidence": f"""
         WITH {COSINE} SELECT neighbor AS "Neighbor", round(confidence, 9) + 0 AS "Confidence"
@@ -502,6 +505,16 @@ ORACLE_SQL: dict[str, str] = {
           means AS (SELECT k, avg(v) AS m FROM cells GROUP BY k)
         SELECT id, round(sum(pow(v - m, 2)), 6) AS squared FROM cells JOIN means USING (k) GROUP BY id
         UNION ALL SELECT -1, 0.0""",
+    "changed_days": f"""
+        WITH moved AS (SELECT CAST(ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) AS day FROM events)
+        SELECT DISTINCT day FROM moved
+        WHERE day BETWEEN DATE '2020-12-01' AND DATE '2020-12-31' AND dayofmonth(day) % 7 = 0""",
+    "quarantined_records": f"""
+        SELECT CAST(ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) AS day,
+          CASE event_id % 50 WHEN 0 THEN 'columns' WHEN 1 THEN 'date' ELSE 'stored' END AS reason, count(*) AS records
+        FROM events WHERE CAST(ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) BETWEEN DATE '2020-12-01' AND DATE '2020-12-31'
+        GROUP BY ALL""",
+    "streamed_feed_tone": f"{PRODUCT_SCORES} SELECT segment, date, org, round(tone, 9) + 0 AS tone FROM tones",
     "range_articles": f"""{PRODUCTS}
         SELECT strftime(moved, '%Y-%m-%d %H:%M:%S') AS "DATE", * EXCLUDE (moved, day) FROM stored""",
     "period_articles": f"""{PRODUCTS}

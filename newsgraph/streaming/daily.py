@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from newsgraph.operators.articles import reformat_articles
 from newsgraph.operators.scores import daily_sums
 from newsgraph.session import remove
 
+# How long after its time a record may land or be repeated.
+DELAY = "40 days"
+
 BATCH_SUMS = T.StructType(
     [
         T.StructField("segment", T.StringType(), True),
@@ -28,6 +32,19 @@ BATCH_SUMS = T.StructType(
 )
 
 
+def stream_articles(feed: DataFrame, aliases: DataFrame, delay: str = DELAY) -> DataFrame:
+    """The article-by-company rows of a stream of feed records.
+
+    A record comes once, whichever files repeat it: its URL and time are kept as
+    state until ``delay`` has passed on the stream's clock, and a record that
+    comes later than that is dropped. The aliases are a table that is read anew
+    with every batch.
+    """
+    timed = feed.filter(F.col("DATE").isNotNull()).withWatermark("DATE", delay)
+    once = timed.dropDuplicatesWithinWatermark(["DocumentIdentifier", "DATE"])
+    return reformat_articles(once, aliases)
+
+
 def stream_daily_sums(articles: DataFrame, folder: str, continuous: bool = False) -> StreamingQuery:
     """Start writing daily sums; by default take what has landed and stop.
 

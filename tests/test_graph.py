@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from newsgraph.operators import embedding, factors, graph, neighbors, walks
+from newsgraph.operators import embedding, factors, graph, neighbors, pruned, walks
 from newsgraph.session import Scratch, shared_folder
 
 SMALL = [("u1", "a"), ("u1", "b"), ("u1", "c"), ("u2", "b"), ("u2", "a"), ("u3", "a"), ("u4", "a"), ("u4", "a"), ("u4", "b")]
@@ -333,3 +333,36 @@ def test_more_dimensions_than_vertices(spark):
 def test_no_walks_have_no_vectors(spark):
     empty = spark.createDataFrame([], "start string, walk int, path array<string>")
     assert factors.distributed_embeddings(empty, 3).collect() == []
+
+
+def clustered(n, clusters=12, d=8, spread=0.05, seed=4):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(clusters, d))
+    return centres[rng.integers(0, clusters, n)] + spread * rng.normal(size=(n, d))
+
+
+def same_neighbours(spark, rows, df, k, **sizes):
+    made = pruned.pruned_topk(df, k, **sizes)
+    columns = ["company", "rank", "neighbor", F.round("confidence", 8).alias("c")]
+    assert rows(made.nearest.select(*columns)) == rows(neighbors.connections_topk(df, k).select(*columns))
+    return made
+
+
+@pytest.mark.parametrize("k, block_rows", [(1, 40), (5, 40), (25, 400), (5, 5000)])
+def test_pruned_neighbours_are_all_neighbours(spark, rows, k, block_rows):
+    x = np.vstack([clustered(500), random_vectors(60, copies=15), np.zeros((3, 8)), clustered(4) * 0 + 1.0])
+    made = same_neighbours(spark, rows, frame(spark, x), k, block_rows=block_rows)
+    assert 0 < made.pairs_met <= made.pairs == len(x) ** 2
+
+
+def test_clustered_vectors_meet_few_pairs(spark, rows):
+    made = same_neighbours(spark, rows, frame(spark, clustered(800)), 5, block_rows=50)
+    assert made.pairs_met < made.pairs / 4
+
+
+def test_pruned_neighbours_of_few_and_of_string_ids(spark, rows):
+    df = frame(spark, random_vectors(7)).withColumn("id", F.concat(F.lit("c"), F.col("id").cast("string")))
+    same_neighbours(spark, rows, df, 25, block_rows=3)
+    same_neighbours(spark, rows, df.limit(1), 3)
+    same_neighbours(spark, rows, df.limit(0), 3)
+    same_neighbours(spark, rows, frame(spark, np.zeros((5, 3))), 2, block_rows=2)

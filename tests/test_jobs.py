@@ -12,12 +12,21 @@ from newsgraph.operators.universe import company_universe
 from newsgraph.plans import jobs
 from newsgraph.schemas import GKG_FILE
 from newsgraph.sources import bundle, sinks
-from newsgraph.sources.daystore import DayStore, missing_days
-from newsgraph.sources.feed import landed_days, read_feed, read_landed_days, stream_feed
+from newsgraph.sources.daystore import DayStore, changed_days, missing_days
+from newsgraph.sources.feed import (
+    bad_records,
+    good_records,
+    landed_days,
+    landed_files,
+    read_feed,
+    read_landed_days,
+    read_landed_records,
+    stream_feed,
+)
 from newsgraph.sources.holdings import read_holdings
 from newsgraph.operators.articles import reformat_articles
 from newsgraph.operators.universe import alias_table
-from newsgraph.streaming.daily import compact_sums, stream_daily_sums, streamed_sums
+from newsgraph.streaming.daily import compact_sums, stream_articles, stream_daily_sums, streamed_sums
 
 NAMES = [f.name for f in GKG_FILE.fields]
 
@@ -318,3 +327,93 @@ def test_write_csv_of_nested(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a", "b"])], "id int, l array<string>")
     sinks.write_csv(df, str(tmp_path / "c"), single_file=True)
     assert tuple(spark.read.option("header", True).option("escape", '\\').csv(str(tmp_path / "c")).first()) == ("1", '["a","b"]')
+
+
+def urls(df):
+    return df.select("day", F.col("DocumentIdentifier").alias("URL"))
+
+
+def test_days_with_changed_files_are_built_again(spark, tmp_path, rows):
+    folder, store = str(tmp_path / "landing"), DayStore(spark, str(tmp_path / "store"))
+    land(folder, ["2020-12-01", "2020-12-02", "2020-12-04"])
+
+    def update(**more):
+        landed = read_landed_days(spark, folder)
+        return store.update(landed, urls, "2020-12-01", "2020-12-04", "2021-01-01", on_error="skip", files=landed_files(spark, folder), **more)
+
+    assert rows(update()) == [(date(2020, 12, 3),)]
+    runs = {r["day"]: r["run"] for r in store.built_days().collect()}
+    assert store.changed_days(landed_files(spark, folder)).collect() == []
+    update()
+    assert {r["day"]: r["run"] for r in store.built_days().collect()} == runs
+    with open(f"{folder}/day=2020-12-02/late.csv", "w") as file:
+        file.write(record("2020-12-02", "120000", "p.com", "u9", "ENV_A", "visa", "1,1,1,1,1,1,10") + "\n")
+    os.utime(f"{folder}/day=2020-12-04/part.csv", (1_700_000_000, 1_700_000_000))
+    changed = [(date(2020, 12, 2),), (date(2020, 12, 4),)]
+    assert rows(store.changed_days(landed_files(spark, folder))) == changed
+    update()
+    after = {r["day"]: r["run"] for r in store.built_days().collect()}
+    assert [day for day in runs if after[day] != runs[day]] and {day for day in runs if after[day] != runs[day]} == {c[0] for c in changed}
+    assert rows(store.read("2020-12-01", "2020-12-04"), "URL") == [("u1",), ("u2",), ("u3",), ("u4",), ("u5",), ("u9",)]
+    assert store.changed_days(landed_files(spark, folder)).collect() == []
+    os.remove(f"{folder}/day=2020-12-02/late.csv")
+    assert rows(store.changed_days(landed_files(spark, folder))) == changed[:1]
+
+
+def test_changed_days_of_lists(spark, rows):
+    schema = "day date, file string, bytes long, modified timestamp"
+    at = pd.Timestamp("2021-01-01").to_pydatetime()
+    d = [date(2020, 12, k) for k in range(1, 6)]
+    before = spark.createDataFrame([(d[0], "a", 1, at), (d[1], "b", 1, at), (d[2], "c", 1, at), (d[4], "gone", 1, at)], schema)
+    now = spark.createDataFrame([(d[0], "a", 1, at), (d[0], "a", 1, at), (d[1], "b", 2, at), (d[2], "c", 1, at), (d[2], "x", 1, at), (d[3], "new", 0, at)], schema)
+    assert rows(changed_days(before, now)) == [(d[1],), (d[2],), (d[3],)]
+
+
+def test_bad_lines_stop_neither_their_day_nor_others(spark, tmp_path, rows):
+    folder, store = str(tmp_path / "landing"), DayStore(spark, str(tmp_path / "store"))
+    land(folder, ["2020-12-01", "2020-12-02"])
+    wrong = record("2020-12-02", "120000", "p.com", "u8", "ENV_A", "visa", "1,1")
+    with open(f"{folder}/day=2020-12-02/bad.csv", "w") as file:
+        file.write("only\tthree\tcells\n\n" + wrong.replace("20201202120000", "someday") + "\n" + wrong + "\textra\n")
+    os.makedirs(f"{folder}/day=2020-12-03")
+    with open(f"{folder}/day=2020-12-03/bad.csv", "w") as file:
+        file.write("\x00\xff nothing\n")
+    records = read_landed_records(spark, folder)
+    good = read_landed_days(spark, folder, strict=False).filter("DocumentIdentifier like 'u%' and DATE is not null and DocumentIdentifier <> 'u8'")
+    assert rows(good_records(records)) == rows(good.select(good_records(records).columns))
+
+    def update(frame):
+        return store.update(
+            good_records(frame), urls, "2020-12-01", "2020-12-03", "2021-01-01", files=landed_files(spark, folder), bad=bad_records(frame)
+        )
+
+    assert update(records).collect() == []
+    assert rows(store.read("2020-12-01", "2020-12-03"), "URL") == [("u1",), ("u2",), ("u3",)]
+    reasons = rows(store.quarantined(), "day", "reason")
+    assert reasons == sorted([(date(2020, 12, 2), r) for r in ("columns", "columns", "columns", "date")] + [(date(2020, 12, 3), "columns")], key=repr)
+    # A mended file is taken in, and its lines leave the quarantine.
+    with open(f"{folder}/day=2020-12-02/bad.csv", "w") as file:
+        file.write(wrong + "\n")
+    update(read_landed_records(spark, folder))
+    assert rows(store.read("2020-12-01", "2020-12-03"), "URL") == [("u1",), ("u2",), ("u3",), ("u8",)]
+    assert rows(store.quarantined(), "day", "reason") == [(date(2020, 12, 3), "columns")]
+
+
+def test_streamed_feed_takes_a_record_once(spark, tmp_path, rows, universe):
+    folder, progress = str(tmp_path / "landing"), str(tmp_path / "progress")
+    aliases = alias_table(universe).cache()
+    land(folder, ["2020-12-02", "2020-12-04"])
+
+    def run():
+        articles = stream_articles(stream_feed(spark, folder, files=1), aliases)
+        stream_daily_sums(articles, progress).awaitTermination()
+
+    run()
+    # A late day, and one that landed before under another name.
+    land(folder, ["2020-12-01"])
+    with open(f"{folder}/day=2020-12-04/again.csv", "w") as file:
+        file.writelines(record("2020-12-04", *fields) + "\n" for fields in DAYS["2020-12-04"])
+    run()
+    os.remove(f"{folder}/day=2020-12-04/again.csv")
+    batch = daily_sums(reformat_articles(read_landed_days(spark, folder), aliases))
+    assert rows(streamed_sums(spark, progress).select(batch.columns)) == rows(batch)
