@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsgraph.constants import SCORE_SCALE, STORED_NEIGHBORS, UNIVERSE_SIZE
+from newsgraph.constants import HOLDINGS_PREAMBLE_LINES, SCORE_SCALE, STORED_NEIGHBORS, UNIVERSE_SIZE
 from newsgraph.functions import text
 from newsgraph.functions.names import strip_share_class
 from newsgraph.operators import (
@@ -22,6 +23,7 @@ from newsgraph.operators import (
     graph,
     neighbors,
     pruned,
+    ranges,
     reshape,
     scores,
     universe,
@@ -32,6 +34,7 @@ from newsgraph.schemas import GKG_FILE
 from newsgraph.session import shared_folder, stored
 from newsgraph.sources.bundle import SEGMENT_FILES, in_period, read_averages, read_connections, read_daily
 from newsgraph.sources.daystore import DayStore, missing_days
+from newsgraph.sources.edgestore import EdgeStore
 from newsgraph.sources.feed import (
     bad_records,
     good_records,
@@ -41,6 +44,9 @@ from newsgraph.sources.feed import (
     read_landed_records,
     stream_feed,
 )
+from newsgraph.sources.holdings import read_holdings
+from newsgraph.sources.scoreblocks import ScoreBlocks
+from newsgraph.sources.sinks import read_ordered, write_ordered
 from newsgraph.streaming.daily import compact_sums, stream_articles, stream_daily_sums, streamed_sums
 
 # What the queries ask for.
@@ -53,6 +59,12 @@ DIMENSIONS = 32
 # The period that the stored products cover, and what the jobs are asked for.
 PRODUCT_DAYS = ("2020-12-01", "2020-12-31")
 PRODUCT_PERIOD = "ten_days"
+PRODUCT_WALKS = (10, 10)
+# Ranges whose averages are asked for, as first and last day after the start.
+RANGE_START = date(2024, 1, 1)
+RANGES = [(0, 29), (0, 0), (3, 9), (7, 20), (10, 10), (12, 28), (20, 40), (1, 2), (15, 59), (5, 25)]
+# Years whose edges are summed one run after the other.
+EDGE_YEARS = ((1994, 1995), (1995, 1997))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -456,9 +468,8 @@ def pca_check(spark, sf_dir):
 # Jobs -------------------------------------------------------------------------
 
 
-def _feed_lines(spark, sf_dir):
-    """The events as lines of day files: ``value, day``."""
-    feed = domain.event_feed(spark, sf_dir)
+def _feed_lines(feed):
+    """Feed records as lines of day files: ``value, day``."""
     cells = [F.col(n) if n in feed.columns else F.lit("") for n in GKG_FILE.names]
     day = F.to_date(text.feed_timestamp(F.col("DATE"))).alias("day")
     return feed.select(F.concat_ws("\t", *[F.translate(c, "\t\r", "  ") for c in cells]).alias("value"), day)
@@ -473,12 +484,16 @@ def _land(lines, folder=None):
 
 def _land_feed(spark, sf_dir):
     """The events as landed day files; returns the folder."""
-    return _land(_feed_lines(spark, sf_dir))
+    return _land(_event_lines(spark, sf_dir))
+
+
+def _event_lines(spark, sf_dir):
+    return _feed_lines(domain.event_feed(spark, sf_dir))
 
 
 def changed_days(spark, sf_dir):
     """Days to build again after some got one more file."""
-    lines = _feed_lines(spark, sf_dir)
+    lines = _event_lines(spark, sf_dir)
     folder = _land(lines)
     store = DayStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}")
     landed, files = read_landed_days(spark, folder), landed_files(spark, folder)
@@ -498,7 +513,7 @@ def _with_faults(lines):
 
 def quarantined_records(spark, sf_dir):
     """Lines left out and records stored, per day and reason."""
-    folder = _land(_with_faults(_feed_lines(spark, sf_dir)))
+    folder = _land(_with_faults(_event_lines(spark, sf_dir)))
     records = read_landed_records(spark, folder)
     store = DayStore(spark, f"{shared_folder(spark)}/store-{uuid4().hex}")
     stored_columns = lambda rows: rows.select("day", F.col("DocumentIdentifier").alias("URL"))
@@ -513,7 +528,7 @@ def quarantined_records(spark, sf_dir):
 
 def streamed_feed_tone(spark, sf_dir):
     """Daily tone of landed files as a stream; files of some days come twice, long after."""
-    lines = _feed_lines(spark, sf_dir)
+    lines = _event_lines(spark, sf_dir)
     folder, progress = _land(lines), f"{shared_folder(spark)}/stream-{uuid4().hex}"
     aliases = stored(universe.alias_table(universe.company_universe(domain.customer_holdings(spark, sf_dir))), "aliases")
     for again in (False, True):
@@ -541,6 +556,99 @@ def _products(spark, sf_dir, n=None):
     return made, rows
 
 
+def holdings_scan(spark, sf_dir):
+    """Customers landed as a holdings file of several parts, read back with their places."""
+    folder = f"{shared_folder(spark)}/holdings-{uuid4().hex}"
+    head = [f"preamble {k}" for k in range(HOLDINGS_PREAMBLE_LINES)] + ["Ticker,Name,Sector"]
+    top = spark.createDataFrame([(k - len(head), line) for k, line in enumerate(head)], "place long, value string")
+    line = F.concat_ws(",", F.lit("T"), F.concat(F.lit('"'), "Name", F.lit(', THE"')), "Sector")
+    rows = domain.customer_holdings(spark, sf_dir).select(F.col("rank").cast("long").alias("place"), line.alias("value"))
+    ordered = top.unionByName(rows).repartitionByRange(4, "place").sortWithinPartitions("place")
+    ordered.select("value").write.text(folder)
+    return read_holdings(spark, folder).select("Name", "Sector", F.col("rank").cast("long").alias("rank"))
+
+
+def ordered_scores(spark, sf_dir):
+    """Scores stored in order by many tasks, read back with their places."""
+    path = f"{shared_folder(spark)}/ordered-{uuid4().hex}"
+    write_ordered(_event_diffs(spark, sf_dir), path, "date", "segment", "org")
+    return rounded(read_ordered(spark, path))
+
+
+def scores_blocks(spark, sf_dir):
+    """Filled scores of all companies through wide tables in blocks."""
+    folder = f"{shared_folder(spark)}/blocks-{uuid4().hex}"
+    blocks = ScoreBlocks(spark, folder, 100)
+    blocks.write(stored(calendar.fill_gaps(_event_diffs(spark, sf_dir)), "filled"))
+    return rounded(blocks.read())
+
+
+def range_average(spark, sf_dir):
+    """Averages of ten ranges from running sums."""
+    path = f"{shared_folder(spark)}/running-{uuid4().hex}"
+    days = f"{RANGE_START}", f"{RANGE_START + timedelta(days=59)}"
+    ranges.write_running_sums(ranges.running_sums(_event_diffs(spark, sf_dir), *days), path)
+    sums = spark.read.parquet(path)
+    asked = [(str(RANGE_START + timedelta(days=a)), str(RANGE_START + timedelta(days=b))) for a, b in RANGES]
+    parts = [
+        ranges.range_average(sums, *bounds).select(F.lit(bounds[0]).alias("first"), F.lit(bounds[1]).alias("last"), "segment", "org", "score")
+        for bounds in asked
+    ]
+    return rounded(articles.union_days(parts), 6)
+
+
+def make_products(spark, sf_dir):
+    """The whole job over landed orders, twice; what each product has in it."""
+    landing, base = _land(_feed_lines(domain.order_feed(spark, sf_dir))), f"{shared_folder(spark)}/products-{uuid4().hex}"
+    landed, files = read_landed_days(spark, landing), landed_files(spark, landing)
+    companies = universe.company_universe(domain.supplier_holdings(spark, sf_dir))
+    for _ in range(2):
+        # The second time everything is up to date.
+        made = jobs.make_products(
+            landed, companies, base, *PRODUCT_DAYS, save_csv=False, on_error="skip", files=files, wide=False,
+            walk_length=PRODUCT_WALKS[0], walks_per_vertex=PRODUCT_WALKS[1],
+        )
+    articles = jobs.DayStore(spark, made.store).read(*PRODUCT_DAYS)
+    read = spark.read.parquet
+    counted = lambda df, name, total: df.agg(
+        F.lit(name).alias("product"), F.count(F.lit(1)).alias("rows"), F.round(F.sum(total), 6).alias("total")
+    )
+    none = F.lit(0.0)
+    return _stacked(
+        counted(articles, "articles", F.col("Tone")),
+        counted(read(made.sums), "sums", F.col("tone_sum")),
+        counted(read(made.diffs), "diffs", none),
+        counted(read(made.averages), "averages", none),
+        counted(read(made.edges), "edges", F.col("weight").cast("double")),
+        counted(read(made.vectors), "vectors", none),
+        counted(read(made.points), "points", none),
+        counted(read(made.connections), "connections", F.col("rank").cast("double")),
+    )
+
+
+def _stacked(*parts):
+    return rounded(articles.union_days(list(parts)), 4)
+
+
+def range_edges(spark, sf_dir):
+    """Edges of some years as sums of the years, an order's lines lying in several of them."""
+    lines = domain.table(spark, sf_dir, "lineitem")
+    mentions = stored(
+        lines.select(
+            F.trunc("l_shipdate", "year").alias("day"), F.lit("0").alias("run"),
+            F.col("l_orderkey").alias("URL"), F.col("l_suppkey").alias("Organization"),
+        ),
+        "mentions",
+    )
+    store = EdgeStore(spark, f"{shared_folder(spark)}/edges-{uuid4().hex}")
+    within = lambda first, last: mentions.filter(F.year("day").between(first, last))
+    for years in EDGE_YEARS:
+        some = within(*years)
+        store.update(some, some.select("day", "run").distinct())
+    whole = within(EDGE_YEARS[0][0], EDGE_YEARS[-1][1])
+    return store.edges(whole.select("day", "run").distinct(), whole)
+
+
 def range_articles(spark, sf_dir):
     rows = articles.export_columns(_products(spark, sf_dir)[1])
     return rows.withColumn("DATE", F.date_format("DATE", "yyyy-MM-dd HH:mm:ss"))
@@ -647,6 +755,12 @@ QUERIES: dict[str, Query] = {
     "distributed_embeddings": distributed_embeddings,
     "pca_projection": pca_projection,
     "pca_check": pca_check,
+    "holdings_scan": holdings_scan,
+    "ordered_scores": ordered_scores,
+    "scores_blocks": scores_blocks,
+    "range_average": range_average,
+    "make_products": make_products,
+    "range_edges": range_edges,
     "changed_days": changed_days,
     "quarantined_records": quarantined_records,
     "streamed_feed_tone": streamed_feed_tone,

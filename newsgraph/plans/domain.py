@@ -103,6 +103,42 @@ def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as raw feed records of a month: the suppliers of an order's lines are the companies it names."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("l_suppkey")), lambda k: F.concat(F.lit("company"), k.cast("string"))), ";").alias("orgs")
+    )
+    priority, key = F.col("o_orderpriority"), F.col("o_orderkey")
+    themes = F.concat_ws(
+        ";",
+        F.when(priority.isin("1-URGENT", "2-HIGH"), F.lit("ENV_OIL")),
+        F.when(priority.isin("2-HIGH", "3-MEDIUM"), F.lit("UNGP_FORESTS")),
+        F.when(priority == "5-LOW", F.lit("ECON_STOCK")),
+        F.lit("TAX"),
+    )
+    moment = F.lit("2020-12-01").cast("timestamp_ntz") + F.make_dt_interval(
+        days=(key % 30).cast("int"), secs=(key % 86400).cast("decimal(18,6)")
+    )
+    tone = F.concat_ws(",", (F.col("o_totalprice") / 1000 - 250).cast("string"), *[F.lit("1")] * 5, F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.date_format(moment, "yyyyMMddHHmmss").alias("DATE"),
+        F.col("o_orderstatus").alias("SourceCommonName"),
+        F.concat(F.lit("https://news.example/"), key.cast("string")).alias("DocumentIdentifier"),
+        themes.alias("Themes"),
+        F.col("orgs").alias("Organizations"),
+        tone.alias("V2Tone"),
+    )
+
+
+def supplier_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as the holdings of an index."""
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("COMPANY"), F.col("s_suppkey").cast("string"), F.lit(" INC")).alias("Name"),
+        F.lit("Suppliers").alias("Sector"),
+        F.col("s_suppkey").alias("rank"),
+    )
+
+
 # Fixed value: days between the events and the period of the stored products.
 EVENT_SHIFT_DAYS = 1126
 

@@ -11,6 +11,7 @@ from newsgraph.operators.articles import export_columns, reformat_articles
 from newsgraph.operators.calendar import fill_gaps, fill_gaps_rows
 from newsgraph.operators.embedding import node_embeddings, pca_projection
 from newsgraph.operators.explore import any_flag
+from newsgraph.operators.factors import distributed_embeddings
 from newsgraph.operators.graph import comention_edges
 from newsgraph.operators.neighbors import connections_topk
 from newsgraph.operators.reshape import averages_wide, connections_wide, scores_wide
@@ -20,6 +21,7 @@ from newsgraph.operators.walks import random_walks
 from newsgraph.session import Scratch
 from newsgraph.sources.bundle import SEGMENT_FILES, bundle_paths
 from newsgraph.sources.daystore import DayStore
+from newsgraph.sources.edgestore import EdgeStore
 from newsgraph.sources.sinks import write_csv, write_table
 
 
@@ -29,8 +31,10 @@ class Products:
     def __init__(self, base: str, start: str, end: str, universe: str):
         self.store = f"{base}/{universe}/daily_data"
         self.aliases = f"{base}/{universe}/aliases"
+        self.day_edges = f"{base}/{universe}/day_edges"
         folder = f"{base}/{universe}/{start}__to__{end}"
         self.scored_runs = f"{folder}/scored_runs"
+        self.graph_runs = f"{folder}/graph_runs"
         self.sums = f"{folder}/daily_sums"
         self.diffs = f"{folder}/daily_scores"
         self.averages = f"{folder}/average_scores"
@@ -134,6 +138,17 @@ def write_average_file(spark: SparkSession, products: Products) -> None:
     write_csv(averages_wide(spark.read.parquet(products.averages), orgs), products.files["ESG"], single_file=True)
 
 
+def range_edges(spark: SparkSession, products: Products, start: str, end: str) -> DataFrame:
+    """Edges of the flagged articles of a range, as sums of days; days without sums get them."""
+    articles = DayStore(spark, products.store)
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    runs = articles.built_days().filter(F.col("day").between(first, last))
+    mentions = any_flag(articles.read_runs(start, end)).select("day", "run", "URL", "Organization")
+    edges = EdgeStore(spark, products.day_edges)
+    edges.update(mentions, runs)
+    return edges.edges(runs, mentions)
+
+
 def build_graph(
     articles: DataFrame,
     products: Products,
@@ -142,16 +157,29 @@ def build_graph(
     walks_per_vertex: int = 20,
     dimensions: int = 32,
     seed: int = 42,
+    vectors: str = "skipgram",
+    edges: DataFrame | None = None,
 ) -> None:
-    """Edges, vectors, projection and connections of the flagged articles."""
+    """Edges, vectors, projection and connections of the flagged articles.
+
+    ``edges`` are those of the articles, where they are known. ``vectors`` come
+    from ``skipgram`` training, whose model is on the driver, or are the
+    ``factors`` of the walks' pair information, which have no such bound.
+    """
+    if vectors not in ("skipgram", "factors"):
+        raise ValueError(f"unknown vectors {vectors!r}")
     spark = articles.sparkSession
-    write_table(comention_edges(any_flag(articles)), products.edges)
-    edges = spark.read.parquet(products.edges)
-    walks = random_walks(edges, walk_length, walks_per_vertex, seed)
-    write_table(node_embeddings(walks, dimensions, seed=seed), products.vectors)
-    vectors = spark.read.parquet(products.vectors)
-    write_table(pca_projection(vectors), products.points)
-    write_table(connections_topk(vectors, neighbors), products.connections)
+    write_table(comention_edges(any_flag(articles)) if edges is None else edges, products.edges)
+    stored_edges = spark.read.parquet(products.edges)
+    walks = random_walks(stored_edges, walk_length, walks_per_vertex, seed)
+    if vectors == "factors":
+        made = distributed_embeddings(walks, dimensions, seed=seed)
+    else:
+        made = node_embeddings(walks, dimensions, seed=seed)
+    write_table(made, products.vectors)
+    found = spark.read.parquet(products.vectors)
+    write_table(pca_projection(found), products.points)
+    write_table(connections_topk(found, neighbors), products.connections)
     export_graph(spark.read.parquet(products.connections), spark.read.parquet(products.points), products, neighbors)
 
 
@@ -170,8 +198,17 @@ def range_runs(spark: SparkSession, products: Products, start: str, end: str) ->
     return {(row["day"], row["run"]) for row in within.collect()}
 
 
-def recorded_runs(spark: SparkSession, products: Products) -> set:
-    return {(row["day"], row["run"]) for row in spark.read.parquet(products.scored_runs).collect()}
+def _is_current(spark: SparkSession, path: str, runs: set, settings: str = "") -> bool:
+    """Whether the record at ``path`` names these runs and settings."""
+    if not table_exists(spark, path):
+        return False
+    rows = spark.read.parquet(path).collect()
+    return {(r["day"], r["run"]) for r in rows} == runs and {r["settings"] for r in rows} <= {settings}
+
+
+def _record(spark: SparkSession, path: str, runs: set, settings: str = "") -> None:
+    rows = [(day, run, settings) for day, run in sorted(runs)]
+    write_table(spark.createDataFrame(rows, "day date, run string, settings string").coalesce(1), path)
 
 
 def make_products(
@@ -183,23 +220,30 @@ def make_products(
     save_csv: bool = True,
     on_error: str = "fail",
     days: DataFrame | None = None,
+    files: DataFrame | None = None,
+    bad: DataFrame | None = None,
+    wide: bool = True,
     **graph,
 ) -> Products:
-    """Everything of one range; days and scores that are up to date are not built again.
+    """Everything of one range; days, scores and graph that are up to date are not built again.
 
-    The runs of the range's days are recorded after its scores. When a day
-    landed late or was built again since, or scoring died half-way, the record
-    differs from the store and the scores are built again.
+    The runs of the range's days are recorded after its scores, and after its
+    graph with the graph's settings. When a day landed late or was built again
+    since, or a build died half-way, a record differs from the store and what
+    it stands for is built again; only the changed days' edges are. ``files`` and
+    ``bad`` are as in `DayStore.update`, ``wide`` as in `build_scores`.
     """
     spark = landed.sparkSession
     products = Products(base, start, end, universe_tag(universe))
     articles = build_articles(
-        landed, universe, products, start, end, save_csv, on_error=on_error, days=days
+        landed, universe, products, start, end, save_csv, on_error=on_error, days=days, files=files, bad=bad
     )
     runs = range_runs(spark, products, start, end)
-    if not table_exists(spark, products.scored_runs) or recorded_runs(spark, products) != runs:
-        build_scores(articles, products)
-        record = spark.createDataFrame(sorted(runs), "day date, run string")
-        write_table(record.coalesce(1), products.scored_runs)
-    build_graph(articles, products, **graph)
+    if not _is_current(spark, products.scored_runs, runs):
+        build_scores(articles, products, wide)
+        _record(spark, products.scored_runs, runs)
+    settings = repr(sorted(graph.items()))
+    if not _is_current(spark, products.graph_runs, runs, settings):
+        build_graph(articles, products, edges=range_edges(spark, products, start, end), **graph)
+        _record(spark, products.graph_runs, runs, settings)
     return products

@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import product
 
 from newsgraph.constants import LEGAL_ENDINGS, SHARE_CLASS_LETTERS, SHARE_CLASS_WORDS, TONE_COLUMNS
+from newsgraph.plans.catalog import RANGES
 from newsgraph.plans.domain import EVENT_SHIFT_DAYS, ORDER_ORGS, PART_ENDINGS
 
 EVENT_ARTICLES = """
@@ -505,6 +506,62 @@ ORACLE_SQL: dict[str, str] = {
           means AS (SELECT k, avg(v) AS m FROM cells GROUP BY k)
         SELECT id, round(sum(pow(v - m, 2)), 6) AS squared FROM cells JOIN means USING (k) GROUP BY id
         UNION ALL SELECT -1, 0.0""",
+    "holdings_scan": """
+        SELECT 'COMPANY' || c_custkey || ' INC, THE' AS Name, c_mktsegment AS Sector,
+          row_number() OVER (ORDER BY c_custkey) AS rank FROM customer""",
+    "ordered_scores": f"""{EVENT_SCORES}
+        SELECT segment, date, org, round(diff, 9) + 0 AS diff,
+          row_number() OVER (ORDER BY date, segment, org) - 1 AS position FROM diffs""",
+    "scores_blocks": f"""{EVENT_SCORES},
+        bounds AS (SELECT segment, min(date) AS a, max(date) AS b FROM diffs GROUP BY segment),
+        days AS (SELECT segment, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP),
+          INTERVAL 1 DAY)) AS DATE) AS date FROM bounds),
+        seen AS (SELECT DISTINCT segment, date FROM diffs),
+        sourced AS (SELECT d.segment, d.date, max(s.date) OVER (PARTITION BY d.segment ORDER BY d.date) AS source
+          FROM days d LEFT JOIN seen s ON s.segment = d.segment AND s.date = d.date)
+        SELECT s.segment, s.date, d.org, round(d.diff, 9) + 0 AS diff
+        FROM sourced s JOIN diffs d ON d.segment = s.segment AND d.date = s.source WHERE d.diff IS NOT NULL""",
+    "range_average": f"""{EVENT_SCORES},
+        ranges AS (SELECT unnest([{", ".join(str(r[0]) for r in RANGES)}]) AS a, unnest([{", ".join(str(r[1]) for r in RANGES)}]) AS b),
+        bounds AS (SELECT CAST(DATE '2024-01-01' + CAST(a AS INTEGER) AS DATE) AS first,
+          CAST(DATE '2024-01-01' + CAST(b AS INTEGER) AS DATE) AS last FROM ranges)
+        SELECT strftime(first, '%Y-%m-%d') AS first, strftime(last, '%Y-%m-%d') AS last, segment, org, round(avg(diff), 6) + 0 AS score
+        FROM bounds JOIN diffs ON date BETWEEN first AND last WHERE diff IS NOT NULL GROUP BY ALL""",
+    "make_products": f"""
+        WITH raw AS (
+          SELECT o_orderkey AS url, CAST(DATE '2020-12-01' + CAST(o_orderkey % 30 AS INTEGER) AS DATE) AS day,
+            'company' || l_suppkey AS Organization,
+            o_orderpriority IN ('1-URGENT', '2-HIGH') AS E, o_orderpriority IN ('2-HIGH', '3-MEDIUM') AS S,
+            o_orderpriority = '5-LOW' AS G,
+            o_totalprice / 1000 - 250 AS Tone, CAST(o_custkey AS DOUBLE) AS WordCount
+          FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+        articles AS (SELECT * FROM raw),
+        {SCORES},
+        counts AS (SELECT url, Organization AS org, count(*) AS n FROM raw WHERE E OR S OR G GROUP BY ALL),
+        pairs AS (
+          SELECT a.org AS src, b.org AS dst, a.n * b.n AS w FROM counts a JOIN counts b ON a.url = b.url AND a.org < b.org
+          UNION ALL SELECT org, org, n * (n - 1) // 2 FROM counts WHERE n > 1),
+        linked AS (SELECT src, dst, sum(w) AS weight FROM pairs GROUP BY ALL),
+        v AS (SELECT count(*) AS n FROM (SELECT src FROM linked UNION SELECT dst FROM linked)),
+        made AS (
+          SELECT 'articles' AS product, count(*) AS rows, sum(Tone) AS total FROM articles
+          UNION ALL SELECT 'sums', count(*), sum(t) FROM (
+            SELECT segment, day, Organization, sum(Tone) AS t FROM segmented GROUP BY ALL)
+          UNION ALL SELECT 'diffs', count(*), 0 FROM diffs
+          UNION ALL SELECT 'averages', count(*), 0 FROM averages
+          UNION ALL SELECT 'edges', count(*), sum(weight) FROM linked
+          UNION ALL SELECT 'vectors', n, 0 FROM v
+          UNION ALL SELECT 'points', n, 0 FROM v
+          UNION ALL SELECT 'connections', n * least(n - 1, 25), n * least(n - 1, 25) * (least(n - 1, 25) - 1) / 2 FROM v)
+        SELECT product, CAST(rows AS BIGINT) AS rows, round(CAST(total AS DOUBLE), 4) + 0 AS total FROM made""",
+    "range_edges": """
+        WITH counts AS (
+          SELECT l_orderkey AS url, l_suppkey AS org, count(*) AS n FROM lineitem
+          WHERE year(l_shipdate) BETWEEN 1994 AND 1997 GROUP BY ALL),
+        pairs AS (
+          SELECT a.org AS src, b.org AS dst, a.n * b.n AS w FROM counts a JOIN counts b ON a.url = b.url AND a.org < b.org
+          UNION ALL SELECT org, org, n * (n - 1) // 2 FROM counts WHERE n > 1)
+        SELECT src, dst, CAST(sum(w) AS BIGINT) AS weight FROM pairs GROUP BY ALL""",
     "changed_days": f"""
         WITH moved AS (SELECT CAST(ts - INTERVAL {EVENT_SHIFT_DAYS} DAY AS DATE) AS day FROM events)
         SELECT DISTINCT day FROM moved

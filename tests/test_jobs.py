@@ -1,4 +1,5 @@
 import os
+import random
 from datetime import date
 
 import pandas as pd
@@ -6,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgraph.constants import BUNDLE_FILES
+from newsgraph.operators import ranges
 from newsgraph.operators.articles import union_days
+from newsgraph.operators.graph import comention_edges
 from newsgraph.operators.scores import daily_sums
 from newsgraph.operators.universe import company_universe
 from newsgraph.plans import jobs
@@ -23,7 +26,9 @@ from newsgraph.sources.feed import (
     read_landed_records,
     stream_feed,
 )
-from newsgraph.sources.holdings import read_holdings
+from newsgraph.sources.edgestore import EdgeStore
+from newsgraph.sources.holdings import numbered_lines, read_holdings
+from newsgraph.sources.scoreblocks import ScoreBlocks
 from newsgraph.operators.articles import reformat_articles
 from newsgraph.operators.universe import alias_table
 from newsgraph.streaming.daily import compact_sums, stream_articles, stream_daily_sums, streamed_sums
@@ -417,3 +422,105 @@ def test_streamed_feed_takes_a_record_once(spark, tmp_path, rows, universe):
     os.remove(f"{folder}/day=2020-12-04/again.csv")
     batch = daily_sums(reformat_articles(read_landed_days(spark, folder), aliases))
     assert rows(streamed_sums(spark, progress).select(batch.columns)) == rows(batch)
+
+
+def test_holdings_lines_are_numbered_over_blocks_and_files(spark, tmp_path, rows):
+    folder = tmp_path / "holdings"
+    folder.mkdir()
+    lines = [f"preamble {k}" for k in range(9)] + ["Ticker,Name,Sector"] + [f't{k},"NAME {k}, INC",S{k % 3}' for k in range(400)]
+    for part, (i, j) in enumerate([(0, 3), (3, 200), (200, 201), (201, 410)]):
+        (folder / f"part-{part}.csv").write_text("\n".join(lines[i:j]) + "\n")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("256", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = rows(numbered_lines(spark, str(folder)).select("number", "value"))
+            assert sorted(got) == list(enumerate(lines, 1))
+            held = read_holdings(spark, str(folder)).orderBy("rank").collect()
+            assert [tuple(r) for r in held] == [(f"NAME {k}, INC", f"S{k % 3}", k + 1) for k in range(400)]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
+def test_ordered_rows_come_back_in_their_order(spark, tmp_path):
+    path = str(tmp_path / "ordered")
+    data = [(k * 7919 % 500, str(k % 3)) for k in range(500)] + [(None, "n")]
+    sinks.write_ordered(spark.createDataFrame(data, "a int, b string").repartition(5), path, "b", "a")
+    got = sorted((r["position"], r["b"], r["a"]) for r in sinks.read_ordered(spark, path).collect())
+    wanted = sorted(data, key=lambda r: (r[1], r[0] is not None, r[0] or 0))
+    assert got == [(k, b, a) for k, (a, b) in enumerate(wanted)]
+    assert len([f for f in os.listdir(path) if f.endswith(".parquet")]) > 1
+
+
+@pytest.mark.parametrize("columns", [1, 4, 50])
+def test_score_blocks(spark, tmp_path, rows, columns):
+    data = [(s, date(2021, 1, d), f"org {k}", float(k * d) if (k + d) % 4 else None) for s in "TE" for d in (1, 2, 5) for k in range(11)]
+    diffs = spark.createDataFrame(data, "segment string, date date, org string, diff double")
+    blocks = ScoreBlocks(spark, str(tmp_path / "blocks"), columns)
+    blocks.write(diffs)
+    assert rows(blocks.read()) == sorted([r for r in data if r[3] is not None], key=repr)
+    assert rows(blocks.manifest().groupBy("block").count().agg(F.max("count"))) == [(min(columns, 11),)]
+
+
+def test_range_averages_are_those_of_a_scan(spark, tmp_path, rows):
+    data = [(s, date(2021, 1, d), f"org {k}", float(k * d % 7)) for s in "TE" for d in (1, 2, 5, 6, 9) for k in range(5) if (k + d) % 3]
+    data += [("T", date(2021, 1, 3), "late", 5.0), ("T", date(2021, 1, 4), "late", None)]
+    diffs = spark.createDataFrame(data, "segment string, date date, org string, diff double")
+    path = str(tmp_path / "sums")
+    ranges.write_running_sums(ranges.running_sums(diffs, "2021-01-01", "2021-01-12"), path)
+    sums = spark.read.parquet(path)
+    for a, b in [(1, 12), (1, 1), (3, 4), (7, 8), (5, 9), (10, 12), (2, 6)]:
+        bounds = f"2021-01-{a:02d}", f"2021-01-{b:02d}"
+        scan = diffs.filter(F.col("date").between(*[F.lit(x).cast("date") for x in bounds]) & F.col("diff").isNotNull())
+        wanted = scan.groupBy("segment", "org").agg(F.avg("diff").alias("score"))
+        got = ranges.range_average(sums, *bounds)
+        assert rows(got.withColumn("score", F.round("score", 9))) == rows(wanted.withColumn("score", F.round("score", 9)))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("PartitionFilters: [isnotnull(date") == 2
+
+
+def test_edges_of_a_range_are_sums_of_days(spark, tmp_path, rows):
+    rng = random.Random(3)
+    data = [(date(2021, 1, rng.randint(1, 5)), "r0", f"u{rng.randint(0, 12)}", rng.choice("abcdef")) for _ in range(150)]
+    mentions = spark.createDataFrame([*data, (date(2021, 1, 1), "r0", None, "a")], "day date, run string, URL string, Organization string")
+    store = EdgeStore(spark, str(tmp_path / "edges"))
+    some = mentions.filter("day <= '2021-01-03'")
+    days = lambda df: df.select("day", "run").distinct()
+    assert store.update(some, days(some)) == 3
+    assert rows(store.edges(days(some), some)) == rows(comention_edges(some))
+    assert store.update(mentions, days(mentions)) == 2
+    assert store.update(mentions, days(mentions)) == 0
+    assert rows(store.edges(days(mentions), mentions)) == rows(comention_edges(mentions))
+    # One day is built again, with other rows.
+    again = mentions.filter("day <> '2021-01-02'").unionByName(
+        spark.createDataFrame([(date(2021, 1, 2), "r1", "u1", "a"), (date(2021, 1, 2), "r1", "u1", "z")], mentions.schema)
+    )
+    assert store.update(again, days(again)) == 1
+    assert rows(store.edges(days(again), again)) == rows(comention_edges(again))
+
+
+def test_the_graph_is_built_again_only_when_days_or_settings_change(spark, tmp_path, rows, universe, monkeypatch):
+    built = []
+    plain = jobs.build_graph
+    monkeypatch.setattr(jobs, "build_graph", lambda *a, **k: (built.append(1), plain(*a, **k)))
+    options = dict(walk_length=4, walks_per_vertex=3, dimensions=3, neighbors=2, save_csv=False, wide=False, vectors="factors")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    land(folder, ["2020-12-01", "2020-12-02"])
+
+    def make(**more):
+        landed, files = read_landed_days(spark, folder), landed_files(spark, folder)
+        return jobs.make_products(landed, universe, out, "2020-12-01", "2020-12-04", on_error="skip", files=files, **{**options, **more})
+
+    made = make()
+    make()
+    assert len(built) == 1
+    make(walk_length=5)
+    assert len(built) == 2
+    land(folder, ["2020-12-04"])
+    make(walk_length=5)
+    assert len(built) == 3
+    edges = rows(spark.read.parquet(made.edges))
+    assert edges == [("apple", "apple", 1), ("apple", "nike", 3), ("apple", "visa", 3), ("nike", "visa", 2)]
+    assert EdgeStore(spark, made.day_edges).summed_days().count() == 3
