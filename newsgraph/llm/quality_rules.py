@@ -243,13 +243,14 @@ def fit_rules(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> li
 
     At most ``sample`` labelled rows, those with the smallest hash of the id,
     come to the driver, as numbers; rows whose hash is far beyond that share are
-    left out before tasks send any. Rows with a null id or quality are left out.
+    left out before tasks send any. Rows with a null id or quality are left out,
+    and so are those that the base rules reject, whatever the learned ones say.
     """
     known = labels.select(F.col("doc_id").alias("id"), "quality").filter("id IS NOT NULL AND quality IS NOT NULL")
     joined = counted.join(known, F.col("doc_id") == F.col("id"))
     share = 1.1 * sample / max(1, known.count()) + 0.001
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    near = joined.filter(place <= int(min(1.0, share) * (1 << 30)))
+    near = joined.filter((place <= int(min(1.0, share) * (1 << 30))) & ~base_failed())
     picked = near.select(*[ratio(n).alias(n) for n in _RATIOS], (F.col("quality") == 0).alias("bad"), "id", place.alias("place"))
     rows = picked.orderBy("place", "id", *_RATIOS).limit(sample).toPandas()
     return learn_rules({n: rows[n].to_numpy(float) for n in _RATIOS}, rows["bad"].to_numpy(bool))
