@@ -6,15 +6,9 @@ from newsgraph.llm import chat_format, line_dedup, url_filter
 from newsgraph.llm.catalog import EXTRA_CONVERSATION, EXTRA_TEXT
 
 
-def _bounded(term: str) -> str:
-    return f"regexp_matches(u, '(^|[^[:alnum:]]){term}([^[:alnum:]]|$)')"
-
-
 def _url_filter() -> str:
-    strict = " + ".join(f"{_bounded(t)}::int" for t in url_filter.STRICT_TERMS)
-    soft = " + ".join(f"{w} * {_bounded(t)}::int" for t, w in url_filter.SOFT_TERMS.items())
-    terms = sorted({*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS})
-    listed = ", ".join(f"CASE WHEN {_bounded(t)} THEN '{t}' END" for t in terms)
+    listed = [(t, 0, 1) for t in url_filter.STRICT_TERMS] + [(t, w, 0) for t, w in url_filter.SOFT_TERMS.items()]
+    values = ", ".join(f"('{t}', {w}, {s})" for t, w, s in listed)
     rules = sorted(url_filter.RULES, key=lambda r: -len(r.name))
     fits = [
         (f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')", r) for r in rules
@@ -31,9 +25,14 @@ def _url_filter() -> str:
           regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path,
         coalesce(translate(url, '{url_filter.UPPER}', '{url_filter.LOWER}'), '') AS u
       FROM pages),
+    found AS (
+      SELECT u, sum(strict)::bigint AS n_strict, sum(weight)::bigint AS soft_weight,
+        string_agg(term, ' ' ORDER BY term) AS terms
+      FROM (SELECT DISTINCT u FROM located) JOIN (VALUES {values}) v(term, weight, strict) ON contains(u, term)
+      WHERE regexp_matches(u, '(^|[^a-z0-9])' || term || '([^a-z0-9]|$)') GROUP BY u),
     counted AS (
-      SELECT *, ({strict})::bigint AS n_strict, ({soft})::bigint AS soft_weight,
-        concat_ws(' ', {listed}) AS terms FROM located)
+      SELECT l.*, coalesce(n_strict, 0) AS n_strict, coalesce(soft_weight, 0) AS soft_weight, coalesce(terms, '') AS terms
+      FROM located l LEFT JOIN found f ON l.u = f.u)
     SELECT page_id, host, path, CASE {name} END AS rule,
       CASE {verdict} WHEN n_strict > 0 OR soft_weight >= {url_filter.SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
       n_strict, soft_weight, terms

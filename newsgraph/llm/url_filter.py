@@ -2,8 +2,9 @@
 
 The vocabulary is searched with one Aho-Corasick pass over each URL, whatever
 the number of terms. A term counts only between boundaries: the characters
-beside it are not letters or digits. One strict term rejects; soft terms reject
-when the weights of the distinct ones that occur reach the limit.
+beside it are not ASCII letters or digits. One strict term rejects; soft terms
+reject when the weights of the distinct ones that occur reach the limit, which
+takes two at least.
 """
 
 from __future__ import annotations
@@ -19,15 +20,42 @@ ALLOW, BLOCK = "allow", "block"
 
 # The shipped vocabulary. Strict terms reject alone.
 STRICT_TERMS = (
-    "porn", "xxx", "hentai", "camgirls", "escorts", "warez", "keygen", "onlinecasino", "viagra", "cialis",
+    "porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "camgirls", "camsex", "sexcam", "escorts", "milf", "gangbang",
+    "bukkake", "upskirt", "warez", "keygen", "crackz", "serialz", "onlinecasino", "casinobonus", "freespins", "viagra",
+    "cialis", "levitra", "tramadol", "paydayloans",
 )
-# Soft terms and their weights; distinct ones of SOFT_LIMIT together reject.
-SOFT_TERMS = {
-    "adult": 1, "bet": 1, "betting": 1, "casino": 1, "crack": 1, "dating": 1, "escort": 1, "free": 1, "gambling": 1,
-    "hot": 1, "jackpot": 1, "loan": 1, "lottery": 1, "nude": 1, "payday": 1, "pharmacy": 1, "pills": 1, "poker": 1,
-    "sexy": 1, "slots": 1, "torrent": 1, "webcam": 1,
+# Soft terms by weight; terms of several kinds must come together to reach SOFT_LIMIT.
+SOFT_GRADES = {
+    3: (
+        "casino", "gambling", "betting", "escort", "nude", "erotic", "fetish", "sexy", "sex", "webcam", "torrent", "jackpot",
+        "payday", "pharmacy", "pills", "pirate", "crack", "roulette", "blackjack", "striptease", "slot",
+    ),
+    2: (
+        "adult", "bet", "poker", "lottery", "dating", "hookup", "singles", "babes", "lingerie", "loan", "debt", "bingo",
+        "wager", "tipster", "sportsbook", "steroid", "weed", "vape", "botox", "slimming", "replica", "hack", "cheat", "proxy",
+        "forex", "bitcoin", "airdrop",
+    ),
+    1: (
+        "free", "hot", "win", "bonus", "cheap", "deal", "discount", "coupon", "promo", "offer", "sale", "buy", "cash", "credit",
+        "click", "download", "stream", "live", "chat", "cam", "girl", "teen", "spin", "prize", "gift", "vip", "unlimited",
+        "instant", "guaranteed", "miracle", "diet", "keto", "detox", "rich", "profit", "earn", "invest", "crypto", "token",
+        "wallet",
+    ),
 }
-SOFT_LIMIT = 2
+# Distinct soft terms of this weight together reject; no term has so much.
+SOFT_LIMIT = 4
+
+
+def _graded(grades: dict[int, Sequence[str]]) -> dict[str, int]:
+    """Weights of terms and of their plurals, which count as terms of their own."""
+    plain = {term: weight for weight, terms in grades.items() for term in terms}
+    plurals = {f"{term}s": weight for term, weight in plain.items() if not term.endswith("s")}
+    return {t: w for t, w in {**plurals, **plain}.items() if t not in STRICT_TERMS}
+
+
+SOFT_TERMS = _graded(SOFT_GRADES)
+# What a term may not stand beside, after A-Z are lower-cased; other letters than these are boundaries.
+_INSIDE = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @dataclass(frozen=True)
@@ -82,7 +110,7 @@ def _bounded_hits(automaton, url: str) -> set[str]:
     for last, term in automaton.iter(url):
         first = last - len(term) + 1
         before, after = url[first - 1 : first] if first else "", url[last + 1 : last + 2]
-        if not before.isalnum() and not after.isalnum():
+        if before not in _INSIDE and after not in _INSIDE:
             hits.add(term)
     return hits
 

@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 import subprocess
 import sys
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from newsgraph.llm import language_id
+from newsgraph.llm import language_id, sharding, url_filter
 from newsgraph.llm.catalog import tokenizer_path
 from newsgraph.llm.tokens import text_encoder
 
@@ -75,3 +76,39 @@ def test_queries_run_where_workers_have_no_copy_of_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
     assert done.returncode == 0, done.stdout[-500:] + done.stderr[-2000:]
+
+
+def test_growth_by_several_shards_and_by_other_weights(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    weights = [1.0, 2.0, 1.0, 0.5]
+    for grown in ([*weights, 1.5, 3.0], weights, [2.0, 2.0, 1.0, 0.5, 1.0], [1.0, 2.0]):
+        made = sharding.shard_documents(docs, weights, grown).withColumn("whole", sharding.rendezvous_shard(F.col("doc_id"), grown))
+        assert made.filter(F.col("grown_shard") != F.col("whole")).count() == 0
+        assert made.filter(F.col("shard") != sharding.rendezvous_shard(F.col("doc_id"), weights)).count() == 0
+    moved = sharding.shard_documents(docs, weights, [*weights, 1.5, 3.0]).filter("shard <> grown_shard")
+    assert moved.filter("grown_shard < 4").count() == 0 and moved.count() > 0
+
+
+def test_vocabulary_of_generated_urls(spark):
+    rng = random.Random(4)
+    terms = [*url_filter.STRICT_TERMS, *url_filter.SOFT_TERMS]
+    assert max(url_filter.SOFT_TERMS.values()) < url_filter.SOFT_LIMIT and len(terms) > 150
+    words = terms + ["news", "article", "Essex", "é", "casinoo", "a1", "hotel", ""]
+    urls = []
+    for k in range(1500):
+        some = [rng.choice(words if rng.random() < 0.5 else words[-8:]) for _ in range(rng.randint(1, 6))]
+        joined = "".join(w + rng.choice(["-", "/", ".", "_", "", "é", "=", "1", "?"]) for w in some)
+        urls.append((k, "http://h.net/" + (joined.upper() if k % 5 == 0 else joined)))
+    made = {r["page_id"]: r for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()}
+    verdicts = set()
+    for k, url in urls:
+        low = "".join(c.lower() if c in url_filter.UPPER else c for c in url)
+        hits = {t for t in terms if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", low)}
+        strict = hits & set(url_filter.STRICT_TERMS)
+        weight = sum(url_filter.SOFT_TERMS[t] for t in hits - strict)
+        blocked = bool(strict) or weight >= url_filter.SOFT_LIMIT
+        got = made[k]
+        assert (got["n_strict"], got["soft_weight"], got["terms"]) == (len(strict), weight, " ".join(sorted(hits))), url
+        assert got["verdict"] == ("block" if blocked else "allow")
+        verdicts.add((bool(strict), blocked, weight > 0))
+    assert verdicts >= {(False, False, False), (False, False, True), (False, True, True), (True, True, False)}
