@@ -88,9 +88,12 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * SHARDS)
     digest = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     rows = sharded.select("doc_id", "size", digest.alias("text_crc32"), "shard", "grown_shard")
-    return sharding.with_slots(rows, ["doc_id", "text_crc32"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
-    )
+    with Scratch(spark) as scratch:
+        # Numbering reads the rows twice; the draws and texts are done with by then.
+        narrow = scratch.store(rows, "sharded")
+        numbered = sharding.with_slots(narrow, ["doc_id", "text_crc32"])
+        law = F.lit("key").alias("law")
+        return scratch.keep(numbered.select("doc_id", "size", "text_crc32", law, "shard", "slot", "grown_shard"), "slots")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
