@@ -9,8 +9,9 @@ Documents with equal shingle sets are one class, and only classes are compared.
 Classes that agree in a band are candidates. First neighbours in the order of a
 bucket are verified, which is linear in its size and joins groups of copies.
 Then classes of a bucket that are still in different components are compared:
-pair by pair, or block by block where one of the components is large. Links are
-confirmed on full shingle sets, fetched for candidates only.
+pair by pair, or block by block where one of the components is large or the bucket
+holds many classes. Links are confirmed on full shingle sets, fetched for
+candidates only.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ CIRCLE = 1 << 20
 # 0.875 of the time; five standard deviations below that a pair is dismissed.
 LEAST_BITS = COORDINATES * 0.875 - 5 * (COORDINATES * 0.875 * 0.125) ** 0.5
 # Components with more classes are met in blocks of BLOCK, smaller ones pair by pair.
-LARGE, BLOCK = 32, 256
+LARGE, BLOCK, BLOCK_SHINGLES = 32, 256, 4_000_000
+# Classes of a bucket that are ordered together, and classes in small components that meet pair by pair.
+RUN, CROWD = 50_000, 512
 BITS = [f"bits{k}" for k in range(COORDINATES // 64)]
 
 
@@ -179,21 +182,27 @@ def linked_pairs(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataF
 
 
 def linked_to_groups(visits: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A link ``a, b`` from each visitor to each group that holds a similar class.
-
-    ``visits`` is ``node, root``, ``members`` is ``node, root`` of the groups.
-    Visitors and members of a group are dealt into blocks, and blocks are compared
-    with each other: a set travels once per block of the other side, no pairs are
-    emitted, and no task holds a whole group.
+    """Links ``a, b`` from each visitor to the components of a group that hold a similar class.
+
+    ``visits`` and ``members`` are ``node, n, own, root``: a class, the size of its
+    set, its component so far, and a group. Of each other component a block holds,
+    one link is told. Visitors and members of a group are dealt into blocks of
+    bounded numbers of classes and shingles, and blocks are compared with each
+    other: a set travels once per block of the other side, no pairs are emitted,
+    and no task holds a whole group.
     """
     nodes = visits.select("node").union(members.select("node")).distinct()
     sets = class_sets(nodes, classes, docs)
-    blocks = lambda df, name: df.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias(name))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        many = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+        return df.groupBy("root").agg(many.alias(name))
+
     counted = blocks(visits, "of_visits").join(blocks(members, "of_members"), "root")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    held = members.join(counted, "root").select("root", "node", part("of_members").alias("m"), all_of("of_visits").alias("v"))
-    come = visits.join(counted, "root").select("root", "node", all_of("of_members").alias("m"), part("of_visits").alias("v"))
+    held = members.join(counted, "root").select("root", "node", "own", part("of_members").alias("m"), all_of("of_visits").alias("v"))
+    come = visits.join(counted, "root").select("root", "node", "own", all_of("of_members").alias("m"), part("of_visits").alias("v"))
 
     def compare(one: pa.Table, two: pa.Table) -> pa.Table:
         found = []
@@ -203,20 +212,21 @@ def linked_to_groups(visits: DataFrame, members: DataFrame, classes: DataFrame,
             hashes = np.concatenate(own)
             order = np.argsort(hashes, kind="stable")
             hashes, owner = hashes[order], np.repeat(np.arange(len(own)), sizes)[order]
-            names = two.column("node").to_pylist()
-            for name, s in zip(one.column("node").to_pylist(), _sets_in(one.column("hashes"))):
+            names, owns = two.column("node").to_pylist(), two.column("own").to_pylist()
+            visitors = zip(one.column("node").to_pylist(), one.column("own").to_pylist(), _sets_in(one.column("hashes")))
+            for name, mine, s in visitors:
                 begin, end = np.searchsorted(hashes, s, "left"), np.searchsorted(hashes, s, "right")
                 times = end - begin
                 at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(begin, times)
                 common = np.bincount(owner[at], minlength=len(own))
                 hits = np.flatnonzero(100 * common >= PERCENT * (len(s) + sizes - common))
-                if len(hits):
-                    found.append((name, names[hits[0]]))
+                # One of each component but the visitor's own.
+                found += [(name, names[k]) for k in {owns[k]: k for k in hits if owns[k] != mine}.values()]
         a, b = zip(*found) if found else ((), ())
         return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     key = ["root", "m", "v"]
-    fresh = lambda df: df.join(sets, "node").select(*[F.col(c).alias(c) for c in ("node", "hashes", *key)])
+    fresh = lambda df: df.join(sets, "node").select(*[F.col(c).alias(c) for c in ("node", "own", "hashes", *key)])
     return fresh(come).groupBy(*key).cogroup(fresh(held).groupBy(*key)).applyInArrow(compare, "a binary, b binary")
 
 
@@ -241,15 +251,17 @@ def judged_rows(docs: DataFrame) -> DataFrame:
     # One row per class and band; buckets of one class end here.
     one = full.groupBy("node").agg(first("bands").alias("bands"))
     rows = one.select("node", F.explode("bands").alias("band"))
-    beside = Window.partitionBy("band").orderBy("node")
-    last, following = F.lag("node").over(beside), F.lead("node").over(beside)
-    shared = rows.select("band", "node", last.alias("last"), following.alias("following"))
-    other = lambda c: F.coalesce(F.col(c) != F.col("node"), F.lit(False))
-    shared = shared.filter(other("last") | other("following"))
-    members = stored(shared.select("band", "node").distinct().join(attributes, "node"), "members")
-
-    line = Window.partitionBy("band").orderBy("n", *BITS, "node")
-    ahead = members.select("*", F.lag(F.struct("node", "n", *BITS)).over(line).alias("p"))
+    ends = rows.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = rows.join(ends.filter("low != high").select("band"), "band", "left_semi")
+    members = stored(shared.distinct().join(attributes, "node"), "members")
+
+    # A bucket's order is cut into runs by a hash where it is long; neighbours that
+    # this parts are met later.
+    crowds = members.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > RUN)
+    run = F.coalesce(F.pmod(F.xxhash64("node"), F.ceil(F.col("held") / RUN)), F.lit(0))
+    line = Window.partitionBy("band", "run").orderBy("n", *BITS, "node")
+    runs = members.join(crowds, "band", "left").withColumn("run", run)
+    ahead = runs.select("*", F.lag(F.struct("node", "n", *BITS)).over(line).alias("p"))
     near = ahead.filter("p IS NOT NULL").filter(may_link(F.col, lambda c: F.col("p")[c]))
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = stored(near.select(*pair(F.col("node"), F.col("p.node"))).distinct(), "pairs")
@@ -261,17 +273,25 @@ def judged_rows(docs: DataFrame) -> DataFrame:
     placed = placed.withColumn("size", F.coalesce("size", F.lit(1)))
     mixed = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
     apart = stored(placed.join(mixed.select("band"), "band", "left_semi"), "apart")
-    x, y = apart.filter(F.col("size") <= LARGE).alias("x"), apart.filter(F.col("size") <= LARGE).alias("y")
+    few = apart.filter(F.col("size") <= LARGE)
+    # Buckets of many classes in small components are met in blocks, others pair by pair.
+    crowded = few.groupBy("band").agg(F.count(F.lit(1)).alias("held")).filter(F.col("held") > CROWD).select("band")
+    calm = few.join(crowded, "band", "left_anti")
+    x, y = calm.alias("x"), calm.alias("y")
     side = lambda s: lambda c: F.col(f"{s}.{c}")
     meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") < F.col("y.root")) & may_link(side("x"), side("y"))
     others = x.join(y, meet).select(*pair(F.col("x.node"), F.col("y.node"))).distinct()
     others = stored(others.join(tried, ["a", "b"], "left_anti"), "pairs")
+    group = ["node", "n", F.col("root").alias("own"), F.col("band").alias("root")]
+    packed = stored(few.join(crowded, "band", "left_semi").select(*group), "crowded")
     large = apart.filter(F.col("size") > LARGE).select("band", F.col("root").alias("group"), F.col("size").alias("of")).distinct()
     smaller = (F.col("size") < F.col("of")) | ((F.col("size") == F.col("of")) & (F.col("root") < F.col("group")))
-    visits = apart.join(large, "band").filter(smaller).select("node", F.col("group").alias("root")).distinct()
-    visits = stored(visits, "visits")
-    visited = stored(roots.join(visits.select("root").distinct(), "root", "left_semi").select("node", "root"), "visited")
+    visits = apart.join(large, "band").filter(smaller).select("node", "n", F.col("root").alias("own"), F.col("group").alias("root"))
+    visits = stored(visits.distinct(), "visits")
+    visited = roots.join(visits.select("root").distinct(), "root", "left_semi").join(attributes.select("node", "n"), "node")
+    visited = stored(visited.select("node", "n", F.col("root").alias("own"), "root"), "visited")
     more = linked_pairs(others, classes, docs).union(linked_to_groups(visits, visited, classes, docs))
+    more = more.union(linked_to_groups(packed, packed.select("*"), classes, docs))
     roots = components(stored(links.union(more), "linked"))
 
     grouped = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
