@@ -10,7 +10,9 @@ and occurrences so move once, and no task needs the whole model.
 
 Words that are more frequent than a share of a shard are dealt by word and
 context instead; there are at most SHARE words per shard of that kind, and their
-counts are sent along.
+counts are sent along. Pairs that alone exceed a shard's mean are dealt by slice:
+they are counted first, by one aggregate over the words that can make such a
+pair, there is at most one per shard, and their counts are sent along too.
 """
 
 from __future__ import annotations
@@ -52,6 +54,22 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tokens, np.repeat(texts, words.counts() + 1)
 
 
+def _narrow(context: np.ndarray) -> np.ndarray:
+    """Contexts as 40-bit numbers."""
+    return context >> np.uint64(64 - 8 * CONTEXT_BYTES)
+
+
+def contexts_of(tokens: np.ndarray) -> np.ndarray:
+    """What stands before each token, as 40-bit numbers."""
+    before = np.concatenate([[BEGIN], tokens[:-1]])
+    before[before == END] = BEGIN
+    return _narrow(before)
+
+
+def pair_ids(tokens: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return tokens ^ mix(contexts)
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """``token, train, total``: occurrences of each token in training documents and in all."""
 
@@ -75,15 +93,64 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("token").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def _narrow(context: np.ndarray) -> np.ndarray:
-    """Contexts as 40-bit numbers."""
-    return context >> np.uint64(64 - 8 * CONTEXT_BYTES)
+def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
+    """``pair, train, total`` of pairs whose word and context are both in ``words`` or a beginning."""
+    words = np.sort(words)
+    contexts = np.unique(_narrow(np.append(words, BEGIN)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES, SLICE_TEXTS):
+                tokens, text_of = tokens_of(part.column("text"))
+                context = contexts_of(tokens)
+                own = np.flatnonzero(np.isin(tokens, words) & np.isin(context, contexts))
+                learn = part.column("train").to_numpy(zero_copy_only=False).astype(bool)[text_of[own]]
+                found, number = np.unique(pair_ids(tokens[own], context[own]), return_inverse=True)
+                train, total = (np.bincount(n, minlength=len(found)) for n in (number[learn], number))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.view(np.int64)), pa.array(train), pa.array(total)], names=["pair", "train", "total"]
+                )
+
+    rows = docs.select("text", in_training(F.col("doc_id")).alias("train"))
+    counted = rows.mapInArrow(count, "pair long, train long, total long")
+    return counted.groupBy("pair").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
+
+
+def _listed(rows: list, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of collected counts, and the training counts in that order."""
+    keys = np.array([r[name] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r["train"] for r in rows], np.int64)[order]
+
+
+def _overridden(keys: np.ndarray, counts: np.ndarray, listed: np.ndarray, listed_counts: np.ndarray) -> np.ndarray:
+    """``counts`` with those of the ``listed`` keys in place of their own."""
+    if not len(listed):
+        return counts
+    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
+    return np.where(listed[at] == keys, listed_counts[at], counts)
+
+
+# Training counts of hot words and hot pairs: words, their counts, pairs, their counts.
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def hot_counts(docs: DataFrame, counts: DataFrame, total: int, shards: int) -> Hot:
+    """Words above 1 / (SHARE * shards) of all occurrences and pairs above 1 / shards: at most SHARE + 1 numbers a shard."""
+    frequent = counts.filter(F.col("total") > total / (SHARE * shards)).collect()
+    # A pair is no more frequent than its word and its context.
+    able = [r["token"] for r in frequent if r["total"] > total / shards]
+    pairs = []
+    if able:
+        counted = pair_counts(docs, np.array(able, np.int64).view(np.uint64))
+        pairs = counted.filter(F.col("total") > total / shards).collect()
+    return *_listed(frequent, "token"), *_listed(pairs, "pair")
 
 
 NAMES = ["shard", "slice", "doc_ids", "n_tokens", "train", "words", "times", "contexts", "texts"]
 
 
-def occurrences(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
+def occurrences(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
     """Tokens with their contexts as one row per slice and shard, and one row about each slice.
 
     ``slice`` names the slice by its content and ``train`` has a bit per document
@@ -92,24 +159,25 @@ def occurrences(docs: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     before each and the number of its document in the slice. The row about a
     slice has its ``doc_ids`` and their ``n_tokens`` instead.
     """
+    words_dealt, _, pairs_dealt, _ = hot
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, SLICE_BYTES, SLICE_TEXTS):
                 tokens, text_of = tokens_of(part.column("text"))
-                before = np.concatenate([[BEGIN], tokens[:-1]])
-                before[before == END] = BEGIN
-                context = _narrow(before)
-                is_hot = np.isin(tokens, hot)
-                shard = mix(np.where(is_hot, tokens ^ mix(context), tokens)) % np.uint64(shards)
-                shard = shard.astype(np.uint16 if shards < 65536 else np.uint32)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+                context = contexts_of(tokens)
                 ids = part.column("doc_id")
                 train = np.packbits(part.column("train").to_numpy(zero_copy_only=False).astype(bool)).tobytes()
                 counts = np.bincount(text_of, minlength=part.num_rows).astype("<u4").tobytes()
                 told = hashlib.blake2b(repr(ids.to_pylist()).encode() + train + tokens.tobytes(), digest_size=16)
                 name = told.digest()
+                pair = pair_ids(tokens, context)
+                dealt = np.where(np.isin(tokens, words_dealt), pair, tokens)
+                dealt = np.where(np.isin(pair, pairs_dealt), pair ^ np.uint64(int.from_bytes(name[:8])), dealt)
+                shard = mix(dealt) % np.uint64(shards)
+                shard = shard.astype(np.uint16 if shards < 65536 else np.uint32)
+                order = np.argsort(shard, kind="stable")
+                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows = [(int.from_bytes(name[:4]) % shards, name, ids.to_pylist(), counts, train, b"", b"", b"", b"")]
                 for s in np.flatnonzero(np.diff(bounds)):
                     own = order[bounds[s] : bounds[s + 1]]
@@ -145,29 +213,27 @@ def _gathered(table: pa.Table) -> tuple:
     return all_words, word_of, wide.view("<u8").ravel(), row_of, np.concatenate(texts).astype(np.int64), np.concatenate(learn)
 
 
-def shard_scores(rows: DataFrame, kind: str, hot: dict[int, int], total: int, distinct: int) -> DataFrame:
+def shard_scores(rows: DataFrame, kind: str, hot: Hot, total: int, distinct: int) -> DataFrame:
     """Sums per document, packed into one row per slice and shard.
 
     ``slice, doc_ids, n_tokens, train`` as they came, and ``texts, tokens, known,
     base, score``: numbers of documents in the slice, and their sums.
     """
-    hot_words = np.array(sorted(hot), np.uint64)
-    hot_counts = np.array([hot[w] for w in sorted(hot)], np.int64)
+    hot_words, word_counts, hot_pairs, counts_of_pairs = hot
     width, low = float(total + distinct + 1), np.uint64((1 << 8 * CONTEXT_BYTES) - 1)
 
     def score(table: pa.Table) -> pa.Table:
         words, word_of, context, row_of, text_of, learn = _gathered(table)
-        counts = np.bincount(word_of[learn], minlength=len(words))
-        if len(hot_words):
-            at = np.minimum(np.searchsorted(hot_words, words), len(hot_words) - 1)
-            counts = np.where(hot_words[at] == words, hot_counts[at], counts)
+        counts = _overridden(words, np.bincount(word_of[learn], minlength=len(words)), hot_words, word_counts)
         prior = MU * (counts + 1) / width
         key = (word_of.astype(np.uint64) << np.uint64(8 * CONTEXT_BYTES)) | context
-        pairs, times = np.unique(key[learn], return_counts=True)
-        of = (pairs >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64)
-        trie = BigramTrie(words, of, pairs & low, np.log10(times + prior[of]))
         asked, number = np.unique(key, return_inverse=True)
         asked_word = (asked >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64)
+        times = np.bincount(number[learn], minlength=len(asked))
+        times = _overridden(pair_ids(words[asked_word], asked & low), times, hot_pairs, counts_of_pairs)
+        seen = times > 0
+        of = asked_word[seen]
+        trie = BigramTrie(words, of, asked[seen] & low, np.log10(times[seen] + prior[of]))
         place, _ = trie.words.successor(words[asked_word])
         value, found = trie.find(place, asked & low)
         value = np.where(found, value, np.log10(prior)[asked_word])[number]
@@ -243,11 +309,9 @@ def score_documents(docs: DataFrame, shards: int | None = None) -> DataFrame:
     ).first()
     total, distinct, texts = (totals[n] or 0 for n in ("train", "distinct", "texts"))
     shards = shards or max(salt_count(docs.sparkSession), -(-(totals["total"] or 0) // PER_SHARD))
-    # At most SHARE * shards tokens can have more than that share of all occurrences.
-    frequent = counts.filter(F.col("total") > (totals["total"] or 0) / (SHARE * shards)).select("token", "train").collect()
-    hot = {r["token"] & (1 << 64) - 1: r["train"] for r in frequent}
+    hot = hot_counts(docs, counts, totals["total"] or 0, shards)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = occurrences(docs, np.array(sorted(hot), np.uint64), shards)
+    rows = occurrences(docs, hot, shards)
     sums = slice_scores(shard_scores(rows, kind, hot, total, distinct), kind)
     return sums.select(
         "doc_id",
