@@ -94,7 +94,7 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
-    """``pair, train, total`` of pairs whose word and context are both in ``words`` or a beginning."""
+    """``token, context, train, total`` of pairs whose word and context are both in ``words`` or a beginning."""
     words = np.sort(words)
     contexts = np.unique(_narrow(np.append(words, BEGIN)))
 
@@ -105,34 +105,22 @@ def pair_counts(docs: DataFrame, words: np.ndarray) -> DataFrame:
                 context = contexts_of(tokens)
                 own = np.flatnonzero(np.isin(tokens, words) & np.isin(context, contexts))
                 learn = part.column("train").to_numpy(zero_copy_only=False).astype(bool)[text_of[own]]
-                found, number = np.unique(pair_ids(tokens[own], context[own]), return_inverse=True)
-                train, total = (np.bincount(n, minlength=len(found)) for n in (number[learn], number))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(train), pa.array(total)], names=["pair", "train", "total"]
-                )
+                _, one, number = np.unique(pair_ids(tokens[own], context[own]), return_index=True, return_inverse=True)
+                columns = [tokens[own][one].view(np.int64), context[own][one].view(np.int64)]
+                columns += [np.bincount(n, minlength=len(one)) for n in (number[learn], number)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "context", "train", "total"])
 
     rows = docs.select("text", in_training(F.col("doc_id")).alias("train"))
-    counted = rows.mapInArrow(count, "pair long, train long, total long")
-    return counted.groupBy("pair").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
-
-
-def _listed(rows: list, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of collected counts, and the training counts in that order."""
-    keys = np.array([r[name] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r["train"] for r in rows], np.int64)[order]
+    counted = rows.mapInArrow(count, "token long, context long, train long, total long")
+    return counted.groupBy("token", "context").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
-def _overridden(keys: np.ndarray, counts: np.ndarray, listed: np.ndarray, listed_counts: np.ndarray) -> np.ndarray:
-    """``counts`` with those of the ``listed`` keys in place of their own."""
-    if not len(listed):
-        return counts
-    at = np.minimum(np.searchsorted(listed, keys), len(listed) - 1)
-    return np.where(listed[at] == keys, listed_counts[at], counts)
+# What is sent along: hot words, sorted, with their training counts; hot pairs as words and contexts with theirs.
+Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-# Training counts of hot words and hot pairs: words, their counts, pairs, their counts.
-Hot = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+def _column(rows: list, name: str, kind=np.uint64) -> np.ndarray:
+    return np.array([r[name] for r in rows], np.int64).view(kind)
 
 
 def hot_counts(docs: DataFrame, counts: DataFrame, total: int, shards: int) -> Hot:
@@ -144,7 +132,9 @@ def hot_counts(docs: DataFrame, counts: DataFrame, total: int, shards: int) -> H
     if able:
         counted = pair_counts(docs, np.array(able, np.int64).view(np.uint64))
         pairs = counted.filter(F.col("total") > total / shards).collect()
-    return *_listed(frequent, "token"), *_listed(pairs, "pair")
+    frequent.sort(key=lambda r: r["token"] % (1 << 64))
+    words = _column(frequent, "token"), _column(frequent, "train", np.int64)
+    return *words, _column(pairs, "token"), _column(pairs, "context"), _column(pairs, "train", np.int64)
 
 
 NAMES = ["shard", "slice", "doc_ids", "n_tokens", "train", "words", "times", "contexts", "texts"]
@@ -159,7 +149,7 @@ def occurrences(docs: DataFrame, hot: Hot, shards: int) -> DataFrame:
     before each and the number of its document in the slice. The row about a
     slice has its ``doc_ids`` and their ``n_tokens`` instead.
     """
-    words_dealt, _, pairs_dealt, _ = hot
+    words_dealt, pairs_dealt = hot[0], pair_ids(hot[2], hot[3])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,17 +190,19 @@ def _arrays(column: pa.ChunkedArray, kind) -> list[np.ndarray]:
 
 
 def _gathered(table: pa.Table) -> tuple:
-    """Aligned arrays of a shard's rows: words, then of each token the word's number, context, row, text, training."""
+    """Words of a shard's rows; then of each token its word's number, that with the context, row with text, training."""
     words, times, contexts = _arrays(table["words"], np.uint64), _arrays(table["times"], "<u4"), _arrays(table["contexts"], np.uint8)
     texts, train = _arrays(table["texts"], "<u2"), _arrays(table["train"], np.uint8)
     all_words, number = np.unique(np.concatenate(words), return_inverse=True)
-    word_of = np.repeat(number, np.concatenate(times))
+    word_of = np.repeat(number.astype(np.int32), np.concatenate(times))
     narrow = np.concatenate(contexts).reshape(-1, CONTEXT_BYTES)
     wide = np.zeros((len(narrow), 8), np.uint8)
     wide[:, :CONTEXT_BYTES] = narrow
-    row_of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    key = wide.view("<u8").ravel()
+    key |= word_of.astype(np.uint64) << np.uint64(8 * CONTEXT_BYTES)
+    place = np.concatenate([x.astype(np.int64) | row << 16 for row, x in enumerate(texts)])
     learn = [np.unpackbits(t)[x].astype(bool) for t, x in zip(train, texts)]
-    return all_words, word_of, wide.view("<u8").ravel(), row_of, np.concatenate(texts).astype(np.int64), np.concatenate(learn)
+    return all_words, word_of, key, place, np.concatenate(learn)
 
 
 def shard_scores(rows: DataFrame, kind: str, hot: Hot, total: int, distinct: int) -> DataFrame:
@@ -219,27 +211,37 @@ def shard_scores(rows: DataFrame, kind: str, hot: Hot, total: int, distinct: int
     ``slice, doc_ids, n_tokens, train`` as they came, and ``texts, tokens, known,
     base, score``: numbers of documents in the slice, and their sums.
     """
-    hot_words, word_counts, hot_pairs, counts_of_pairs = hot
+    hot_words, word_counts, pair_words, pair_contexts, counts_of_pairs = hot
     width, low = float(total + distinct + 1), np.uint64((1 << 8 * CONTEXT_BYTES) - 1)
 
     def score(table: pa.Table) -> pa.Table:
-        words, word_of, context, row_of, text_of, learn = _gathered(table)
-        counts = _overridden(words, np.bincount(word_of[learn], minlength=len(words)), hot_words, word_counts)
+        words, word_of, key, place_of, learn = _gathered(table)
+        counts = np.bincount(word_of[learn], minlength=len(words))
+        if len(hot_words):
+            at = np.minimum(np.searchsorted(hot_words, words), len(hot_words) - 1)
+            counts = np.where(hot_words[at] == words, word_counts[at], counts)
         prior = MU * (counts + 1) / width
-        key = (word_of.astype(np.uint64) << np.uint64(8 * CONTEXT_BYTES)) | context
         asked, number = np.unique(key, return_inverse=True)
+        del key
         asked_word = (asked >> np.uint64(8 * CONTEXT_BYTES)).astype(np.int64)
         times = np.bincount(number[learn], minlength=len(asked))
-        times = _overridden(pair_ids(words[asked_word], asked & low), times, hot_pairs, counts_of_pairs)
+        # Hot pairs of this shard have the counts of all slices instead of their own.
+        if len(words) and len(pair_words):
+            at = np.minimum(np.searchsorted(words, pair_words), len(words) - 1)
+            wanted = at.astype(np.uint64) << np.uint64(8 * CONTEXT_BYTES) | pair_contexts
+            there = np.minimum(np.searchsorted(asked, wanted), len(asked) - 1)
+            here = (words[at] == pair_words) & (asked[there] == wanted)
+            times[there[here]] = counts_of_pairs[here]
         seen = times > 0
         of = asked_word[seen]
         trie = BigramTrie(words, of, asked[seen] & low, np.log10(times[seen] + prior[of]))
         place, _ = trie.words.successor(words[asked_word])
         value, found = trie.find(place, asked & low)
         value = np.where(found, value, np.log10(prior)[asked_word])[number]
-        as_context = np.where(words == END, 0.0, np.log10(counts + MU))[word_of]
+        value -= np.where(words == END, 0.0, np.log10(counts + MU))[word_of]
+        del number
         # One sum per row and text, in that order.
-        group, of_group = np.unique(row_of << 16 | text_of, return_inverse=True)
+        group, of_group = np.unique(place_of, return_inverse=True)
         bounds = np.searchsorted(group >> 16, np.arange(table.num_rows + 1))
         add = lambda x: np.bincount(of_group, x, minlength=len(group))
         columns = [
@@ -247,7 +249,7 @@ def shard_scores(rows: DataFrame, kind: str, hot: Hot, total: int, distinct: int
             add(np.ones(len(word_of))).astype("<u4"),
             add((counts > 0)[word_of]).astype("<u4"),
             add(np.log10(counts + 1.0)[word_of]),
-            add(value - as_context),
+            add(value),
         ]
         packed = [pa.array([c[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()) for c in columns]
         return pa.table([*(table[n] for n in NAMES[1:5]), *packed], names=[*NAMES[1:5], *SUMS])
