@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsgraph.llm import chat_format, line_dedup, url_filter
+from newsgraph.llm import chat_format, decontaminate, line_dedup, url_filter
 from newsgraph.llm.catalog import EXTRA_CONVERSATION, EXTRA_TEXT
 
 
@@ -60,6 +60,60 @@ def _chat_format() -> str:
     FROM laid GROUP BY conv_id"""
 
 
+def _folded(column: str = "text") -> str:
+    return f"translate({column}, '{url_filter.UPPER}', '{url_filter.LOWER}')"
+
+
+def _decontamination() -> str:
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    words = f"coalesce(regexp_extract_all({_folded()}, '{word}'), []::varchar[])"
+    size = decontaminate.WINDOW
+    return f"""
+    WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words} AS words FROM documents),
+    items AS (SELECT DISTINCT coalesce(item_id::varchar, '') AS item_id, {words} AS words FROM benchmark),
+    item_windows AS (
+      SELECT DISTINCT item_id, least(len(words), {size}) AS size, array_to_string(words[i : i + {size - 1}], ' ') AS told
+      FROM (SELECT *, unnest(range(1, greatest(len(words) - {size - 1}, 1) + 1)) AS i FROM items WHERE len(words) > 0)),
+    places AS (
+      SELECT row, size, i, array_to_string(words[i : i + size - 1], ' ') AS told
+      FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS i
+            FROM docs, (SELECT DISTINCT size FROM item_windows) WHERE len(words) >= size)),
+    hits AS (SELECT row, size, i, told FROM places SEMI JOIN item_windows USING (size, told)),
+    covered AS (
+      SELECT row, count(DISTINCT place) AS n_hit
+      FROM (SELECT row, unnest(range(i, i + size)) AS place FROM hits) GROUP BY row),
+    held AS (
+      SELECT row, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed
+      FROM (SELECT DISTINCT row, item_id FROM hits JOIN item_windows USING (size, told)) GROUP BY row)
+    SELECT doc_id, len(words)::bigint AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+    FROM docs LEFT JOIN covered USING (row) LEFT JOIN held USING (row)"""
+
+
+def _near_dup() -> str:
+    word = r"[^\x20\x09-\x0D]+"
+    words = f"coalesce(regexp_extract_all({_folded()}, '{word}'), []::varchar[])"
+    return f"""
+    WITH RECURSIVE docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, {words} AS words FROM documents),
+    shingles AS (
+      SELECT DISTINCT row, array_to_string(words[i : i + 4], ' ') AS shingle
+      FROM (SELECT row, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM docs WHERE len(words) > 0)),
+    classed AS (
+      SELECT row, count(*) AS n, sha256(string_agg(shingle, chr(10) ORDER BY shingle)) AS class FROM shingles GROUP BY row),
+    classes AS (SELECT class, n, min(row) AS row FROM classed GROUP BY class, n),
+    sets AS (SELECT class, n, shingle FROM classes JOIN shingles USING (row)),
+    links AS (
+      SELECT a.class AS x, b.class AS y FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.class <> b.class
+      GROUP BY a.class, b.class, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    reached(x, y) AS (
+      SELECT class, class FROM classes UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+    least_ids AS (SELECT class, min(doc_id) AS least FROM classed JOIN docs USING (row) GROUP BY class),
+    components AS (SELECT x AS class, min(least) AS component_id FROM reached JOIN least_ids ON y = class GROUP BY x)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id,
+      coalesce(component_id, doc_id) = doc_id AS kept
+    FROM docs LEFT JOIN classed USING (row) LEFT JOIN components USING (class)"""
+
+
 def _turn_repair() -> str:
     # crc32 of ASCII strings by bytes, with the table made from its polynomial.
     step = "(CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)"
@@ -148,6 +202,8 @@ def _line_dedup() -> str:
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": _url_filter(),
     "op3_chat_format": _chat_format(),
+    "op4_decontamination": _decontamination(),
+    "op5_near_dup": _near_dup(),
     "op11_turn_repair": _turn_repair(),
     "op12_line_dedup": _line_dedup(),
 }
