@@ -1,8 +1,10 @@
 """Conversations as one string with turn marks, and back.
 
 Everything is Spark expressions: turn structs are collected and sorted, adjacent
-turns of one role are merged by an array aggregation, and the parts are
-concatenated. Control strings inside roles and texts are escaped by backslashes
+turns of one role are merged by array functions, and the parts are concatenated.
+The sorted array is cut where the role changes; a fold that appends to the runs
+would copy them at every turn. What is folded are the running sums that place
+the spans under the loss. Control strings inside roles and texts are escaped by backslashes
 after their first character, one more than they already have, which undoes
 exactly.
 """
