@@ -94,6 +94,15 @@ def test_topk_against_brute_force(spark, rows, block_rows, copies, monkeypatch):
     assert rows(found.withColumn("confidence", twice)) == brute_topk(x, 6)
 
 
+def test_topk_holds_a_bounded_number_of_products(monkeypatch):
+    seen, best = [], neighbors._block_best
+    monkeypatch.setattr(neighbors, "TILE_CELLS", 900)
+    monkeypatch.setattr(neighbors, "_block_best", lambda scores, *rest: seen.append(scores.size) or best(scores, *rest))
+    x, ids = random_vectors(300), np.arange(300)
+    found = neighbors._tile_best(x, x, ids, ids, 4, True)
+    assert len(found) == 1200 and max(seen) <= 900 and len(seen) == 100
+
+
 def test_topk_of_few_and_of_string_ids(spark, rows):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("c", [0.0, 0.0])], "id string, features array<double>")
     found = rows(neighbors.connections_topk(df, 25).withColumn("confidence", F.round("confidence", 4)))
