@@ -63,6 +63,15 @@ def test_vertices_and_ego_without_pairs(spark, rows, skewed):
     assert rows(graph.mention_ego_edges(df, "o07")) == rows(graph.ego_edges(edges, "o07"))
 
 
+@pytest.mark.parametrize("mode", ["multiset", "distinct"])
+def test_edges_deal_the_mentions_to_tasks_of_bounded_size(spark, rows, mode, monkeypatch):
+    monkeypatch.setattr(graph, "MENTIONS_PER_TASK", 10)
+    data = [(f"u{k // 4}", "abcdefg"[k * k % 7]) for k in range(300)] + [(None, "a"), ("u1", None)]
+    found = graph.comention_edges(mentions(spark, data), mode)
+    assert rows(found) == brute_edges(data, mode)
+    assert "31), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def random_vectors(n, d=8, seed=2, copies=0):
     x = np.random.default_rng(seed).normal(size=(n, d))
     if copies:
