@@ -320,6 +320,16 @@ def test_pair_counts_and_information(spark, rows):
         assert told == pytest.approx({p: v for p, v in value.items() if v > 0})
 
 
+def test_pair_counts_in_tasks_of_bounded_size(spark, rows):
+    paths = [list("abcab"), list("aa"), ["c"], list("dbd"), ["b", None, "a", "b"], list("abcdefghijklm")]
+    df = spark.createDataFrame([(p,) for p in paths], "path array<string>")
+    counts = factors.pair_counts(df, 2, pairs_per_task=4)
+    assert rows(counts) == sorted([(a, b, n) for (a, b), n in brute_counts(paths, 2).items()], key=repr)
+    # 7, 1, 0, 3, 5 and 23 pairs.
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning(10)" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_factors_are_those_of_the_whole_matrix(spark):
     paths = walks.random_walks(two_clusters(spark), 12, 10)
     found = {r["id"]: r["features"] for r in factors.distributed_embeddings(paths, 4, 5, rounds=40).collect()}
