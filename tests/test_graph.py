@@ -330,6 +330,11 @@ def test_pair_counts_in_tasks_of_bounded_size(spark, rows):
     assert "RoundRobinPartitioning(10)" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("entries, partitions, wanted", [(0, 4, 4), (10, 200, 24), (8_000_000 * 24 + 1, 600, 25)])
+def test_buckets_of_the_matrix_grow_with_its_entries_only(entries, partitions, wanted):
+    assert factors.bucket_number(entries, partitions) == wanted
+
+
 def test_factors_are_those_of_the_whole_matrix(spark):
     paths = walks.random_walks(two_clusters(spark), 12, 10)
     found = {r["id"]: r["features"] for r in factors.distributed_embeddings(paths, 4, 5, rounds=40).collect()}
