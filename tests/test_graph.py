@@ -276,6 +276,41 @@ def test_a_step_moves_only_the_walks(spark, edges):
         assert not any("Exchange" in line for line in above)
 
 
+def test_a_step_sorts_and_draws_for_the_walks_only(spark, edges, monkeypatch):
+    plans, stepped = [], walks._stepped
+
+    def seen(*args):
+        moved = stepped(*args)
+        plans.append(moved._jdf.queryExecution().executedPlan().toString())
+        return moved
+
+    monkeypatch.setattr(walks, "_stepped", seen)
+    walks.random_walks(edges, 2, 3)
+    (plan,) = plans
+    assert "Bucketed: true" in plan and plan.count("Sort [") == 1
+    assert plan.count("md5(") == 1
+
+
+def test_hubs_in_parts_and_wide_cells_do_not_change_walks(spark, rows, monkeypatch):
+    star = [("hub", f"leaf{k:02d}", 1 + k % 3) for k in range(40)] + [("leaf00", "leaf01", 2), ("leaf02", "leaf02", 3)]
+    edges = spark.createDataFrame(star, "src string, dst string, weight long")
+    spans = ["vertex", "to", "lo", "hi"]
+    expected, laid = rows(walks.random_walks(edges, 6, 3)), rows(walks.step_table(edges).select(*spans).distinct())
+    assert len(expected) == 41 * 3
+    for most, per_cell in [(0, 1), (10, 3), (100, 50)]:
+        monkeypatch.setattr(walks, "PART_EDGES", most)
+        monkeypatch.setattr(walks, "EDGES_PER_CELL", per_cell)
+        assert rows(walks.random_walks(edges, 6, 3)) == expected
+        assert rows(walks.step_table(edges, 1, per_cell).select(*spans).distinct()) == laid
+
+
+def test_wide_cells_make_the_step_table_small(spark, monkeypatch):
+    monkeypatch.setattr(walks, "CELLS_PER_PARTITION", 0)
+    ring = [(a, b, 1 + (a * b) % 5) for a in range(60) for b in range(a)]
+    edges = spark.createDataFrame(ring, "src long, dst long, weight long")
+    assert walks.step_table(edges, edges_per_cell=8).count() <= 2 * len(ring) * 5 / 4
+
+
 @pytest.mark.parametrize("steps", [1, 4, 50])
 def test_steps_per_job_do_not_change_walks(spark, edges, rows, steps):
     expected = rows(walks.random_walks(edges, 9, 3))
