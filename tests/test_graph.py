@@ -428,6 +428,30 @@ def test_clustered_vectors_meet_few_pairs(spark, rows):
     assert made.pairs_met < made.pairs / 4
 
 
+def test_pruned_vectors_move_once_per_bundle(spark, rows, monkeypatch):
+    moved, meet = [], pruned._meet
+
+    def seen(needs, *rest):
+        met, pairs = meet(needs, *rest)
+        moved.append((needs.count(), needs.select(F.max(F.size("bundles"))).first()[0], met.count(), pairs))
+        return met, pairs
+
+    monkeypatch.setattr(pruned, "_meet", seen)
+    x = random_vectors(640, 16)
+    made = same_neighbours(spark, rows, frame(spark, x), 3, block_rows=40)
+    assert made.pairs_met > made.pairs / 2
+    for vectors, bundles, *_ in moved:
+        assert vectors == len(x) and bundles <= 2 * pruned.BUNDLES
+    # Far more pairs are multiplied in the second round than come back.
+    assert moved[1][2] < 8 * 3 * len(x)
+
+
+def test_pruned_copies_fill_several_parts(spark, rows, monkeypatch):
+    monkeypatch.setattr(pruned, "HELD_LISTS", 0)
+    x = np.vstack([np.tile(random_vectors(1, 8), (90, 1)), random_vectors(50, 8), clustered(40)])
+    same_neighbours(spark, rows, frame(spark, x), 4, block_rows=20)
+
+
 def test_pruned_neighbours_of_few_and_of_string_ids(spark, rows):
     df = frame(spark, random_vectors(7)).withColumn("id", F.concat(F.lit("c"), F.col("id").cast("string")))
     same_neighbours(spark, rows, df, 25, block_rows=3)
