@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgraph.constants import STORED_NEIGHBORS
-from newsgraph.operators.neighbors import BLOCK_ROWS, TIE_DECIMALS, _ranked, _unit, tile_rows
+from newsgraph.operators.neighbors import BLOCK_ROWS, SLACK, TIE_DECIMALS, _ranked, _unit, tile_rows
 from newsgraph.session import Scratch
 
 # Bounds of what the driver and every task hold: pivots, the vectors they are picked from, shells of a pivot.
@@ -32,8 +32,6 @@ FINER = 4
 BUNDLES, MOST_BUNDLED = 8, 4
 # Vectors whose needs are worked out at a time, and lists of the best that a task holds before it merges them.
 NEED_ROWS, HELD_LISTS = 1024, 4
-# Two scores nearer than this may be one place apart after rounding for ties.
-SLACK = 10.0 ** (1 - TIE_DECIMALS)
 
 
 @dataclass

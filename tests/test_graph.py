@@ -428,6 +428,31 @@ def test_clustered_vectors_meet_few_pairs(spark, rows):
     assert made.pairs_met < made.pairs / 4
 
 
+@pytest.mark.parametrize("own", [None, 0, 30])
+@pytest.mark.parametrize("decimals", [0, 1, 12])
+def test_best_of_many_columns_need_no_order_of_all(own, decimals, monkeypatch):
+    scores = np.round(np.random.default_rng(7).uniform(-1, 1, size=(40, 903)), decimals)
+    scores[5], scores[6, ::2], scores[:, 9] = 0.25, 1.0, 0.5 + 1e-12
+    ids, others = np.arange(40), np.arange(903) * 3
+
+    def best():
+        found = neighbors._block_best(scores.copy(), ids, others, 8, own)
+        return sorted(map(tuple, found.to_numpy().tolist()))
+
+    assert (neighbors._floor(scores, 8)[:, None] <= scores).sum() < scores.size
+    quick = best()
+    assert len(quick) == 40 * 8
+    with monkeypatch.context() as held:
+        held.setattr(neighbors, "_floor", lambda *_: None)
+        assert best() == quick
+
+
+def test_scores_that_are_no_numbers_have_no_floor():
+    scores = np.random.default_rng(7).uniform(-1, 1, size=(3, 400))
+    scores[1, 7] = np.nan
+    assert neighbors._floor(scores, 4) is None and neighbors._floor(scores[:, 10:60], 4) is None
+
+
 def test_pruned_vectors_move_once_per_bundle(spark, rows, monkeypatch):
     moved, meet = [], pruned._meet
 
