@@ -239,6 +239,57 @@ def test_neighbours_stay_in_their_cluster(spark):
     assert same[~near.company.isin(["a0", "b0"])].mean() > 0.95
 
 
+def test_many_tasks_learn_from_all_walks(spark):
+    """Cliques without a bridge: however many tasks share the walks of a vertex, its vector ends up with its clique's."""
+    groups = [[f"{g}{k}" for k in range(25)] for g in "abcdefgh"]
+    edges = spark.createDataFrame([(*p, 1) for g in groups for p in combinations(g, 2)], "src string, dst string, weight long")
+    paths = walks.random_walks(edges, 20, 20).localCheckpoint()
+    vectors = embedding.node_embeddings(paths, dimensions=16, iterations=2, partitions=32)
+    assert vectors.count() == 200 and vectors.schema["features"].dataType.simpleString() == "array<double>"
+    near = neighbors.connections_topk(vectors, 5).toPandas()
+    assert (near.company.str[0] == near.neighbor.str[0]).mean() > 0.95
+    assert max(max(map(abs, r.features)) for r in vectors.collect()) < 10
+
+
+def test_training_spreads_with_the_walks():
+    assert [embedding.training_tasks(n) for n in (0, 20_000, 20_001, 480_000, 7_200_000)] == [1, 1, 2, 8, 12]
+
+
+def test_a_hub_and_paths_of_many_lengths_stay_finite(spark):
+    rows = [("h", k, ["h", f"x{k % 40}"] * (1 + k % 50)) for k in range(400)] + [("z", 0, ["z"]), ("z", 1, ["z", "z", None])]
+    paths = spark.createDataFrame(rows, "start string, walk int, path array<string>")
+    found = {r.id: r.features for r in embedding.node_embeddings(paths, dimensions=4, iterations=3, partitions=4).collect()}
+    assert sorted(found) == sorted(["h", "z", *[f"x{k}" for k in range(40)]])
+    assert all(np.isfinite(v).all() and np.abs(v).max() < 20 for v in found.values())
+
+
+def test_one_step_follows_the_gradient():
+    """A step against the sums over its pairs and draws, one by one, damped by their curvatures."""
+    rng = np.random.default_rng(5)
+    near, far = rng.normal(size=(50, 3)).astype("float32"), rng.normal(size=(50, 3)).astype("float32")
+    path, upto = rng.permutation(50)[:40], np.arange(1, 50) / 50
+    made, curved = (near.copy(), far.copy()), np.zeros((2, 50), "float32")
+    embedding._learn(made, curved, np.pad(path, (0, 3), constant_values=-1)[None, :], 4, 0.1, upto, np.random.default_rng(9))
+    draws, told = np.random.default_rng(9), [near.astype("float64"), far.astype("float64")]
+    for start, size in ((0, 32), (32, 11)):
+        (x, y), (to, curve) = told, (np.zeros((2, 50, 3)), np.zeros((2, 50)))
+        reach = draws.integers(1, 5, (1, size))[0]
+        drawn = np.searchsorted(upto, draws.random((1, embedding.DRAWS)), side="right")[0]
+        for c in range(start, min(start + size, 40)):
+            for k in range(max(0, c - reach[c - start]), min(40, c + reach[c - start] + 1)):
+                share = 0.1 * embedding.NEGATIVES / embedding.DRAWS
+                for a, label, rate in [(path[c], 1, 0.1), *[(n, 0, share) for n in drawn]] if k != c else ():
+                    b = path[k]
+                    g = rate * (label - 1 / (1 + np.exp(-x[b] @ y[a])))
+                    to[0, b] += g * y[a]
+                    to[1, a] += g * x[b]
+                    curve[0, b] += rate * y[a] @ y[a] / 4
+                    curve[1, a] += rate * x[b] @ x[b] / 4
+        told = [v + t / (1 + 2 * h[:, None]) for v, t, h in zip(told, to, curve, strict=True)]
+    np.testing.assert_allclose(made[0], told[0], rtol=1e-4, atol=1e-5)
+    np.testing.assert_allclose(made[1], told[1], rtol=1e-4, atol=1e-5)
+
+
 def test_pca_against_numpy(spark):
     x = random_vectors(80, 6) * np.array([5, 3, 2, 1, 0.5, 0.1]) + 10
     found = embedding.pca_projection(frame(spark, x)).toPandas().sort_values("id")
